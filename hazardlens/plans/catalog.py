@@ -401,7 +401,10 @@ def alert_cooldown(i: Inputs) -> DataFrame:
     return alerts.suppress_repeats(rows, rule, i.alerts, AS_OF).select("event_id", "magnitude")
 
 
-add("alert_rows", lambda i: alerts.new_alerts(i.processed, i.alerts, AS_OF, LOOKBACK_HOURS).drop("resolved_at"))
+add(
+    "alert_rows",
+    lambda i: alerts.new_alerts(i.processed, i.alerts, AS_OF, LOOKBACK_HOURS).drop("metadata", "resolved_at"),
+)
 
 
 @query

@@ -49,5 +49,6 @@ def decode(raw: DataFrame, feed: str) -> DataFrame:
 
 
 def encode(records: DataFrame) -> DataFrame:
-    """Records as JSON texts with ISO-8601 times, the format ``decode`` reads."""
-    return records.select(F.to_json(F.struct("*")).alias("value"))
+    """Records as JSON texts with ISO-8601 times to the microsecond, as ``decode`` reads."""
+    options = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return records.select(F.to_json(F.struct("*"), options).alias("value"))
