@@ -1,4 +1,7 @@
-"""Coordinates: validity, great-circle distance and grid cells."""
+"""Coordinates: validity, great-circle distance and grid cells.
+
+Arguments are column names or SQL numbers.
+"""
 
 from __future__ import annotations
 
@@ -8,22 +11,26 @@ from pyspark.sql import functions as F
 from hazardlens.constants import EARTH_RADIUS_KM
 
 
-def in_range(latitude: Column, longitude: Column) -> Column:
+def in_range(latitude: str = "latitude", longitude: str = "longitude") -> Column:
     """True only for real coordinates; NULL and NaN never qualify."""
-    return latitude.between(-90.0, 90.0) & longitude.between(-180.0, 180.0)
+    return F.expr(
+        f"{latitude} BETWEEN -90D AND 90D AND {longitude} BETWEEN -180D AND 180D"
+    )
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    half_lat = F.sin(F.radians(lat2 - lat1) / 2)
-    half_lon = F.sin(F.radians(lon2 - lon1) / 2)
-    chord = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
+def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> Column:
+    """Distance on a sphere; the chord is kept within the domain of the arc sine."""
+    chord = (
+        f"pow(sin(radians({lat2} - {lat1}) / 2), 2)"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    )
+    return F.expr(f"2 * {EARTH_RADIUS_KM}D * asin(sqrt(least(1D, {chord})))")
 
 
-def cell_y(latitude: Column, degrees: float) -> Column:
-    return F.floor(latitude / degrees).cast("int")
+def cell_y(latitude: str, degrees: float) -> Column:
+    return F.expr(f"CAST(floor({latitude} / {degrees}D) AS INT)")
 
 
-def cell_x(longitude: Column, degrees: float) -> Column:
+def cell_x(longitude: str, degrees: float) -> Column:
     """Column of the grid, wrapped so that -180 and 180 share a cell."""
-    return F.pmod(F.floor((longitude + 180.0) / degrees), F.lit(int(360 / degrees))).cast("int")
+    return F.expr(f"CAST(pmod(floor(({longitude} + 180D) / {degrees}D), {int(360 / degrees)}) AS INT)")

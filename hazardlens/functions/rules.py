@@ -1,10 +1,12 @@
-"""Classification rules as CASE expressions (first match wins)."""
+"""Classification rules as CASE expressions (first match wins).
+
+Each rule takes column names and is parsed as one SQL expression, so a pipeline of
+many rules stays cheap to build.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from operator import gt, ge, le, lt
-from typing import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,103 +14,117 @@ from pyspark.sql import functions as F
 from hazardlens import constants as C
 
 
-def case(branches: Iterable[tuple[Column, object]], otherwise: object) -> Column:
-    """CASE WHEN over (condition, value) pairs."""
-    result = None
-    for condition, value in branches:
-        result = (F if result is None else result).when(condition, F.lit(value))
-    return result.otherwise(F.lit(otherwise))
+def literal(value: object) -> str:
+    return f"'{value}'" if isinstance(value, str) else repr(value)
 
 
-def banded(value: Column, bands: list[tuple], test: Callable, otherwise: str) -> Column:
-    return case(((test(value, F.lit(edge)), label) for edge, label in bands), otherwise)
+def case(branches: Iterable[tuple[str, object]], otherwise: object) -> str:
+    """CASE text over (condition, value) pairs."""
+    whens = " ".join(f"WHEN {condition} THEN {literal(value)}" for condition, value in branches)
+    return f"CASE {whens} ELSE {literal(otherwise)} END"
 
 
-def lookup(value: Column, table: dict[str, object], otherwise: object) -> Column:
-    return case(((value == key, result) for key, result in table.items()), otherwise)
+def banded(column: str, test: str, bands: list[tuple], otherwise: str) -> str:
+    """CASE text comparing a column with the edge of one band after the other."""
+    return case(((f"{column} {test} {literal_double(edge)}", label) for edge, label in bands), otherwise)
 
 
-def risk_category(magnitude: Column) -> Column:
-    return banded(magnitude, C.RISK_CATEGORY, ge, C.RISK_CATEGORY_BELOW)
+def literal_double(value: float | int) -> str:
+    """A floating literal (a plain ``7.5`` would be a decimal)."""
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
 
 
-def magnitude_band(magnitude: Column) -> Column:
-    return banded(magnitude, C.MAGNITUDE_BAND, ge, C.MAGNITUDE_BAND_BELOW)
+def _unless(condition: str, label: str, otherwise: str) -> Column:
+    return F.expr(f"CASE WHEN {condition} THEN {literal(label)} ELSE {otherwise} END")
 
 
-def distance_group(depth_km: Column) -> Column:
-    return case(
-        [
-            (depth_km > C.DEPTH_DEEP_ABOVE, "Deep"),
-            (depth_km >= C.DEPTH_INTERMEDIATE_FROM, "Intermediate"),
-        ],
-        "Shallow",
-    )
+def risk_category(magnitude: str) -> Column:
+    return F.expr(banded(magnitude, ">=", C.RISK_CATEGORY, C.RISK_CATEGORY_BELOW))
+
+
+def magnitude_band(magnitude: str) -> Column:
+    return F.expr(banded(magnitude, ">=", C.MAGNITUDE_BAND, C.MAGNITUDE_BAND_BELOW))
+
 
+def distance_group(depth_km: str) -> Column:
+    deep = f"{depth_km} > {literal_double(C.DEPTH_DEEP_ABOVE)}"
+    intermediate = f"{depth_km} >= {literal_double(C.DEPTH_INTERMEDIATE_FROM)}"
+    return F.expr(case([(deep, "Deep"), (intermediate, "Intermediate")], "Shallow"))
 
-def depth_group(depth_km: Column) -> Column:
-    known = banded(depth_km, C.DEPTH_GROUP, lt, C.DEPTH_GROUP_ABOVE)
-    return F.when(depth_km.isNull(), F.lit(C.DEPTH_GROUP_UNKNOWN)).otherwise(known)
 
+def depth_group(depth_km: str) -> Column:
+    known = banded(depth_km, "<", C.DEPTH_GROUP, C.DEPTH_GROUP_ABOVE)
+    return _unless(f"{depth_km} IS NULL", C.DEPTH_GROUP_UNKNOWN, known)
 
-def heat_index(temperature: Column, humidity: Column) -> Column:
+
+def heat_index(temperature: str, humidity: str) -> Column:
     t, rh = temperature, humidity
-    terms = [F.lit(1.0), t, rh, t * rh, t * t, rh * rh, t * t * rh, t * rh * rh, t * t * rh * rh]
-    total = None
-    for weight, term in zip(C.HEAT_INDEX_COEFFICIENTS, terms):
-        total = F.lit(weight) * term if total is None else total + F.lit(weight) * term
-    hot = (t >= C.HEAT_INDEX_MIN_T) & (rh >= C.HEAT_INDEX_MIN_RH)
-    return F.when(hot, F.round(total, 2)).otherwise(t)
+    terms = [
+        "", f"*{t}", f"*{rh}", f"*{t}*{rh}", f"*{t}*{t}", f"*{rh}*{rh}", f"*{t}*{t}*{rh}",
+        f"*{t}*{rh}*{rh}", f"*{t}*{t}*{rh}*{rh}",
+    ]
+    total = " + ".join(
+        f"({literal_double(weight)}{term})" for weight, term in zip(C.HEAT_INDEX_COEFFICIENTS, terms)
+    )
+    hot = (
+        f"{t} >= {literal_double(C.HEAT_INDEX_MIN_T)} AND {rh} >= {literal_double(C.HEAT_INDEX_MIN_RH)}"
+    )
+    return F.expr(f"CASE WHEN {hot} THEN round({total}, 2) ELSE {t} END")
 
 
-def rain_severity(millimetres: Column) -> Column:
-    wet = banded(millimetres, C.RAIN_SEVERITY, lt, C.RAIN_SEVERITY_ABOVE)
-    return F.when(millimetres.isNull() | (millimetres <= 0), F.lit(C.RAIN_NONE)).otherwise(wet)
+def rain_severity(millimetres: str) -> Column:
+    wet = banded(millimetres, "<", C.RAIN_SEVERITY, C.RAIN_SEVERITY_ABOVE)
+    return _unless(f"{millimetres} IS NULL OR {millimetres} <= 0", C.RAIN_NONE, wet)
 
 
-def wind_severity(kmh: Column) -> Column:
-    known = banded(kmh, C.WIND_SEVERITY, lt, C.WIND_SEVERITY_ABOVE)
-    return F.when(kmh.isNull(), F.lit(C.WIND_CALM)).otherwise(known)
+def wind_severity(kmh: str) -> Column:
+    known = banded(kmh, "<", C.WIND_SEVERITY, C.WIND_SEVERITY_ABOVE)
+    return _unless(f"{kmh} IS NULL", C.WIND_CALM, known)
 
 
-def storm_severity(wind: Column, rain: Column, code: Column) -> Column:
-    def reached(wind_from, rain_from, codes):
-        condition = (wind >= wind_from) | (rain >= rain_from)
-        return condition | code.isin(codes) if codes else condition
+def storm_severity(wind: str, rain: str, code: str) -> Column:
+    def reached(wind_from: float, rain_from: float, codes: list[int]) -> str:
+        test = f"{wind} >= {literal_double(wind_from)} OR {rain} >= {literal_double(rain_from)}"
+        return f"{test} OR {code} IN ({', '.join(map(str, codes))})" if codes else test
 
-    return case(
-        ((reached(w, r, codes), label) for label, w, r, codes in C.STORM_SEVERITY), C.STORM_NONE
+    return F.expr(
+        case(((reached(w, r, codes), label) for label, w, r, codes in C.STORM_SEVERITY), C.STORM_NONE)
     )
 
 
-def aqi_category(aqi: Column) -> Column:
-    known = banded(aqi, C.AQI_CATEGORY, le, C.AQI_CATEGORY_ABOVE)
-    return F.when(aqi.isNull(), F.lit(C.AQI_CATEGORY_UNKNOWN)).otherwise(known)
+def aqi_category(aqi: str) -> Column:
+    known = banded(aqi, "<=", C.AQI_CATEGORY, C.AQI_CATEGORY_ABOVE)
+    return _unless(f"{aqi} IS NULL", C.AQI_CATEGORY_UNKNOWN, known)
+
+
+def fire_severity(frp: str) -> Column:
+    return F.expr(banded(frp, ">=", C.FIRE_SEVERITY, C.FIRE_SEVERITY_BELOW))
 
 
-def fire_severity(frp: Column) -> Column:
-    return banded(frp, C.FIRE_SEVERITY, ge, C.FIRE_SEVERITY_BELOW)
+def detection_confidence(confidence: str) -> Column:
+    words = [(f"lower({confidence}) = '{word}'", label) for word, label in C.CONFIDENCE_WORDS.items()]
+    numbers = [
+        (f"try_cast({confidence} AS INT) >= {edge}", label) for edge, label in C.CONFIDENCE_PERCENT
+    ]
+    return F.expr(case(words + numbers, C.CONFIDENCE_BELOW))
 
 
-def detection_confidence(confidence: Column) -> Column:
-    percent = confidence.try_cast("int")
-    words = [(F.lower(confidence) == word, label) for word, label in C.CONFIDENCE_WORDS.items()]
-    numbers = [(percent >= edge, label) for edge, label in C.CONFIDENCE_PERCENT]
-    return case(words + numbers, C.CONFIDENCE_BELOW)
+def hotspot_tier(detections: str) -> Column:
+    return F.expr(banded(detections, ">", C.HOTSPOT_TIER, C.HOTSPOT_TIER_BELOW))
 
 
-def hotspot_tier(detections: Column) -> Column:
-    return banded(detections, C.HOTSPOT_TIER, gt, C.HOTSPOT_TIER_BELOW)
+def _equal_to(column: str, table: dict[str, object], otherwise: object) -> Column:
+    return F.expr(case(((f"{column} = '{key}'", value) for key, value in table.items()), otherwise))
 
 
-def air_quality_tier(category: Column) -> Column:
-    return lookup(category, C.AQ_HOTSPOT_TIER, C.AQ_HOTSPOT_TIER_ELSE)
+def air_quality_tier(category: str) -> Column:
+    return _equal_to(category, C.AQ_HOTSPOT_TIER, C.AQ_HOTSPOT_TIER_ELSE)
 
 
-def risk_level(score: Column) -> Column:
-    return banded(score, C.RISK_LEVEL, ge, C.RISK_LEVEL_BELOW)
+def risk_level(score: str) -> Column:
+    return F.expr(banded(score, ">=", C.RISK_LEVEL, C.RISK_LEVEL_BELOW))
 
 
-def risk_weight(label: Column, hazard: str) -> Column:
+def risk_weight(label: str, hazard: str) -> Column:
     table, unlisted = C.RISK_WEIGHTS[hazard]
-    return lookup(label, {k: float(v) for k, v in table.items()}, float(unlisted))
+    return _equal_to(label, table, unlisted).cast("double")

@@ -1,4 +1,4 @@
-"""Tolerant parsing of raw text columns."""
+"""Tolerant parsing of raw text columns, by column name."""
 
 from __future__ import annotations
 
@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from hazardlens.constants import NULL_TEXT_ANY_CASE, NULL_TEXT_EXACT
 
 
-def null_if_missing(text: Column) -> Column:
+def _listed(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def null_if_missing(column: str) -> Column:
     """NULL for the texts that stand for a missing value; no trimming."""
-    missing = text.isin(NULL_TEXT_EXACT) | F.lower(text).isin(NULL_TEXT_ANY_CASE)
-    return F.when(missing, F.lit(None)).otherwise(text)
+    missing = f"{column} IN ({_listed(NULL_TEXT_EXACT)}) OR lower({column}) IN ({_listed(NULL_TEXT_ANY_CASE)})"
+    return F.expr(f"CASE WHEN {missing} THEN NULL ELSE {column} END")
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -23,10 +27,10 @@ def parse_timestamp(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
-def parse_date(text: Column) -> Column:
+def parse_date(column: str) -> Column:
     """``yyyy-MM-dd`` text to a date, else NULL."""
-    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date")
+    return F.expr(f"CAST(try_to_timestamp({column}, 'yyyy-MM-dd') AS DATE)")
 
 
-def try_double(text: Column) -> Column:
-    return text.try_cast("double")
+def try_double(column: str) -> Column:
+    return F.expr(f"try_cast({column} AS DOUBLE)")

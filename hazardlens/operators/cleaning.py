@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardlens.functions import geo, text
-from hazardlens.operators.common import first_per_key, newest
+from hazardlens.operators.common import first_per_key, newest_sql
 
 
 def clean_string_nulls(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: text.null_if_missing(F.col(c)) for c in names if c in df.columns})
+    return df.withColumns({c: text.null_if_missing(c) for c in names if c in df.columns})
 
 
 def normalize_timestamp(df: DataFrame, name: str) -> DataFrame:
@@ -26,11 +26,11 @@ def normalize_timestamp(df: DataFrame, name: str) -> DataFrame:
 def normalize_date(df: DataFrame, name: str) -> DataFrame:
     if not isinstance(df.schema[name].dataType, T.StringType):
         return df
-    return df.withColumn(name, text.parse_date(F.col(name)))
+    return df.withColumn(name, text.parse_date(name))
 
 
 def validate_coordinates(df: DataFrame) -> DataFrame:
-    return df.filter(geo.in_range(F.col("latitude"), F.col("longitude")))
+    return df.filter(geo.in_range())
 
 
 def require_fields(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def require_fields(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def fill_defaults(df: DataFrame, defaults: Mapping[str, float]) -> DataFrame:
     """Replace NULL (not NaN) by the given values."""
-    return df.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()}) if defaults else df
+    return df.withColumns({c: F.expr(f"coalesce({c}, {v}D)") for c, v in defaults.items()}) if defaults else df
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
@@ -48,7 +48,7 @@ def deduplicate(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     NULL parts of a key count as equal.
     """
     rest = [c for c in df.columns if c not in keys and c != time]
-    order = newest(([] if time in keys else [time]) + rest)
+    order = newest_sql(([] if time in keys else [time]) + rest)
     return first_per_key(df, keys, order)
 
 

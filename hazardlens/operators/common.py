@@ -6,9 +6,8 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 AsOf = dt.datetime | Column | None
 
@@ -44,14 +43,20 @@ def newest(columns: Sequence[str]) -> list[Column]:
     return [F.col(c).desc_nulls_last() for c in columns]
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
-    """The first ``k`` rows of every key.
+def newest_sql(columns: Sequence[str]) -> str:
+    """``newest`` as the text of an ORDER BY."""
+    return ", ".join(f"`{c}` DESC NULLS LAST" for c in columns)
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order: str, k: int = 1) -> DataFrame:
+    """The first ``k`` rows of every key in the given ORDER BY.
 
     The rank filter becomes a group limit below the shuffle, so each map task
     sends at most ``k`` rows of a key: a hot key does not reach one reducer whole.
     """
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.filter(F.col("_rank") <= k).drop("_rank")
+    partition = ", ".join(f"`{c}`" for c in keys)
+    rank = F.expr(f"row_number() OVER (PARTITION BY {partition} ORDER BY {order})")
+    return df.withColumn("_rank", rank).filter(f"_rank <= {k}").drop("_rank")
 
 
 def latest_per_key(df: DataFrame, key: str, time: str) -> DataFrame:
@@ -63,11 +68,13 @@ def latest_per_key(df: DataFrame, key: str, time: str) -> DataFrame:
     tops = df.groupBy(key).agg(F.max(time).alias(time))
     rest = [c for c in df.columns if c not in (key, time)]
     candidates = df.join(tops, [key, time])
-    return first_per_key(candidates, [key], newest(rest)).select(*df.columns)
+    return first_per_key(candidates, [key], newest_sql(rest)).select(*df.columns)
+
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], names: str) -> DataFrame:
+    """A fixed list as a local relation: its exact size is known to the planner."""
+    def sql(value: str | float | int) -> str:
+        return f"{value!r}D" if isinstance(value, float) else repr(value)
 
-def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A fixed list as a relation of known size, which joins can broadcast by size."""
-    names = T.StructType.fromDDL(schema).names
-    literals = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*literals)))
+    values = ", ".join("(" + ", ".join(map(sql, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.constants import RISK_LEVELS, SOURCES
 from hazardlens.operators.common import (
-    AsOf, count_by, first_per_key, moment, newest, since, since_date, union_all,
+    AsOf, count_by, first_per_key, moment, newest, newest_sql, since, since_date, union_all,
 )
 
 EVENT_CLOCK = {
@@ -108,7 +108,7 @@ def risk_distribution_matrix(processed: dict[str, DataFrame], as_of: AsOf = None
 def latest_risk_scores(risk_scores: DataFrame) -> DataFrame:
     """Newest score row of every region."""
     rest = [c for c in risk_scores.columns if c not in ("region_name", "computed_at")]
-    return first_per_key(risk_scores, ["region_name"], newest(["computed_at", *rest]))
+    return first_per_key(risk_scores, ["region_name"], newest_sql(["computed_at", *rest]))
 
 
 def risk_level_distribution(risk_scores: DataFrame) -> DataFrame:

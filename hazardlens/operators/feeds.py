@@ -13,37 +13,35 @@ from hazardlens.operators import cleaning
 
 
 def enrich_earthquakes(df: DataFrame) -> DataFrame:
-    magnitude, depth = F.col("magnitude"), F.col("depth_km")
     return df.withColumns(
         {
-            "risk_category": rules.risk_category(magnitude),
-            "magnitude_band": rules.magnitude_band(magnitude),
-            "distance_group": rules.distance_group(depth),
+            "risk_category": rules.risk_category("magnitude"),
+            "magnitude_band": rules.magnitude_band("magnitude"),
+            "distance_group": rules.distance_group("depth_km"),
         }
     )
 
 
 def enrich_weather(df: DataFrame) -> DataFrame:
-    wind, rain = F.col("wind_speed_kmh"), F.col("precipitation_mm")
     return df.withColumns(
         {
-            "heat_index": rules.heat_index(F.col("temperature_c"), F.col("humidity_pct")),
-            "rain_severity": rules.rain_severity(rain),
-            "wind_severity": rules.wind_severity(wind),
-            "storm_severity": rules.storm_severity(wind, rain, F.col("weather_code")),
+            "heat_index": rules.heat_index("temperature_c", "humidity_pct"),
+            "rain_severity": rules.rain_severity("precipitation_mm"),
+            "wind_severity": rules.wind_severity("wind_speed_kmh"),
+            "storm_severity": rules.storm_severity("wind_speed_kmh", "precipitation_mm", "weather_code"),
         }
     )
 
 
 def enrich_air_quality(df: DataFrame) -> DataFrame:
-    return df.withColumn("aqi_category", rules.aqi_category(F.col("us_aqi")))
+    return df.withColumn("aqi_category", rules.aqi_category("us_aqi"))
 
 
 def enrich_wildfires(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
-            "fire_severity": rules.fire_severity(F.col("frp")),
-            "detection_confidence": rules.detection_confidence(F.col("confidence")),
+            "fire_severity": rules.fire_severity("frp"),
+            "detection_confidence": rules.detection_confidence("confidence"),
         }
     )
 
@@ -73,13 +71,9 @@ class Feed:
 
     def flag(self, df: DataFrame) -> DataFrame:
         """Parsed rows with one flag per validation step instead of a filter per step."""
-        present = F.lit(True)
-        for name in self.required:
-            present = present & F.col(name).isNotNull()
-        in_range = geo.in_range(F.col("latitude"), F.col("longitude"))
-        return self.parse(df).withColumns(
-            {"_parsed": present, "_in_range": F.coalesce(in_range, F.lit(False))}
-        )
+        present = F.expr(" AND ".join(f"{name} IS NOT NULL" for name in self.required))
+        in_range = F.coalesce(geo.in_range(), F.lit(False))
+        return self.parse(df).withColumns({"_parsed": present, "_in_range": in_range})
 
     def finish(self, flagged: DataFrame) -> DataFrame:
         """Valid rows of a flagged frame: deduplicated, defaulted and enriched."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.constants import MAGNITUDE_BINS
 from hazardlens.functions import rules
-from hazardlens.operators.common import AsOf, count_by, first_per_key, newest, since, since_date
+from hazardlens.operators.common import AsOf, count_by, first_per_key, newest, newest_sql, since, since_date
 
 
 # --- earthquakes: 30 days ---------------------------------------------------
@@ -34,7 +34,7 @@ def quake_risk_categories(quakes: DataFrame, as_of: AsOf = None) -> DataFrame:
 
 
 def quake_depth_groups(quakes: DataFrame, as_of: AsOf = None) -> DataFrame:
-    return count_by(_month(quakes, as_of), rules.depth_group(F.col("depth_km")).alias("depth_group"))
+    return count_by(_month(quakes, as_of), rules.depth_group("depth_km").alias("depth_group"))
 
 
 def quake_daily_trend(quakes: DataFrame, as_of: AsOf = None) -> DataFrame:
@@ -113,7 +113,7 @@ def fire_grid_hotspots(
 
 
 def fire_hotspot_tier(hotspots: DataFrame) -> DataFrame:
-    return hotspots.withColumn("tier", rules.hotspot_tier(F.col("fire_count")))
+    return hotspots.withColumn("tier", rules.hotspot_tier("fire_count"))
 
 
 # --- weather and air quality: 7 days ----------------------------------------
@@ -189,12 +189,12 @@ def aq_hotspots(air: DataFrame, as_of: AsOf = None, limit: int = 20) -> DataFram
         .select("location_name", "us_aqi", "aqi_category", "observed_at")
         .orderBy(F.desc("observed_at"), "location_name")
         .limit(limit)
-        .withColumn("tier", rules.air_quality_tier(F.col("aqi_category")))
+        .withColumn("tier", rules.air_quality_tier("aqi_category"))
     )
 
 
 def last_k_per_location(df: DataFrame, measure: str, as_of: AsOf = None, k: int = 48) -> DataFrame:
     """The newest ``k`` readings of each location within the week, oldest first."""
     recent = _week(df, as_of).select("location_name", "observed_at", measure)
-    order = [F.desc("observed_at"), F.desc_nulls_last(measure)]
+    order = newest_sql(["observed_at", measure])
     return first_per_key(recent, ["location_name"], order, k).orderBy("location_name", "observed_at")

@@ -149,7 +149,7 @@ def source_activity(logs: DataFrame, expected: Sequence[str] = tuple(INGESTION_S
         "source",
         "created_at",
     )
-    dim = small_table(logs.sparkSession, [(n,) for n in names], "source string")
+    dim = small_table(logs.sparkSession, [(n,) for n in names], "source")
     # A stored latency of zero is reported as missing.
     latency = F.when(F.col("latency_ms") != 0, F.round("latency_ms", 2))
     return dim.join(latest, "source", "left").select(

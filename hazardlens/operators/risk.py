@@ -15,8 +15,7 @@ _KM_PER_DEGREE = math.pi * C.EARTH_RADIUS_KM / 180.0
 
 
 def monitored_regions(spark: SparkSession) -> DataFrame:
-    schema = "region_name string, region_lat double, region_lon double"
-    return small_table(spark, C.MONITORED_LOCATIONS, schema)
+    return small_table(spark, C.MONITORED_LOCATIONS, "region_name, region_lat, region_lon")
 
 
 def region_cells(regions: DataFrame, radius_km: float, cell_degrees: float = 1.0) -> DataFrame:
@@ -27,25 +26,25 @@ def region_cells(regions: DataFrame, radius_km: float, cell_degrees: float = 1.0
     the grid belongs to it. Columns wrap at the antimeridian.
     """
     columns = int(360 / cell_degrees)
-    dlat = F.lit(radius_km / _KM_PER_DEGREE)
+    dlat = radius_km / _KM_PER_DEGREE
     lat, lon = F.col("region_lat"), F.col("region_lon")
     farthest = F.abs(lat) + dlat
     half_turn = F.lit(180.0)
     dlon = F.when(farthest >= 90.0, half_turn).otherwise(
-        F.least(half_turn, dlat / F.cos(F.radians(farthest)))
+        F.least(half_turn, F.lit(dlat) / F.cos(F.radians(farthest)))
     )
     first_x = F.floor((lon - dlon + 180.0) / cell_degrees)
     last_x = F.floor((lon + dlon + 180.0) / cell_degrees)
     # A box as wide as the grid lists each column once.
     last_x = F.least(last_x, first_x + columns - 1)
     return (
-        regions.filter(geo.in_range(lat, lon))
+        regions.filter(geo.in_range("region_lat", "region_lon"))
         .withColumn(
             "cell_y",
             F.explode(
                 F.sequence(
-                    geo.cell_y(F.greatest(lat - dlat, F.lit(-90.0)), cell_degrees),
-                    geo.cell_y(F.least(lat + dlat, F.lit(90.0)), cell_degrees),
+                    geo.cell_y(f"greatest(region_lat - {dlat!r}D, -90D)", cell_degrees),
+                    geo.cell_y(f"least(region_lat + {dlat!r}D, 90D)", cell_degrees),
                 )
             ),
         )
@@ -76,11 +75,13 @@ def near_regions(
     events: DataFrame, cells: DataFrame, radius_km: float, cell_degrees: float = 1.0
 ) -> DataFrame:
     """Events of a cell paired with the regions of that cell, kept if close enough."""
-    lat, lon = F.col("latitude"), F.col("longitude")
-    located = events.filter(geo.in_range(lat, lon)).withColumns(
-        {"cell_y": geo.cell_y(lat, cell_degrees), "cell_x": geo.cell_x(lon, cell_degrees)}
+    located = events.filter(geo.in_range()).withColumns(
+        {
+            "cell_y": geo.cell_y("latitude", cell_degrees),
+            "cell_x": geo.cell_x("longitude", cell_degrees),
+        }
     )
-    distance = geo.haversine_km(F.col("region_lat"), F.col("region_lon"), lat, lon)
+    distance = geo.haversine_km("region_lat", "region_lon", "latitude", "longitude")
     return (
         located.join(cells, ["cell_y", "cell_x"])
         .withColumn("distance_km", distance)
@@ -123,7 +124,7 @@ def _quake_peaks(
     boost = F.least(F.coalesce("magnitude", F.lit(0.0)) * 5.0, F.lit(25.0))
     scored = recent.select(
         "latitude", "longitude",
-        (rules.risk_weight(F.col("risk_category"), "earthquakes") + boost).alias("_points"),
+        (rules.risk_weight("risk_category", "earthquakes") + boost).alias("_points"),
     )
     return (
         near_regions(scored, cells, radius_km)
@@ -148,7 +149,7 @@ def _fire_peaks(
     boost = F.least(F.coalesce("frp", F.lit(0.0)) / 5.0, F.lit(20.0))
     scored = fires.filter(since_date(F.col("acq_date"), as_of, days)).select(
         "latitude", "longitude",
-        (rules.risk_weight(F.col("fire_severity"), "wildfires") + boost).alias("_points"),
+        (rules.risk_weight("fire_severity", "wildfires") + boost).alias("_points"),
     )
     peak = F.greatest(F.max("_points"), F.lit(0.0))
     crowd = F.when(F.count("*") > 3, F.count("*") * 2.0).otherwise(F.lit(0.0))
@@ -189,7 +190,7 @@ def _weather_latest(weather: DataFrame, regions: DataFrame) -> DataFrame:
     # Floors set by hurricane wind, gale wind and heavy rain.
     wind_floor = F.when(wind == "Hurricane", F.lit(90.0)).when(wind == "Gale", F.lit(60.0))
     rain_floor = F.when(F.col("precipitation_mm") >= 50.0, F.lit(85.0))
-    points = F.greatest(rules.risk_weight(F.col("storm_severity"), "weather"), wind_floor, rain_floor)
+    points = F.greatest(rules.risk_weight("storm_severity", "weather"), wind_floor, rain_floor)
     return _latest_points(weather, regions, points, "weather_score")
 
 
@@ -200,7 +201,7 @@ def weather_score(weather: DataFrame, regions: DataFrame) -> DataFrame:
 def _air_latest(air: DataFrame, regions: DataFrame) -> DataFrame:
     # Floor for an index above 300.
     floor = F.when(F.col("us_aqi") > 300, F.lit(95.0))
-    points = F.greatest(rules.risk_weight(F.col("aqi_category"), "air_quality"), floor)
+    points = F.greatest(rules.risk_weight("aqi_category", "air_quality"), floor)
     return _latest_points(air, regions, points, "air_quality_score")
 
 
@@ -237,6 +238,6 @@ def unified_risk(
         F.col("region_lon").alias("longitude"),
         *[F.round(name, 2).alias(name) for name in C.RISK_SHARES],
         F.round("_unified", 2).alias("unified_score"),
-        rules.risk_level(F.col("_unified")).alias("risk_level"),
+        rules.risk_level("_unified").alias("risk_level"),
         moment(as_of).alias("computed_at"),
     )

@@ -189,21 +189,21 @@ def skip_existing(i: Inputs) -> DataFrame:
 @query
 def risk_category(i: Inputs) -> DataFrame:
     return i.raw("earthquakes").select(
-        "event_id", "magnitude", "event_time", rules.risk_category(F.col("magnitude")).alias("risk_category")
+        "event_id", "magnitude", "event_time", rules.risk_category("magnitude").alias("risk_category")
     )
 
 
 @query
 def magnitude_band(i: Inputs) -> DataFrame:
     return i.raw("earthquakes").select(
-        "event_id", "magnitude", "event_time", rules.magnitude_band(F.col("magnitude")).alias("magnitude_band")
+        "event_id", "magnitude", "event_time", rules.magnitude_band("magnitude").alias("magnitude_band")
     )
 
 
 @query
 def distance_group(i: Inputs) -> DataFrame:
     return i.raw("earthquakes").select(
-        "event_id", "depth_km", "event_time", rules.distance_group(F.col("depth_km")).alias("distance_group")
+        "event_id", "depth_km", "event_time", rules.distance_group("depth_km").alias("distance_group")
     )
 
 
@@ -216,36 +216,36 @@ def _weather_rule(i: Inputs, **labels) -> DataFrame:
 
 @query
 def heat_index(i: Inputs) -> DataFrame:
-    return _weather_rule(i, heat_index=rules.heat_index(F.col("temperature_c"), F.col("humidity_pct")))
+    return _weather_rule(i, heat_index=rules.heat_index("temperature_c", "humidity_pct"))
 
 
 @query
 def rain_severity(i: Inputs) -> DataFrame:
-    return _weather_rule(i, rain_severity=rules.rain_severity(F.col("precipitation_mm")))
+    return _weather_rule(i, rain_severity=rules.rain_severity("precipitation_mm"))
 
 
 @query
 def wind_severity(i: Inputs) -> DataFrame:
-    return _weather_rule(i, wind_severity=rules.wind_severity(F.col("wind_speed_kmh")))
+    return _weather_rule(i, wind_severity=rules.wind_severity("wind_speed_kmh"))
 
 
 @query
 def storm_severity(i: Inputs) -> DataFrame:
-    label = rules.storm_severity(F.col("wind_speed_kmh"), F.col("precipitation_mm"), F.col("weather_code"))
+    label = rules.storm_severity("wind_speed_kmh", "precipitation_mm", "weather_code")
     return _weather_rule(i, storm_severity=label)
 
 
 @query
 def aqi_category(i: Inputs) -> DataFrame:
     return i.raw("air_quality").select(
-        "location_name", "observed_at", "us_aqi", rules.aqi_category(F.col("us_aqi")).alias("aqi_category")
+        "location_name", "observed_at", "us_aqi", rules.aqi_category("us_aqi").alias("aqi_category")
     )
 
 
 @query
 def fire_severity(i: Inputs) -> DataFrame:
     return i.raw("wildfires").select(
-        "acq_date", "acq_time", "frp", rules.fire_severity(F.col("frp")).alias("fire_severity")
+        "acq_date", "acq_time", "frp", rules.fire_severity("frp").alias("fire_severity")
     )
 
 
@@ -253,7 +253,7 @@ def fire_severity(i: Inputs) -> DataFrame:
 def detection_confidence(i: Inputs) -> DataFrame:
     return i.raw("wildfires").select(
         "acq_date", "acq_time", "confidence",
-        rules.detection_confidence(F.col("confidence")).alias("detection_confidence"),
+        rules.detection_confidence("confidence").alias("detection_confidence"),
     )
 
 
@@ -305,7 +305,7 @@ add("total_records", lambda i: quality.total_records(i.processed))
 
 # --- dashboard --------------------------------------------------------------
 
-add("dashboard_summary", lambda i: dashboard.dashboard_summary(i.processed, i.anomalies, i.alerts, AS_OF))
+add("dashboard_summary", lambda i: dashboard.dashboard_summary(i.stored, i.anomalies, i.alerts, AS_OF))
 add("events_per_hour", lambda i: dashboard.events_per_hour(i.processed, AS_OF, 168))
 add("events_per_hour_matrix", lambda i: dashboard.events_per_hour_matrix(i.processed, AS_OF, 24))
 add("risk_distribution_by_source", lambda i: dashboard.risk_distribution_by_source(i.processed, AS_OF))
@@ -319,11 +319,11 @@ add("markers_weather", lambda i: dashboard.markers_weather(i.weather))
 add("markers_air_quality", lambda i: dashboard.markers_air_quality(i.air))
 add(
     "analytics_snapshot",
-    lambda i: dashboard.analytics_snapshot(i.processed, i.anomalies, i.alerts, i.risk_scores, AS_OF),
+    lambda i: dashboard.analytics_snapshot(i.stored, i.anomalies, i.alerts, i.risk_scores, AS_OF),
 )
 add(
     "live_payload",
-    lambda i: dashboard.live_payload(i.processed, i.anomalies, i.alerts, i.risk_scores, AS_OF),
+    lambda i: dashboard.live_payload(i.stored, i.anomalies, i.alerts, i.risk_scores, AS_OF),
 )
 
 
@@ -359,9 +359,9 @@ add("last_k_temperature", lambda i: hazards.last_k_per_location(i.weather, "temp
 
 @query
 def haversine_km(i: Inputs) -> DataFrame:
-    """Distance of every located quake from the place its user belongs to."""
+    """Distance of every located quake from New York."""
     quakes = cleaning.validate_coordinates(i.raw("earthquakes"))
-    distance = geo.haversine_km(F.lit(40.7128), F.lit(-74.0060), F.col("latitude"), F.col("longitude"))
+    distance = geo.haversine_km("40.7128D", "-74.0060D", "latitude", "longitude")
     return quakes.select("event_id", "event_time", F.round(distance, 6).alias("distance_km"))
 
 
@@ -378,7 +378,7 @@ add("air_quality_score", lambda i: risk.air_quality_score(i.air, i.regions))
 add("unified_risk", lambda i: risk.unified_risk(i.processed, i.regions, AS_OF))
 add(
     "risk_level",
-    lambda i: i.events.select("event_id", rules.risk_level(F.col("value")).alias("risk_level")),
+    lambda i: i.events.select("event_id", rules.risk_level("value").alias("risk_level")),
 )
 
 
@@ -388,7 +388,7 @@ for _type, _rule in alerts.RULES.items():
     add(
         f"alert_{_type}",
         lambda i, r=_rule: alerts.raise_alerts(
-            i.one(r.source), r, i.alerts, AS_OF, LOOKBACK_HOURS
+            i.stored[r.source], r, i.alerts, AS_OF, LOOKBACK_HOURS
         ).drop("metadata", "resolved_at"),
     )
 
@@ -397,13 +397,13 @@ for _type, _rule in alerts.RULES.items():
 def alert_cooldown(i: Inputs) -> DataFrame:
     """Quake ids left after the cool-down of the earlier alerts."""
     rule = alerts.MAJOR_EARTHQUAKE
-    rows = alerts.candidates(i.quakes, rule, AS_OF, LOOKBACK_HOURS)
+    rows = alerts.candidates(i.stored["earthquakes"], rule, AS_OF, LOOKBACK_HOURS)
     return alerts.suppress_repeats(rows, rule, i.alerts, AS_OF).select("event_id", "magnitude")
 
 
 add(
     "alert_rows",
-    lambda i: alerts.new_alerts(i.processed, i.alerts, AS_OF, LOOKBACK_HOURS).drop("metadata", "resolved_at"),
+    lambda i: alerts.new_alerts(i.stored, i.alerts, AS_OF, LOOKBACK_HOURS).drop("metadata", "resolved_at"),
 )
 
 

@@ -94,7 +94,7 @@ from {events} e where e.event_type = 'signup'
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_times(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return _event_times(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def _event_times(events: DataFrame) -> DataFrame:
 def feed(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:
     """Raw records of one feed; every tenth fire detection is delivered twice."""
     places = [(i, n, lat, lon) for i, (n, lat, lon) in enumerate(MONITORED_LOCATIONS)]
-    loc = small_table(spark, places, "loc_id int, location_name string, rlat double, rlon double")
+    loc = small_table(spark, places, "loc_id, location_name, rlat, rlon")
     inputs = {"events": events, "loc": loc}
     if name == "wildfires":
         copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -120,17 +120,11 @@ def feed(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:
 
 def fire_processed_at():
     """A stand-in for the load time of a fire row: its acquisition time."""
-    minutes = F.substring("acq_time", 1, 2).cast("int") * 60 + F.substring("acq_time", 3, 2).cast("int")
-    return F.col("acq_date").cast("timestamp") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.coalesce(minutes, F.lit(0))
-    )
+    minutes = "coalesce(int(substr(acq_time, 1, 2)) * 60 + int(substr(acq_time, 3, 2)), 0)"
+    return F.expr(f"timestamp(acq_date) + make_dt_interval(0, 0, {minutes})")
 
 
-def processed_feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    raw = feed(spark, read_events(spark, sf_dir), name)
+def processed_feed(spark: SparkSession, events: DataFrame, name: str) -> DataFrame:
+    raw = feed(spark, events, name)
     stamp = {"wildfires": fire_processed_at()}.get(name)
     return FEEDS[name].process(raw, stamp)
-
-
-def all_processed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {name: processed_feed(spark, sf_dir, name) for name in FEEDS}

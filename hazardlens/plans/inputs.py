@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from hazardlens.operators import alerts, anomalies, forecast, risk
 from hazardlens.operators.common import union_all
 from hazardlens.operators.dashboard import EVENT_CLOCK
+from hazardlens.operators.feeds import FEEDS
 from hazardlens.plans import feeds
-from hazardlens.session import use_utc
+from hazardlens.session import shared_dir, use_utc
+from hazardlens.sinks.tables import append_risk_scores, write_batch
+from hazardlens.sources.tables import scan_processed, scan_table
 
 AS_OF = feeds.AS_OF
 LOOKBACK_HOURS = 72
@@ -36,10 +39,10 @@ class Inputs:
 
     @cached_property
     def processed(self) -> dict[str, DataFrame]:
-        return feeds.all_processed(self.spark, self.sf_dir)
+        return {name: self.one(name) for name in FEEDS}
 
     def one(self, name: str) -> DataFrame:
-        return feeds.processed_feed(self.spark, self.sf_dir, name)
+        return feeds.processed_feed(self.spark, self.events, name)
 
     @property
     def quakes(self) -> DataFrame:
@@ -67,32 +70,48 @@ class Inputs:
 
     @property
     def anomalies(self) -> DataFrame:
-        found = anomalies.anomaly_events(self.processed)
+        found = anomalies.anomaly_events(self.stored)
         return found.withColumn("detected_at", F.col("event_time"))
 
     @property
     def regions(self) -> DataFrame:
         return risk.monitored_regions(self.spark)
 
+    @cached_property
+    def root(self) -> str:
+        return shared_dir(self.spark, "tables")
+
+    @cached_property
+    def stored(self) -> dict[str, DataFrame]:
+        """The processed tables, written once for queries that read them repeatedly."""
+        for name, df in self.processed.items():
+            day = F.to_date(FEEDS[name].time)
+            dated = df.withColumn("event_date", day)
+            write_batch(dated, self.root, f"{name}_processed", 0, partition_by=["event_date"])
+        return scan_processed(self.spark, self.root)
+
     def known_at(self, moment: dt.datetime) -> dict[str, DataFrame]:
         """The processed tables as they stood at an earlier moment."""
         return {
             name: df.filter(F.col(EVENT_CLOCK[name]) < F.lit(moment))
-            for name, df in self.processed.items()
+            for name, df in self.stored.items()
         }
 
     @cached_property
     def risk_scores(self) -> DataFrame:
+        """The score table after a run at each of ``SCORED_AT``."""
         runs = [risk.unified_risk(self.known_at(t), self.regions, t) for t in SCORED_AT]
-        return union_all(runs)
+        append_risk_scores(union_all(runs), self.root)
+        return scan_table(self.spark, self.root, "risk_scores")
 
     @cached_property
     def alerts(self) -> DataFrame:
-        """Two earlier alert runs, the second one subject to the first one's cool-down."""
-        first, second = ALERTED_AT
-        raised = alerts.new_alerts(self.known_at(first), None, first, LOOKBACK_HOURS)
-        again = alerts.new_alerts(self.known_at(second), raised, second, LOOKBACK_HOURS)
-        return raised.unionByName(again)
+        """The alert table after two runs, the second subject to the first one's cool-down."""
+        for run, moment in enumerate(ALERTED_AT):
+            earlier = scan_table(self.spark, self.root, "alerts").drop("batch_id")
+            raised = alerts.new_alerts(self.known_at(moment), earlier, moment, LOOKBACK_HOURS)
+            write_batch(raised, self.root, "alerts", run)
+        return scan_table(self.spark, self.root, "alerts").drop("batch_id")
 
     @cached_property
     def series(self) -> DataFrame:

@@ -23,7 +23,12 @@ def write_batch(
     """
     folder = f"{root}/{table}" + (f"/source={source}" if source else "")
     in_path = ["batch_id", "source"] if source else ["batch_id"]
-    writer = df.drop(*in_path).write.mode("overwrite")
+    rows = df.drop(*in_path)
+    if partition_by:
+        # One writer per folder, except where a folder is too big for one: adaptive
+        # execution merges small shuffle partitions and splits large ones.
+        rows = rows.hint("rebalance", *[F.col(c) for c in partition_by])
+    writer = rows.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{folder}/batch_id={batch_id}")
@@ -32,12 +37,12 @@ def write_batch(
 def replace_forecasts(forecasts: DataFrame, root: str, max_records_per_file: int = 1_000_000) -> None:
     """Replace the stored forecasts of every (metric, source, horizon, location) given.
 
-    Rows are brought together by series before writing, so each series' folder gets
-    one file; other series stay as they are.
+    Rows are brought together by series before writing, so that a series' folder
+    gets one file; other series stay as they are.
     """
     series = ["metric", "source", "horizon", "location_name"]
     (
-        forecasts.repartition(*[F.col(c) for c in series])
+        forecasts.hint("rebalance", *[F.col(c) for c in series])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", max_records_per_file)

@@ -155,20 +155,20 @@ def read_fire_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def brightest_fires(rows: DataFrame, limit: int = FIRE_DOWNLOAD_LIMIT) -> DataFrame:
     """The ``limit`` brightest raw detections; an unreadable brightness counts as 0."""
-    brightness = F.coalesce(text.try_double(F.col("bright_ti4")), F.lit(0.0))
+    brightness = F.coalesce(text.try_double("bright_ti4"), F.lit(0.0))
     ties = ["acq_date", "acq_time", "latitude", "longitude", "frp"]
     return rows.orderBy(brightness.desc(), *[F.col(c).desc_nulls_last() for c in ties]).limit(limit)
 
 
 def valid_fire_rows(rows: DataFrame) -> DataFrame:
     """Numeric coordinates within range and a date."""
-    located = geo.in_range(text.try_double(F.col("latitude")), text.try_double(F.col("longitude")))
+    located = geo.in_range("try_cast(latitude AS DOUBLE)", "try_cast(longitude AS DOUBLE)")
     return rows.filter(located & (F.col("acq_date") != ""))
 
 
 def fires_from_rows(rows: DataFrame) -> DataFrame:
     """Typed measures (unreadable ones NULL); text columns default to ''."""
-    number = lambda c: text.try_double(F.col(c))
+    number = text.try_double
     word = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return rows.select(
         number("latitude").alias("latitude"),
