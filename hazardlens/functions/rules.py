@@ -104,7 +104,8 @@ def fire_severity(frp: str) -> Column:
 def detection_confidence(confidence: str) -> Column:
     words = [(f"lower({confidence}) = '{word}'", label) for word, label in C.CONFIDENCE_WORDS.items()]
     numbers = [
-        (f"try_cast({confidence} AS INT) >= {edge}", label) for edge, label in C.CONFIDENCE_PERCENT
+        (f"try_cast({confidence} AS DECIMAL(20, 4)) >= {edge}", label)
+        for edge, label in C.CONFIDENCE_PERCENT
     ]
     return F.expr(case(words + numbers, C.CONFIDENCE_BELOW))
 

@@ -71,6 +71,20 @@ def latest_per_key(df: DataFrame, key: str, time: str) -> DataFrame:
     return first_per_key(candidates, [key], newest_sql(rest)).select(*df.columns)
 
 
+def rounded(number: str, digits: int) -> Column:
+    """A number rounded through a decimal, halves away from zero.
+
+    Ten decimals absorb the last-bit differences that the order of a distributed sum
+    leaves, so the rounded value does not depend on the partitioning.
+    """
+    return F.expr(f"CAST(round(CAST({number} AS DECIMAL(38, 10)), {digits}) AS DOUBLE)")
+
+
+def rounded_avg(column: str, digits: int = 2, missing: float | None = None) -> Column:
+    mean = f"avg({column})"
+    return rounded(mean if missing is None else f"coalesce({mean}, {missing}D)", digits)
+
+
 def small_table(spark: SparkSession, rows: Sequence[tuple], names: str) -> DataFrame:
     """A fixed list as a local relation: its exact size is known to the planner."""
     def sql(value: str | float | int) -> str:

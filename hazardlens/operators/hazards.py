@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.constants import MAGNITUDE_BINS
 from hazardlens.functions import rules
-from hazardlens.operators.common import AsOf, count_by, first_per_key, newest, newest_sql, since, since_date
+from hazardlens.operators.common import AsOf, count_by, first_per_key, newest, newest_sql, rounded, rounded_avg, since, since_date
 
 
 # --- earthquakes: 30 days ---------------------------------------------------
@@ -73,15 +73,11 @@ def fire_confidence_dist(fires: DataFrame, as_of: AsOf = None) -> DataFrame:
     return count_by(_fortnight(fires, as_of), "detection_confidence")
 
 
-def _average_frp():
-    return F.round(F.coalesce(F.avg("frp"), F.lit(0.0)), 2).alias("avg_frp")
-
-
 def fire_growth_trend(fires: DataFrame, as_of: AsOf = None) -> DataFrame:
     return (
         _fortnight(fires, as_of)
         .groupBy("acq_date")
-        .agg(F.count("*").alias("count"), _average_frp())
+        .agg(F.count("*").alias("count"), rounded_avg("frp", missing=0.0).alias("avg_frp"))
         .orderBy("acq_date")
     )
 
@@ -105,7 +101,7 @@ def fire_grid_hotspots(
             (F.round("latitude", 0) + F.lit(0.0)).alias("latitude"),
             (F.round("longitude", 0) + F.lit(0.0)).alias("longitude"),
         )
-        .agg(F.count("*").alias("fire_count"), _average_frp())
+        .agg(F.count("*").alias("fire_count"), rounded_avg("frp", missing=0.0).alias("avg_frp"))
         .filter(F.col("fire_count") >= min_detections)
         .orderBy(F.desc("fire_count"), "latitude", "longitude")
         .limit(limit)
@@ -172,7 +168,7 @@ def aq_regional_comparison(air: DataFrame, as_of: AsOf = None) -> DataFrame:
         .orderBy(F.desc_nulls_first("_avg"), "location_name")
         .select(
             "location_name",
-            F.round(F.coalesce("_avg", F.lit(0.0)), 1).alias("avg_aqi"),
+            rounded("coalesce(_avg, 0D)", 1).alias("avg_aqi"),
             "max_aqi",
         )
     )

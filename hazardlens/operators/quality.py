@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.constants import INGESTION_SOURCES, SOURCES
-from hazardlens.operators.common import AsOf, latest_per_key, newest, since, small_table, union_all
+from hazardlens.operators.common import AsOf, latest_per_key, newest, rounded, rounded_avg, since, small_table, union_all
 from hazardlens.operators.feeds import Feed
 
 
@@ -46,13 +46,13 @@ def records_per_minute(records: Column, milliseconds: Column) -> Column:
 def pipeline_throughput(batches: DataFrame) -> DataFrame:
     """Throughput of logged batches: records, times in ms, records per minute."""
     rate = records_per_minute(F.col("records_count"), F.col("processing_time_ms"))
-    return batches.select(
+    return batches.withColumn("_rate", rate).select(
         "source",
         "batch_id",
         "records_count",
-        F.round("processing_time_ms", 2).alias("processing_time_ms"),
-        F.round("db_write_latency_ms", 2).alias("db_write_latency_ms"),
-        F.round(rate, 2).alias("records_per_minute"),
+        rounded("processing_time_ms", 2).alias("processing_time_ms"),
+        rounded("db_write_latency_ms", 2).alias("db_write_latency_ms"),
+        rounded("_rate", 2).alias("records_per_minute"),
     )
 
 
@@ -68,7 +68,7 @@ def pipeline_summary(metrics: DataFrame, source: str | None = None) -> DataFrame
         .agg(
             F.count("*").alias("total_batches"),
             F.sum("records_count").alias("total_records"),
-            *[F.round(F.avg(c), 2).alias(f"avg_{c}") for c in averages],
+            *[rounded_avg(c).alias(f"avg_{c}") for c in averages],
             F.max("created_at").alias("last_batch_at"),
         )
         .orderBy("source")
@@ -114,8 +114,8 @@ def pipeline_health(metrics: DataFrame, as_of: AsOf = None, hours: int = 1) -> D
         .groupBy("source")
         .agg(
             F.max("created_at").alias("last_batch"),
-            F.round(F.coalesce(F.avg("processing_time_ms"), F.lit(0.0)), 2).alias("avg_processing_ms"),
-            F.round(F.coalesce(F.avg("records_per_minute"), F.lit(0.0)), 2).alias("avg_throughput"),
+            rounded_avg("processing_time_ms", missing=0.0).alias("avg_processing_ms"),
+            rounded_avg("records_per_minute", missing=0.0).alias("avg_throughput"),
             F.sum("records_count").alias("total_processed"),
         )
     )
@@ -135,7 +135,7 @@ def ingestion_latency(logs: DataFrame, as_of: AsOf = None, hours: int = 1) -> Da
     return (
         logs.filter(since(F.col("created_at"), as_of, hours=hours) & (F.col("status") == "success"))
         .groupBy("source")
-        .agg(F.round(F.coalesce(F.avg("latency_ms"), F.lit(0.0)), 2).alias("avg_latency_ms"))
+        .agg(rounded_avg("latency_ms", missing=0.0).alias("avg_latency_ms"))
     )
 
 
@@ -151,7 +151,7 @@ def source_activity(logs: DataFrame, expected: Sequence[str] = tuple(INGESTION_S
     )
     dim = small_table(logs.sparkSession, [(n,) for n in names], "source")
     # A stored latency of zero is reported as missing.
-    latency = F.when(F.col("latency_ms") != 0, F.round("latency_ms", 2))
+    latency = F.when(F.col("latency_ms") != 0, rounded("latency_ms", 2))
     return dim.join(latest, "source", "left").select(
         "source",
         F.coalesce("status", F.lit("no_data")).alias("status"),

@@ -388,7 +388,7 @@ for _type, _rule in alerts.RULES.items():
     add(
         f"alert_{_type}",
         lambda i, r=_rule: alerts.raise_alerts(
-            i.stored[r.source], r, i.alerts, AS_OF, LOOKBACK_HOURS
+            i.store(r.source), r, i.alerts_of(r.alert_type), AS_OF, LOOKBACK_HOURS
         ).drop("metadata", "resolved_at"),
     )
 
@@ -397,8 +397,8 @@ for _type, _rule in alerts.RULES.items():
 def alert_cooldown(i: Inputs) -> DataFrame:
     """Quake ids left after the cool-down of the earlier alerts."""
     rule = alerts.MAJOR_EARTHQUAKE
-    rows = alerts.candidates(i.stored["earthquakes"], rule, AS_OF, LOOKBACK_HOURS)
-    return alerts.suppress_repeats(rows, rule, i.alerts, AS_OF).select("event_id", "magnitude")
+    rows = alerts.candidates(i.store("earthquakes"), rule, AS_OF, LOOKBACK_HOURS)
+    return alerts.suppress_repeats(rows, rule, i.alerts_of(rule.alert_type), AS_OF).select("event_id", "magnitude")
 
 
 add(

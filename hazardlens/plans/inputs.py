@@ -15,7 +15,7 @@ from hazardlens.operators.feeds import FEEDS
 from hazardlens.plans import feeds
 from hazardlens.session import shared_dir, use_utc
 from hazardlens.sinks.tables import append_risk_scores, write_batch
-from hazardlens.sources.tables import scan_processed, scan_table
+from hazardlens.sources.tables import scan_table
 
 AS_OF = feeds.AS_OF
 LOOKBACK_HOURS = 72
@@ -82,37 +82,51 @@ class Inputs:
         return shared_dir(self.spark, "tables")
 
     @cached_property
-    def stored(self) -> dict[str, DataFrame]:
-        """The processed tables, written once for queries that read them repeatedly."""
-        for name, df in self.processed.items():
-            day = F.to_date(FEEDS[name].time)
-            dated = df.withColumn("event_date", day)
+    def _stored(self) -> dict[str, DataFrame]:
+        return {}
+
+    def store(self, name: str) -> DataFrame:
+        """A processed table, written once for queries that read it repeatedly."""
+        if name not in self._stored:
+            dated = self.one(name).withColumn("event_date", F.to_date(FEEDS[name].time))
             write_batch(dated, self.root, f"{name}_processed", 0, partition_by=["event_date"])
-        return scan_processed(self.spark, self.root)
+            self._stored[name] = scan_table(self.spark, self.root, f"{name}_processed")
+        return self._stored[name]
+
+    @property
+    def stored(self) -> dict[str, DataFrame]:
+        return {name: self.store(name) for name in FEEDS}
 
-    def known_at(self, moment: dt.datetime) -> dict[str, DataFrame]:
-        """The processed tables as they stood at an earlier moment."""
-        return {
-            name: df.filter(F.col(EVENT_CLOCK[name]) < F.lit(moment))
-            for name, df in self.stored.items()
-        }
+    def known_at(self, name: str, moment: dt.datetime) -> DataFrame:
+        """A processed table as it stood at an earlier moment."""
+        return self.store(name).filter(F.col(EVENT_CLOCK[name]) < F.lit(moment))
 
     @cached_property
     def risk_scores(self) -> DataFrame:
         """The score table after a run at each of ``SCORED_AT``."""
-        runs = [risk.unified_risk(self.known_at(t), self.regions, t) for t in SCORED_AT]
+        runs = [
+            risk.unified_risk({n: self.known_at(n, t) for n in FEEDS}, self.regions, t)
+            for t in SCORED_AT
+        ]
         append_risk_scores(union_all(runs), self.root)
         return scan_table(self.spark, self.root, "risk_scores")
 
-    @cached_property
-    def alerts(self) -> DataFrame:
+    def alerts_of(self, *alert_types: str) -> DataFrame:
         """The alert table after two runs, the second subject to the first one's cool-down."""
+        rules = [alerts.RULES[t] for t in alert_types]
         for run, moment in enumerate(ALERTED_AT):
             earlier = scan_table(self.spark, self.root, "alerts").drop("batch_id")
-            raised = alerts.new_alerts(self.known_at(moment), earlier, moment, LOOKBACK_HOURS)
-            write_batch(raised, self.root, "alerts", run)
+            known = {r.source: self.known_at(r.source, moment) for r in rules}
+            raised = [
+                alerts.raise_alerts(known[r.source], r, earlier, moment, LOOKBACK_HOURS) for r in rules
+            ]
+            write_batch(union_all(raised), self.root, "alerts", run)
         return scan_table(self.spark, self.root, "alerts").drop("batch_id")
 
+    @cached_property
+    def alerts(self) -> DataFrame:
+        return self.alerts_of(*alerts.RULES)
+
     @cached_property
     def series(self) -> DataFrame:
         return forecast.all_series(self.processed, AS_OF)

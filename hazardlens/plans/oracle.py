@@ -32,6 +32,10 @@ def _order(columns: str) -> str:
     return ", ".join(f"{c} desc nulls last" for c in columns.split())
 
 
+def _rounded(number: str, digits: int = 2) -> str:
+    return f"cast(round(cast({number} as decimal(38, 10)), {digits}) as double)"
+
+
 def risk_category(m: str) -> str:
     return f"case when {m} >= 7 then 'Critical' when {m} >= 5 then 'High' when {m} >= 3 then 'Medium' else 'Low' end"
 
@@ -359,7 +363,7 @@ F14 = f"from wildfires where acq_date >= {AS_OF_DATE} - 14"
 W7 = f"from weather where observed_at >= {AS_OF} - interval 7 day"
 A7 = f"from air_quality where observed_at >= {AS_OF} - interval 7 day"
 HOTSPOTS = f"""select round(latitude) + 0e0 as latitude, round(longitude) + 0e0 as longitude, count(*) as fire_count,
-  round(coalesce(avg(frp), 0e0), 2) as avg_frp {F14} group by 1, 2 having count(*) >= 5
+  {_rounded('coalesce(avg(frp), 0e0)')} as avg_frp {F14} group by 1, 2 having count(*) >= 5
   order by fire_count desc, latitude, longitude limit 10"""
 
 QUAKE_FEATURE_OK = (
@@ -457,27 +461,26 @@ and not exists (select 1 from wildfires t where t.acq_date < date '2024-01-20' a
     "quality_funnel": f"""select {FUNNEL_COLUMNS.format(by=', batch_id')}
 from (select event_id, cast(extract(day from event_time) as bigint) as batch_id, significance % 17 <> 0 as ok,
   {IN_RANGE} as inside from quakes_clean) group by batch_id""",
-    "pipeline_throughput": """select source, batch_id, records_count, round(processing_time_ms, 2) as processing_time_ms,
-  round(db_write_latency_ms, 2) as db_write_latency_ms, round(case when processing_time_ms > 0
-    then records_count / (processing_time_ms / 60000e0) else 0e0 end, 2) as records_per_minute from metrics""",
-    "pipeline_summary": """select source, count(*) as total_batches, cast(sum(records_count) as bigint) as total_records,
-  round(avg(processing_time_ms), 2) as avg_processing_time_ms, round(avg(records_per_minute), 2) as avg_records_per_minute,
-  round(avg(db_write_latency_ms), 2) as avg_db_write_latency_ms, max(created_at) as last_batch_at
+    "pipeline_throughput": f"""select source, batch_id, records_count, {_rounded('processing_time_ms')} as processing_time_ms,
+  {_rounded('db_write_latency_ms')} as db_write_latency_ms, {_rounded('case when processing_time_ms > 0 then records_count / (processing_time_ms / 60000e0) else 0e0 end')} as records_per_minute from metrics""",
+    "pipeline_summary": f"""select source, count(*) as total_batches, cast(sum(records_count) as bigint) as total_records,
+  {_rounded('avg(processing_time_ms)')} as avg_processing_time_ms, {_rounded('avg(records_per_minute)')} as avg_records_per_minute,
+  {_rounded('avg(db_write_latency_ms)')} as avg_db_write_latency_ms, max(created_at) as last_batch_at
 from metrics group by source order by source""",
     "quality_summary": "select source, count(*) as total_batches, "
     + ", ".join(f"cast(sum({c}) as bigint) as {n}" for n, c in SUM_COLUMNS.items())
     + " from metrics group by source order by source",
     "recent_batches": """select source, batch_id, records_count, processing_time_ms, records_per_minute, db_write_latency_ms,
   created_at from metrics order by created_at desc, source desc, batch_id desc limit 20""",
-    "pipeline_health": f"""select source, max(created_at) as last_batch, round(avg(processing_time_ms), 2) as avg_processing_ms,
-  round(avg(records_per_minute), 2) as avg_throughput, cast(sum(records_count) as bigint) as total_processed
+    "pipeline_health": f"""select source, max(created_at) as last_batch, {_rounded('avg(processing_time_ms)')} as avg_processing_ms,
+  {_rounded('avg(records_per_minute)')} as avg_throughput, cast(sum(records_count) as bigint) as total_processed
 from metrics where created_at >= {AS_OF} - interval 72 hour group by source""",
     "error_counts": f"""select source, cast(sum(dropped_events + validation_errors + malformed_records) as bigint) as errors
 from metrics where created_at >= {AS_OF} - interval 24 hour group by source""",
-    "ingestion_latency": f"""select source, round(avg(latency_ms), 2) as avg_latency_ms from ingestion_logs
+    "ingestion_latency": f"""select source, {_rounded('avg(latency_ms)')} as avg_latency_ms from ingestion_logs
 where created_at >= {AS_OF} - interval 72 hour and status = 'success' group by source""",
-    "source_activity": """select n.source, coalesce(l.status, 'no_data') as status, l.records_count,
-  case when l.latency_ms <> 0 then round(l.latency_ms, 2) end as latency_ms, l.created_at as last_run
+    "source_activity": f"""select n.source, coalesce(l.status, 'no_data') as status, l.records_count,
+  case when l.latency_ms <> 0 then {_rounded('l.latency_ms')} end as latency_ms, l.created_at as last_run
 from (values ('usgs_earthquakes'), ('open_meteo_weather'), ('open_meteo_air_quality'), ('nasa_firms_wildfires')) as n(source)
 left join (select * from (select *, row_number() over (partition by source order by created_at desc, status desc,
     records_count desc, latency_ms desc) as newest from ingestion_logs where source <> 'open_meteo_weather')
@@ -521,7 +524,7 @@ left join (select magnitude, case when magnitude < 2 then '0-2' when magnitude <
   when magnitude < 8 then '6-8' else '8+' end as bin {Q30}) m on m.bin = b.bin group by b.bin""",
     "fire_severity_dist": f"select fire_severity, count(*) as count {F14} group by 1",
     "fire_confidence_dist": f"select detection_confidence, count(*) as count {F14} group by 1",
-    "fire_growth_trend": f"select acq_date, count(*) as count, round(coalesce(avg(frp), 0e0), 2) as avg_frp {F14} group by 1",
+    "fire_growth_trend": f"select acq_date, count(*) as count, {_rounded('coalesce(avg(frp), 0e0)')} as avg_frp {F14} group by 1",
     "fire_active_top": f"""select latitude, longitude, frp, fire_severity, detection_confidence, acq_date from wildfires
 where acq_date >= {AS_OF_DATE} - 3 order by {_order('frp acq_date acq_time latitude longitude')} limit 100""",
     "fire_grid_hotspots": HOTSPOTS,
@@ -534,7 +537,7 @@ from ({HOTSPOTS})""",
     "weather_alert_rows": f"""select location_name, storm_severity, wind_speed_kmh, observed_at {W7}
 and storm_severity in ('Severe', 'Extreme') order by observed_at desc, location_name limit 20""",
     "aq_category_dist": f"select aqi_category, count(*) as count {A7} group by 1",
-    "aq_regional_comparison": f"""select location_name, round(coalesce(avg(us_aqi), 0e0), 1) as avg_aqi, max(us_aqi) as max_aqi
+    "aq_regional_comparison": f"""select location_name, {_rounded('coalesce(avg(us_aqi), 0e0)', 1)} as avg_aqi, max(us_aqi) as max_aqi
 {A7} group by 1""",
     "aq_series_by_location": f"select location_name, observed_at, us_aqi, pm2_5, pm10, aqi_category {A7}",
     "aq_hotspots": f"""select location_name, us_aqi, aqi_category, observed_at, case aqi_category when 'Hazardous' then 'Critical'
