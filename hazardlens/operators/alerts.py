@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.operators.access import Page, paginate
-from hazardlens.operators.common import AsOf, moment, newest, since, since_date, union_all
+from hazardlens.operators.common import AsOf, moment, newest, recent, union_all
 
 
 @dataclass(frozen=True)
@@ -142,10 +142,10 @@ def candidates(df: DataFrame, rule: AlertRule, as_of: AsOf = None, lookback_hour
     """Rows that meet the rule within its look-back, before suppression."""
     hours = rule.lookback_hours if lookback_hours is None else lookback_hours
     if rule.time == "acq_date":
-        recent = since_date(F.col("acq_date"), as_of, max(hours // 24, 1))
+        rows = recent(df, "acq_date", as_of, days=max(hours // 24, 1))
     else:
-        recent = since(F.col(rule.time), as_of, hours=hours)
-    return df.filter(rule.condition() & recent)
+        rows = recent(df, rule.time, as_of, hours=hours)
+    return rows.filter(rule.condition())
 
 
 def suppress_repeats(
@@ -157,10 +157,8 @@ def suppress_repeats(
     key suppress nothing.
     """
     hours = rule.cooldown_hours if cooldown_hours is None else cooldown_hours
-    recent = alerts.filter(
-        (F.col("alert_type") == rule.alert_type) & since(F.col("created_at"), as_of, hours=hours)
-    )
-    known = recent.select(F.get_json_object("metadata", f"$.{rule.key}").alias("_key"))
+    cooling = recent(alerts.filter(F.col("alert_type") == rule.alert_type), "created_at", as_of, hours=hours)
+    known = cooling.select(F.get_json_object("metadata", f"$.{rule.key}").alias("_key"))
     keyed = rows.withColumn("_key", rule.record_key())
     return keyed.join(known.filter(F.col("_key").isNotNull()), "_key", "left_anti").drop("_key")
 

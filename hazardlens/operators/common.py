@@ -19,15 +19,22 @@ def moment(as_of: AsOf) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of)
 
 
-def since(column: Column, as_of: AsOf, *, hours: int = 0, days: int = 0) -> Column:
-    """``column`` not older than the look-back; there is no upper bound."""
-    start = moment(as_of) - F.make_dt_interval(F.lit(days), F.lit(hours))
-    return column >= start
+# Columns whose day is the ``event_date`` that stored tables are partitioned by.
+_DATED_BY = {"event_time", "observed_at", "acq_date"}
+
 
+def recent(df: DataFrame, column: str, as_of: AsOf, *, hours: int = 0, days: int = 0) -> DataFrame:
+    """Rows whose ``column`` is not older than the look-back; there is no upper bound.
 
-def since_date(column: Column, as_of: AsOf, days: int) -> Column:
-    """Day-granular look-back for date columns."""
-    return column >= F.date_sub(F.to_date(moment(as_of)), days)
+    Dates look back whole days. On a stored table the same bound on ``event_date``
+    leaves only the folders of the look-back to be read.
+    """
+    start = moment(as_of) - F.make_dt_interval(F.lit(days), F.lit(hours))
+    first_day = F.to_date(start)
+    kept = df.filter(F.col(column) >= (first_day if column == "acq_date" else start))
+    if column in _DATED_BY and "event_date" in df.columns:
+        kept = kept.filter(F.col("event_date") >= first_day)
+    return kept
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.constants import RISK_LEVELS, SOURCES
 from hazardlens.operators.common import (
-    AsOf, count_by, first_per_key, moment, newest, newest_sql, since, since_date, union_all,
+    AsOf, count_by, first_per_key, moment, newest, newest_sql, recent, union_all,
 )
 
 EVENT_CLOCK = {
@@ -34,63 +34,63 @@ def checked_limit(limit: int, low: int, high: int) -> int:
     return limit
 
 
-def _event_clock(processed: dict[str, DataFrame]) -> DataFrame:
-    """(source, ts) of every event of the four feeds."""
-    return union_all(
-        [
-            processed[name].select(F.lit(name).alias("source"), F.col(EVENT_CLOCK[name]).alias("ts"))
-            for name in SOURCES
-        ]
-    )
+def _recent_events(processed: dict[str, DataFrame], as_of: AsOf, hours: int) -> DataFrame:
+    """(source, ts) of the last hours' events of the four feeds."""
+    def feed(name: str) -> DataFrame:
+        clock = EVENT_CLOCK[name]
+        rows = recent(processed[name], clock, as_of, hours=hours)
+        return rows.select(F.lit(name).alias("source"), F.col(clock).alias("ts"))
+
+    return union_all([feed(name) for name in SOURCES])
 
 
 def dashboard_summary(
     processed: dict[str, DataFrame], anomalies: DataFrame, alerts: DataFrame, as_of: AsOf = None
 ) -> DataFrame:
-    """One row of totals, all counted in a single aggregate over a narrow union."""
-    def tagged(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(F.lit(tag).alias("source"), F.lit(None).cast("timestamp").alias("ts"))
-
-    rows = union_all(
-        [
-            _event_clock(processed),
-            tagged(anomalies, "anomalies"),
-            tagged(alerts.filter("is_active"), "active_alerts"),
-        ]
-    )
-    is_event = F.col("source").isin(SOURCES)
-    recent = is_event & since(F.col("ts"), as_of, hours=1)
-    return rows.agg(
-        F.count_if(is_event).alias("total_events"),
-        *[F.count_if(F.col("source") == name).alias(f"total_{name}") for name in SOURCES],
-        F.count_if(F.col("source") == "anomalies").alias("total_anomalies"),
-        F.count_if(F.col("source") == "active_alerts").alias("active_alerts"),
-        F.count_if(recent).alias("events_last_hour"),
+    """One row of totals.
+
+    Table totals need no column at all and the last hour needs only its own folders,
+    so they are counted apart and their one-row counts put together.
+    """
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+
+    parts = [counted(processed[name], f"total_{name}") for name in SOURCES]
+    parts += [
+        counted(anomalies, "total_anomalies"),
+        counted(alerts.filter("is_active"), "active_alerts"),
+        counted(_recent_events(processed, as_of, 1), "events_last_hour"),
+    ]
+    totals = [f"total_{name}" for name in SOURCES]
+
+    def total(*names: str) -> Column:
+        return F.sum(F.when(F.col("what").isin(*names), F.col("n")))
+
+    return union_all(parts).agg(
+        total(*totals).alias("total_events"),
+        *[total(n).alias(n) for n in [*totals, "total_anomalies", "active_alerts", "events_last_hour"]],
     )
 
 
 def events_per_hour(processed: dict[str, DataFrame], as_of: AsOf = None, hours: int = 24) -> DataFrame:
     checked_limit(hours, 1, 168)
-    events = _event_clock(processed).filter(since(F.col("ts"), as_of, hours=hours))
+    events = _recent_events(processed, as_of, hours)
     return count_by(events, "source", F.date_trunc("hour", "ts").alias("hour")).orderBy("source", "hour")
 
 
 def events_per_hour_matrix(processed: dict[str, DataFrame], as_of: AsOf = None, hours: int = 24) -> DataFrame:
     """Hours x sources; an hour appears if any source has it, empty cells are 0."""
     checked_limit(hours, 1, 168)
-    events = _event_clock(processed).filter(since(F.col("ts"), as_of, hours=hours))
+    events = _recent_events(processed, as_of, hours)
     cells = [F.count_if(F.col("source") == name).alias(name) for name in SOURCES]
     return events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(*cells).orderBy("hour")
 
 
 def _recent_labels(processed: dict[str, DataFrame], as_of: AsOf, days: int) -> DataFrame:
     def labels(name: str) -> DataFrame:
-        if name == "wildfires":
-            recent = since_date(F.col("acq_date"), as_of, days)
-        else:
-            recent = since(F.col(EVENT_CLOCK[name]), as_of, days=days)
-        label = F.col(RISK_LABEL[name]).alias("label")
-        return processed[name].filter(recent).select(F.lit(name).alias("source"), label)
+        time = "acq_date" if name == "wildfires" else EVENT_CLOCK[name]
+        rows = recent(processed[name], time, as_of, days=days)
+        return rows.select(F.lit(name).alias("source"), F.col(RISK_LABEL[name]).alias("label"))
 
     return union_all([labels(name) for name in SOURCES])
 
@@ -150,7 +150,7 @@ def regional_rankings(risk_scores: DataFrame) -> DataFrame:
 
 def markers_quakes(quakes: DataFrame, as_of: AsOf = None, limit: int = 500) -> DataFrame:
     return (
-        quakes.filter(since(F.col("event_time"), as_of, days=7))
+        recent(quakes, "event_time", as_of, days=7)
         .select("event_id", "magnitude", "place", "latitude", "longitude", "risk_category", "event_time")
         .orderBy(*newest(["event_time", "event_id"]))
         .limit(checked_limit(limit, 1, 2000))
@@ -159,7 +159,7 @@ def markers_quakes(quakes: DataFrame, as_of: AsOf = None, limit: int = 500) -> D
 
 def markers_fires(fires: DataFrame, as_of: AsOf = None, limit: int = 500) -> DataFrame:
     return (
-        fires.filter(since_date(F.col("acq_date"), as_of, 3))
+        recent(fires, "acq_date", as_of, days=3)
         .select("latitude", "longitude", "frp", "fire_severity", "detection_confidence", "acq_date", "acq_time")
         .orderBy(*newest(["frp", "acq_date", "acq_time", "latitude", "longitude"]))
         .drop("acq_time")
@@ -167,15 +167,24 @@ def markers_fires(fires: DataFrame, as_of: AsOf = None, limit: int = 500) -> Dat
     )
 
 
-def _near_latest(df: DataFrame, hours: int = 6) -> Column:
-    """Not older than ``hours`` before the newest observation of the table."""
-    newest_at = df.select(F.max("observed_at")).scalar()
-    return F.col("observed_at") >= newest_at - F.make_dt_interval(F.lit(0), F.lit(hours))
+def _near_latest(df: DataFrame, hours: int = 6) -> DataFrame:
+    """Rows not older than ``hours`` before the newest observation of the table.
+
+    The newest day of a stored table is known from its folders; only that day is
+    searched for the newest observation, and only the days reached are read.
+    """
+    rows = df
+    if "event_date" in df.columns:
+        last_day = df.select(F.max("event_date")).scalar()
+        rows = df.filter(F.col("event_date") == last_day)
+        df = df.filter(F.col("event_date") >= F.date_sub(last_day, hours // 24 + 1))
+    newest_at = rows.select(F.max("observed_at")).scalar()
+    return df.filter(F.col("observed_at") >= newest_at - F.make_dt_interval(F.lit(0), F.lit(hours)))
 
 
 def markers_weather(weather: DataFrame) -> DataFrame:
     return (
-        weather.filter(_near_latest(weather))
+        _near_latest(weather)
         .select(
             "location_name", "latitude", "longitude", "storm_severity", "wind_speed_kmh",
             "temperature_c", "observed_at",
@@ -186,7 +195,7 @@ def markers_weather(weather: DataFrame) -> DataFrame:
 
 def markers_air_quality(air: DataFrame) -> DataFrame:
     return (
-        air.filter(_near_latest(air))
+        _near_latest(air)
         .select("location_name", "latitude", "longitude", "us_aqi", "aqi_category", "observed_at")
         .orderBy(F.desc_nulls_last("us_aqi"), F.desc("observed_at"), "location_name")
     )

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlens import constants as C
-from hazardlens.operators.common import AsOf, moment, since, since_date, union_all
+from hazardlens.operators.common import AsOf, moment, recent, union_all
 
 SERIES = ["metric", "source", "location_name"]
 
 
 def _hourly_mean(df: DataFrame, measure: str, as_of: AsOf, days: int) -> DataFrame:
     return (
-        df.filter(since(F.col("observed_at"), as_of, days=days))
+        recent(df, "observed_at", as_of, days=days)
         .groupBy("location_name", F.date_trunc("hour", "observed_at").alias("ds"))
         .agg(F.avg(measure).alias("y"))
     )
@@ -31,7 +31,7 @@ def series_temperature_hourly(weather: DataFrame, as_of: AsOf = None) -> DataFra
 
 def series_fire_daily(fires: DataFrame, as_of: AsOf = None) -> DataFrame:
     return (
-        fires.filter(since_date(F.col("acq_date"), as_of, 60))
+        recent(fires, "acq_date", as_of, days=60)
         .groupBy(F.col("acq_date").cast("timestamp").alias("ds"))
         .agg(F.count("*").alias("y"))
     )
@@ -39,7 +39,7 @@ def series_fire_daily(fires: DataFrame, as_of: AsOf = None) -> DataFrame:
 
 def series_quake_hourly(quakes: DataFrame, as_of: AsOf = None) -> DataFrame:
     return (
-        quakes.filter(since(F.col("event_time"), as_of, days=30))
+        recent(quakes, "event_time", as_of, days=30)
         .groupBy(F.date_trunc("hour", "event_time").alias("ds"))
         .agg(F.count("*").alias("y"))
     )
@@ -75,8 +75,10 @@ def all_series(processed: dict[str, DataFrame], as_of: AsOf = None) -> DataFrame
 
 def series_long_enough(series: DataFrame, keys: Sequence[str] = SERIES, minimum: int = C.FORECAST_MIN_POINTS) -> DataFrame:
     """Points of the series that have at least ``minimum`` points."""
-    counted = series.withColumn("_points", F.count("*").over(Window.partitionBy(*keys)))
-    return counted.filter(F.col("_points") >= minimum).drop("_points")
+    long = series.groupBy(*keys).agg(F.count("*").alias("_points")).filter(F.col("_points") >= minimum)
+    wanted = long.select(*[F.col(k).alias(f"_long_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_long_{k}")) for k in keys]
+    return series.join(wanted, same, "left_semi")
 
 
 def forecast_horizons(series: DataFrame, keys: Sequence[str] = SERIES, horizons: Sequence[tuple] = C.FORECAST_HORIZONS) -> DataFrame:

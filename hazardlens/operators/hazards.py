@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from hazardlens.constants import MAGNITUDE_BINS
 from hazardlens.functions import rules
-from hazardlens.operators.common import AsOf, count_by, first_per_key, newest, newest_sql, rounded, rounded_avg, since, since_date
+from hazardlens.operators.common import AsOf, count_by, first_per_key, newest, newest_sql, recent, rounded, rounded_avg
 
 
 # --- earthquakes: 30 days ---------------------------------------------------
 
 def _month(quakes: DataFrame, as_of: AsOf) -> DataFrame:
-    return quakes.filter(since(F.col("event_time"), as_of, days=30))
+    return recent(quakes, "event_time", as_of, days=30)
 
 
 def quake_recent_count(quakes: DataFrame, as_of: AsOf = None) -> DataFrame:
@@ -62,7 +62,7 @@ def quake_magnitude_histogram(quakes: DataFrame, as_of: AsOf = None) -> DataFram
 # --- wildfires: 14 days -----------------------------------------------------
 
 def _fortnight(fires: DataFrame, as_of: AsOf) -> DataFrame:
-    return fires.filter(since_date(F.col("acq_date"), as_of, 14))
+    return recent(fires, "acq_date", as_of, days=14)
 
 
 def fire_severity_dist(fires: DataFrame, as_of: AsOf = None) -> DataFrame:
@@ -84,7 +84,7 @@ def fire_growth_trend(fires: DataFrame, as_of: AsOf = None) -> DataFrame:
 
 def fire_active_top(fires: DataFrame, as_of: AsOf = None, limit: int = 100) -> DataFrame:
     return (
-        fires.filter(since_date(F.col("acq_date"), as_of, 3))
+        recent(fires, "acq_date", as_of, days=3)
         .orderBy(*newest(["frp", "acq_date", "acq_time", "latitude", "longitude"]))
         .limit(limit)
         .select("latitude", "longitude", "frp", "fire_severity", "detection_confidence", "acq_date")
@@ -115,7 +115,7 @@ def fire_hotspot_tier(hotspots: DataFrame) -> DataFrame:
 # --- weather and air quality: 7 days ----------------------------------------
 
 def _week(df: DataFrame, as_of: AsOf) -> DataFrame:
-    return df.filter(since(F.col("observed_at"), as_of, days=7))
+    return recent(df, "observed_at", as_of, days=7)
 
 
 def weather_storm_dist(weather: DataFrame, as_of: AsOf = None) -> DataFrame:
@@ -191,6 +191,6 @@ def aq_hotspots(air: DataFrame, as_of: AsOf = None, limit: int = 20) -> DataFram
 
 def last_k_per_location(df: DataFrame, measure: str, as_of: AsOf = None, k: int = 48) -> DataFrame:
     """The newest ``k`` readings of each location within the week, oldest first."""
-    recent = _week(df, as_of).select("location_name", "observed_at", measure)
+    readings = _week(df, as_of).select("location_name", "observed_at", measure)
     order = newest_sql(["observed_at", measure])
-    return first_per_key(recent, ["location_name"], order, k).orderBy("location_name", "observed_at")
+    return first_per_key(readings, ["location_name"], order, k).orderBy("location_name", "observed_at")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.constants import INGESTION_SOURCES, SOURCES
-from hazardlens.operators.common import AsOf, latest_per_key, newest, rounded, rounded_avg, since, small_table, union_all
+from hazardlens.operators.common import AsOf, latest_per_key, newest, recent, rounded, rounded_avg, small_table, union_all
 from hazardlens.operators.feeds import Feed
 
 
@@ -110,7 +110,7 @@ def recent_batches(metrics: DataFrame, source: str | None = None, limit: int = 2
 
 def pipeline_health(metrics: DataFrame, as_of: AsOf = None, hours: int = 1) -> DataFrame:
     return (
-        metrics.filter(since(F.col("created_at"), as_of, hours=hours))
+        recent(metrics, "created_at", as_of, hours=hours)
         .groupBy("source")
         .agg(
             F.max("created_at").alias("last_batch"),
@@ -125,7 +125,7 @@ def error_counts(metrics: DataFrame, as_of: AsOf = None, hours: int = 24) -> Dat
     """Sum of the three error counters per source (they overlap, as stored)."""
     errors = F.col("dropped_events") + F.col("validation_errors") + F.col("malformed_records")
     return (
-        metrics.filter(since(F.col("created_at"), as_of, hours=hours))
+        recent(metrics, "created_at", as_of, hours=hours)
         .groupBy("source")
         .agg(F.sum(errors).alias("errors"))
     )
@@ -133,7 +133,8 @@ def error_counts(metrics: DataFrame, as_of: AsOf = None, hours: int = 24) -> Dat
 
 def ingestion_latency(logs: DataFrame, as_of: AsOf = None, hours: int = 1) -> DataFrame:
     return (
-        logs.filter(since(F.col("created_at"), as_of, hours=hours) & (F.col("status") == "success"))
+        recent(logs, "created_at", as_of, hours=hours)
+        .filter(F.col("status") == "success")
         .groupBy("source")
         .agg(rounded_avg("latency_ms", missing=0.0).alias("avg_latency_ms"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazardlens import constants as C
 from hazardlens.functions import geo, rules
-from hazardlens.operators.common import AsOf, moment, since, since_date, small_table
+from hazardlens.operators.common import AsOf, moment, recent, small_table
 
 _KM_PER_DEGREE = math.pi * C.EARTH_RADIUS_KM / 180.0
 
@@ -120,9 +120,8 @@ def _for_all_regions(regions: DataFrame, scores: DataFrame, name: str) -> DataFr
 def _quake_peaks(
     quakes: DataFrame, cells: DataFrame, as_of: AsOf, lookback_hours: int, radius_km: float
 ) -> DataFrame:
-    recent = quakes.filter(since(F.col("event_time"), as_of, hours=lookback_hours))
     boost = F.least(F.coalesce("magnitude", F.lit(0.0)) * 5.0, F.lit(25.0))
-    scored = recent.select(
+    scored = recent(quakes, "event_time", as_of, hours=lookback_hours).select(
         "latitude", "longitude",
         (rules.risk_weight("risk_category", "earthquakes") + boost).alias("_points"),
     )
@@ -147,7 +146,7 @@ def _fire_peaks(
 ) -> DataFrame:
     days = max(lookback_hours // 24, 1)
     boost = F.least(F.coalesce("frp", F.lit(0.0)) / 5.0, F.lit(20.0))
-    scored = fires.filter(since_date(F.col("acq_date"), as_of, days)).select(
+    scored = recent(fires, "acq_date", as_of, days=days).select(
         "latitude", "longitude",
         (rules.risk_weight("fire_severity", "wildfires") + boost).alias("_points"),
     )
@@ -169,20 +168,35 @@ def fire_score(
     return _for_all_regions(regions, peaks, "wildfire_score")
 
 
+LATEST_SEARCH_DAYS = 7
+
+
 def _latest_points(df: DataFrame, regions: DataFrame, points: Column, name: str) -> DataFrame:
     """Points of the newest observation at each region's location.
 
     Rows are scored before they are grouped: time and points are both fixed-width,
     so ``max_by`` runs as a hash aggregate with a map-side combine and the table is
-    neither sorted nor joined whole. (location, time) is unique in these tables.
+    neither sorted nor shuffled whole. (location, time) is unique in these tables.
+
+    There is no limit on how old the newest observation may be. On a stored table the
+    last days are searched first and older folders only for places not found there;
+    when none is left, adaptive execution drops that branch unread.
     """
-    per_location = (
-        df.join(regions.select(F.col("region_name").alias("location_name")), "location_name", "left_semi")
-        .select("location_name", "observed_at", points.alias("_points"))
-        .groupBy("location_name")
-        .agg(_capped(F.max_by("_points", "observed_at")).alias(name))
-    )
-    return per_location.withColumnRenamed("location_name", "region_name")
+    def newest(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        return (
+            rows.select(F.col("location_name").alias("region_name"), "observed_at", points.alias("_points"))
+            .join(wanted, "region_name", "left_semi")
+            .groupBy("region_name")
+            .agg(_capped(F.max_by("_points", "observed_at")).alias(name))
+        )
+
+    names = regions.select("region_name")
+    if "event_date" not in df.columns:
+        return newest(df, names)
+    first_day = F.date_sub(df.select(F.max("event_date")).scalar(), LATEST_SEARCH_DAYS)
+    found = newest(df.filter(F.col("event_date") >= first_day), names)
+    unseen = names.join(found, "region_name", "left_anti")
+    return found.unionByName(newest(df.filter(F.col("event_date") < first_day), unseen))
 
 
 def _weather_latest(weather: DataFrame, regions: DataFrame) -> DataFrame:

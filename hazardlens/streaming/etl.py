@@ -25,7 +25,7 @@ from hazardlens.sources.wire import CORRUPT, decode
 BatchFunction = Callable[[DataFrame, int], None]
 
 
-def _not_stored_yet(rows: DataFrame, feed: Feed, root: str, batch_id: int) -> DataFrame:
+def _not_stored_yet(rows: DataFrame, feed: Feed, root: str, batch_id: int, count: int) -> DataFrame:
     """Rows new to the processed table, whatever other batches have written.
 
     The batch's own folder is left out, so a replay decides as the first attempt
@@ -39,7 +39,7 @@ def _not_stored_yet(rows: DataFrame, feed: Feed, root: str, batch_id: int) -> Da
         if span.low is None:
             return rows
         stored = stored.filter(F.col("event_date").between(F.lit(span.low), F.lit(span.high)))
-    return skip_existing(rows, stored, feed.key)
+    return skip_existing(rows, stored, feed.key, count)
 
 
 def feed_writer(
@@ -77,8 +77,9 @@ def feed_writer(
             write_ms = (time.time() - writing) * 1000
 
             done = feed.finish(flagged).select(*feed.output)
-            dated = done.withColumn("event_date", F.to_date(feed.time))
-            fresh = _not_stored_yet(dated, feed, root, batch_id).persist(StorageLevel.MEMORY_AND_DISK)
+            dated = done.withColumn("event_date", F.to_date(feed.time)).persist(StorageLevel.MEMORY_AND_DISK)
+            fresh = _not_stored_yet(dated, feed, root, batch_id, counts.valid_records)
+            fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 writing = time.time()
                 processed = fresh.withColumn("processed_at", stamp)
@@ -96,6 +97,7 @@ def feed_writer(
                     write_batch(raised, root, "alerts", batch_id, source=feed.name)
             finally:
                 fresh.unpersist()
+                dated.unpersist()
 
             metrics = spark.createDataFrame([counts], counts.__fields__).withColumn("created_at", stamp)
             write_batch(metrics, root, "data_quality_metrics", batch_id, source=feed.name)
