@@ -7,7 +7,7 @@ from functools import reduce
 from operator import eq, ge, gt, le, lt
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlens.operators.common import newest
@@ -30,24 +30,62 @@ def apply_filters(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     return reduce(DataFrame.filter, active, df)
 
 
+TOP_K_ROWS = 100_000
+_UNITS = ["year", "month", "day", "hour", "minute", "second"]
+
+
+def _skip_ahead(df: DataFrame, time: str, limit: int, offset: int, top_k: int) -> tuple[DataFrame, int]:
+    """The rows of ever finer periods around a deep page, and the offset left in them.
+
+    Newest first, whole periods that end before the page are counted and left out, as
+    are those after it. A period's count is all that leaves the executors.
+    """
+    rows = df
+    for unit in _UNITS:
+        if offset + limit <= top_k:
+            break
+        period = F.date_trunc(unit, F.col(time).cast("timestamp"))
+        counts = rows.groupBy(period.alias("period")).agg(F.count("*").alias("n"))
+        through = F.sum("n").over(Window.orderBy(F.desc_nulls_last("period")))
+        placed = counts.withColumn("before", through - F.col("n"))
+        on_page = (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
+        found = placed.filter(on_page).agg(
+            F.max("period").alias("newest"),
+            F.min("period").alias("oldest"),
+            F.min("before").alias("before"),
+            F.count_if(F.col("period").isNull()).alias("untimed"),
+        ).first()
+        if found.before is None:
+            return rows.limit(0), 0
+        inside = F.coalesce(period.between(F.lit(found.oldest), F.lit(found.newest)), F.lit(False))
+        if found.untimed:
+            inside = inside | period.isNull()
+        rows, offset = rows.filter(inside), offset - found.before
+    return rows, offset
+
+
 def paginate(
     df: DataFrame,
     filters: Sequence[Filter],
-    order: Sequence[Column],
+    time: str,
+    ties: Sequence[str],
     limit: int = 50,
     offset: int = 0,
-    max_limit: int | None = 500,
+    max_limit: int = 500,
+    top_k: int = TOP_K_ROWS,
 ) -> Page:
-    """Rows ``offset`` to ``offset + limit`` in the given total order.
+    """Rows ``offset`` to ``offset + limit``, newest first, ties in a fixed order.
 
-    The page is a top-k: every task keeps at most ``offset + limit`` rows.
+    A page near the top is a top-k, for which a task keeps ``offset + limit`` rows.
+    Beyond ``top_k`` rows the periods before the page are skipped by their counts.
     """
-    if limit < 1 or (max_limit is not None and limit > max_limit):
+    if not 1 <= limit <= max_limit:
         raise ValueError(f"limit must lie between 1 and {max_limit}, not {limit}")
     if offset < 0:
         raise ValueError("offset must not be negative")
     matches = apply_filters(df, filters)
-    rows = matches.orderBy(*order).offset(offset).limit(limit)
+    near, left = _skip_ahead(matches, time, limit, offset, top_k)
+    rows = near.orderBy(*newest([time, *ties])).offset(left).limit(limit)
     return Page(rows, matches.agg(F.count("*").alias("total_count")))
 
 
@@ -56,7 +94,7 @@ def list_quakes(
     limit: int = 50, offset: int = 0,
 ) -> Page:
     filters = [("magnitude", ">=", min_magnitude), ("risk_category", "=", risk_category)]
-    return paginate(quakes, filters, newest(["event_time", "event_id"]), limit, offset)
+    return paginate(quakes, filters, "event_time", ["event_id"], limit, offset)
 
 
 def list_weather(
@@ -68,7 +106,7 @@ def list_weather(
         ("wind_speed_kmh", ">=", min_wind),
         ("storm_severity", "=", storm_severity),
     ]
-    return paginate(weather, filters, newest(["observed_at", "location_name"]), limit, offset)
+    return paginate(weather, filters, "observed_at", ["location_name"], limit, offset)
 
 
 def list_air_quality(
@@ -80,7 +118,7 @@ def list_air_quality(
         ("us_aqi", ">=", min_aqi),
         ("aqi_category", "=", aqi_category),
     ]
-    return paginate(air, filters, newest(["observed_at", "location_name"]), limit, offset)
+    return paginate(air, filters, "observed_at", ["location_name"], limit, offset)
 
 
 def list_wildfires(
@@ -89,8 +127,7 @@ def list_wildfires(
 ) -> Page:
     """The severity filter is an equality."""
     filters = [("fire_severity", "=", severity), ("frp", ">=", min_frp)]
-    order = newest(["acq_date", "acq_time", "latitude", "longitude"])
-    return paginate(fires, filters, order, limit, offset)
+    return paginate(fires, filters, "acq_date", ["acq_time", "latitude", "longitude"], limit, offset)
 
 
 def list_anomalies(
@@ -102,5 +139,5 @@ def list_anomalies(
         ("severity", "=", severity),
         ("event_type", "=", event_type),
     ]
-    order = newest(["detected_at", "source", "event_time", "latitude", "longitude", "description"])
-    return paginate(anomalies, filters, order, limit, offset)
+    ties = ["source", "event_time", "latitude", "longitude", "description"]
+    return paginate(anomalies, filters, "detected_at", ties, limit, offset)

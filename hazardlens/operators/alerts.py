@@ -208,9 +208,6 @@ def new_alerts(
     )
 
 
-_ALERT_ORDER = ["created_at", "alert_type", "metadata"]
-
-
 def active_alerts(alerts: DataFrame, limit: int = 50) -> DataFrame:
     if not 1 <= limit <= 200:
         raise ValueError(f"limit must lie between 1 and 200, not {limit}")
@@ -220,7 +217,7 @@ def active_alerts(alerts: DataFrame, limit: int = 50) -> DataFrame:
             "alert_type", "source", "severity", "title", "description", "latitude", "longitude",
             "region_name", "metadata", "created_at",
         )
-        .orderBy(*newest(_ALERT_ORDER))
+        .orderBy(*newest(["created_at", "alert_type", "metadata"]))
         .limit(limit)
     )
 
@@ -235,7 +232,8 @@ def alert_history(
     return paginate(
         alerts,
         [("alert_type", "=", alert_type or None), ("severity", "=", severity or None)],
-        order=newest(_ALERT_ORDER),
+        time="created_at",
+        ties=["alert_type", "metadata"],
         limit=limit,
         offset=offset,
     )
