@@ -27,30 +27,24 @@ def region_cells(regions: DataFrame, radius_km: float, cell_degrees: float = 1.0
     """
     columns = int(360 / cell_degrees)
     dlat = radius_km / _KM_PER_DEGREE
-    lat, lon = F.col("region_lat"), F.col("region_lon")
-    farthest = F.abs(lat) + dlat
-    half_turn = F.lit(180.0)
-    dlon = F.when(farthest >= 90.0, half_turn).otherwise(
-        F.least(half_turn, F.lit(dlat) / F.cos(F.radians(farthest)))
+    farthest = f"abs(region_lat) + {dlat!r}D"
+    dlon = (
+        f"CASE WHEN {farthest} >= 90D THEN 180D"
+        f" ELSE least(180D, {dlat!r}D / cos(radians({farthest}))) END"
+    )
+    spans = regions.filter(geo.in_range("region_lat", "region_lon")).selectExpr(
+        "*",
+        f"floor((region_lon - {dlon} + 180D) / {cell_degrees!r}D) AS _west",
+        f"floor((region_lon + {dlon} + 180D) / {cell_degrees!r}D) AS _east",
+        f"CAST(floor(greatest(region_lat - {dlat!r}D, -90D) / {cell_degrees!r}D) AS INT) AS _south",
+        f"CAST(floor(least(region_lat + {dlat!r}D, 90D) / {cell_degrees!r}D) AS INT) AS _north",
     )
-    first_x = F.floor((lon - dlon + 180.0) / cell_degrees)
-    last_x = F.floor((lon + dlon + 180.0) / cell_degrees)
     # A box as wide as the grid lists each column once.
-    last_x = F.least(last_x, first_x + columns - 1)
+    east = f"least(_east, _west + {columns - 1})"
     return (
-        regions.filter(geo.in_range("region_lat", "region_lon"))
-        .withColumn(
-            "cell_y",
-            F.explode(
-                F.sequence(
-                    geo.cell_y(f"greatest(region_lat - {dlat!r}D, -90D)", cell_degrees),
-                    geo.cell_y(f"least(region_lat + {dlat!r}D, 90D)", cell_degrees),
-                )
-            ),
-        )
-        .withColumn("_x", F.explode(F.sequence(first_x, last_x)))
-        .withColumn("cell_x", F.pmod("_x", F.lit(columns)).cast("int"))
-        .drop("_x")
+        spans.selectExpr("*", "explode(sequence(_south, _north)) AS cell_y")
+        .selectExpr(*regions.columns, "cell_y", f"explode(sequence(_west, {east})) AS _x")
+        .selectExpr(*regions.columns, "cell_y", f"CAST(pmod(_x, {columns}) AS INT) AS cell_x")
     )
 
 
@@ -105,8 +99,8 @@ def within_radius(
     return near_regions(events, cells, radius_km, cell_degrees)
 
 
-def _capped(score: Column) -> Column:
-    return F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0))
+def _capped(score: str) -> Column:
+    return F.expr(f"least(greatest({score}, 0D), 100D)")
 
 
 def _for_all_regions(regions: DataFrame, scores: DataFrame, name: str) -> DataFrame:
@@ -120,7 +114,7 @@ def _for_all_regions(regions: DataFrame, scores: DataFrame, name: str) -> DataFr
 def _quake_peaks(
     quakes: DataFrame, cells: DataFrame, as_of: AsOf, lookback_hours: int, radius_km: float
 ) -> DataFrame:
-    boost = F.least(F.coalesce("magnitude", F.lit(0.0)) * 5.0, F.lit(25.0))
+    boost = F.expr("least(coalesce(magnitude, 0D) * 5, 25D)")
     scored = recent(quakes, "event_time", as_of, hours=lookback_hours).select(
         "latitude", "longitude",
         (rules.risk_weight("risk_category", "earthquakes") + boost).alias("_points"),
@@ -128,7 +122,7 @@ def _quake_peaks(
     return (
         near_regions(scored, cells, radius_km)
         .groupBy("region_name")
-        .agg(_capped(F.max("_points")).alias("earthquake_score"))
+        .agg(_capped("max(_points)").alias("earthquake_score"))
     )
 
 
@@ -145,17 +139,17 @@ def _fire_peaks(
     fires: DataFrame, cells: DataFrame, as_of: AsOf, lookback_hours: int, radius_km: float
 ) -> DataFrame:
     days = max(lookback_hours // 24, 1)
-    boost = F.least(F.coalesce("frp", F.lit(0.0)) / 5.0, F.lit(20.0))
+    boost = F.expr("least(coalesce(frp, 0D) / 5, 20D)")
     scored = recent(fires, "acq_date", as_of, days=days).select(
         "latitude", "longitude",
         (rules.risk_weight("fire_severity", "wildfires") + boost).alias("_points"),
     )
-    peak = F.greatest(F.max("_points"), F.lit(0.0))
-    crowd = F.when(F.count("*") > 3, F.count("*") * 2.0).otherwise(F.lit(0.0))
+    # Two points per detection once there are more than three.
+    crowded = "greatest(max(_points), 0D) + CASE WHEN count(*) > 3 THEN 2 * count(*) ELSE 0 END"
     return (
         near_regions(scored, cells, radius_km)
         .groupBy("region_name")
-        .agg(_capped(peak + crowd).alias("wildfire_score"))
+        .agg(_capped(crowded).alias("wildfire_score"))
     )
 
 
@@ -187,7 +181,7 @@ def _latest_points(df: DataFrame, regions: DataFrame, points: Column, name: str)
             rows.select(F.col("location_name").alias("region_name"), "observed_at", points.alias("_points"))
             .join(wanted, "region_name", "left_semi")
             .groupBy("region_name")
-            .agg(_capped(F.max_by("_points", "observed_at")).alias(name))
+            .agg(_capped("max_by(_points, observed_at)").alias(name))
         )
 
     names = regions.select("region_name")
@@ -200,10 +194,9 @@ def _latest_points(df: DataFrame, regions: DataFrame, points: Column, name: str)
 
 
 def _weather_latest(weather: DataFrame, regions: DataFrame) -> DataFrame:
-    wind = F.col("wind_severity")
     # Floors set by hurricane wind, gale wind and heavy rain.
-    wind_floor = F.when(wind == "Hurricane", F.lit(90.0)).when(wind == "Gale", F.lit(60.0))
-    rain_floor = F.when(F.col("precipitation_mm") >= 50.0, F.lit(85.0))
+    wind_floor = F.expr("CASE wind_severity WHEN 'Hurricane' THEN 90D WHEN 'Gale' THEN 60D END")
+    rain_floor = F.expr("CASE WHEN precipitation_mm >= 50 THEN 85D END")
     points = F.greatest(rules.risk_weight("storm_severity", "weather"), wind_floor, rain_floor)
     return _latest_points(weather, regions, points, "weather_score")
 
@@ -214,7 +207,7 @@ def weather_score(weather: DataFrame, regions: DataFrame) -> DataFrame:
 
 def _air_latest(air: DataFrame, regions: DataFrame) -> DataFrame:
     # Floor for an index above 300.
-    floor = F.when(F.col("us_aqi") > 300, F.lit(95.0))
+    floor = F.expr("CASE WHEN us_aqi > 300 THEN 95D END")
     points = F.greatest(rules.risk_weight("aqi_category", "air_quality"), floor)
     return _latest_points(air, regions, points, "air_quality_score")
 
@@ -242,10 +235,7 @@ def unified_risk(
     for part in parts:
         joined = joined.join(part, "region_name", "left")
     scored = joined.fillna(0.0, subset=list(C.RISK_SHARES))
-    unified = None
-    for name, share in C.RISK_SHARES.items():
-        term = F.col(name) * share
-        unified = term if unified is None else unified + term
+    unified = F.expr(" + ".join(f"{name} * {share!r}D" for name, share in C.RISK_SHARES.items()))
     return scored.withColumn("_unified", unified).select(
         "region_name",
         F.col("region_lat").alias("latitude"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = use_utc(spark)
         self.sf_dir = sf_dir
+        self._stored: dict[str, DataFrame] = {}
 
     @cached_property
     def events(self) -> DataFrame:
@@ -81,10 +83,6 @@ class Inputs:
     def root(self) -> str:
         return shared_dir(self.spark, "tables")
 
-    @cached_property
-    def _stored(self) -> dict[str, DataFrame]:
-        return {}
-
     def store(self, name: str) -> DataFrame:
         """A processed table, written once for queries that read it repeatedly."""
         if name not in self._stored:
@@ -95,7 +93,10 @@ class Inputs:
 
     @property
     def stored(self) -> dict[str, DataFrame]:
-        return {name: self.store(name) for name in FEEDS}
+        """All processed tables; their write jobs do not depend on each other."""
+        self.events, self.root  # shared by the jobs
+        with ThreadPoolExecutor(len(FEEDS)) as jobs:
+            return dict(zip(FEEDS, jobs.map(self.store, FEEDS)))
 
     def known_at(self, name: str, moment: dt.datetime) -> DataFrame:
         """A processed table as it stood at an earlier moment."""
