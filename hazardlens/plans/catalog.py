@@ -41,7 +41,7 @@ def decode_json(i: Inputs) -> DataFrame:
     lines = i.raw("weather").select(
         F.when(humidity % 11 == 0, F.lit("{bad")).when(humidity % 13 == 0, F.lit("")).otherwise(record).alias("value")
     )
-    decoded = wire.decode(lines, "weather")
+    decoded = wire.decode(i.landed(lines), "weather")
     return cleaning.normalize_timestamp(decoded, "observed_at").withColumn(
         "corrupt", F.col(wire.CORRUPT).isNotNull()
     ).drop(wire.CORRUPT)
@@ -49,38 +49,38 @@ def decode_json(i: Inputs) -> DataFrame:
 
 @query
 def src_geojson_quakes(i: Inputs) -> DataFrame:
-    found = docs.features(docs.parse_feature_collections(documents.feature_collections(i.raw("earthquakes"))))
+    found = docs.features(docs.parse_feature_collections(i.landed(documents.feature_collections(i.raw("earthquakes")))))
     return docs.quakes_from_features(docs.valid_quake_features(found))
 
 
 @query
 def valid_quake_features(i: Inputs) -> DataFrame:
-    found = docs.features(docs.parse_feature_collections(documents.feature_collections(i.raw("earthquakes"))))
+    found = docs.features(docs.parse_feature_collections(i.landed(documents.feature_collections(i.raw("earthquakes")))))
     kept = docs.valid_quake_features(found)
     return kept.groupBy(F.col("properties.status").alias("status")).agg(F.count("*").alias("valid"))
 
 
 @query
 def src_weather_docs(i: Inputs) -> DataFrame:
-    parsed = docs.parse_place_documents(documents.weather_documents(i.raw("weather")))
+    parsed = docs.parse_place_documents(i.landed(documents.weather_documents(i.raw("weather"))))
     return docs.weather_from_docs(docs.valid_weather_docs(parsed))
 
 
 @query
 def valid_weather_docs(i: Inputs) -> DataFrame:
-    parsed = docs.parse_place_documents(documents.weather_documents(i.raw("weather")))
+    parsed = docs.parse_place_documents(i.landed(documents.weather_documents(i.raw("weather"))))
     return docs.valid_weather_docs(parsed).groupBy("location_name").agg(F.count("*").alias("valid"))
 
 
 @query
 def src_air_quality_docs(i: Inputs) -> DataFrame:
-    parsed = docs.parse_place_documents(documents.air_quality_documents(i.raw("air_quality")))
+    parsed = docs.parse_place_documents(i.landed(documents.air_quality_documents(i.raw("air_quality"))))
     return docs.air_quality_from_docs(docs.valid_air_quality_docs(parsed))
 
 
 @query
 def valid_air_quality_docs(i: Inputs) -> DataFrame:
-    parsed = docs.parse_place_documents(documents.air_quality_documents(i.raw("air_quality")))
+    parsed = docs.parse_place_documents(i.landed(documents.air_quality_documents(i.raw("air_quality"))))
     return docs.valid_air_quality_docs(parsed).groupBy("location_name").agg(F.count("*").alias("valid"))
 
 

@@ -39,6 +39,15 @@ class Inputs:
     def raw(self, name: str) -> DataFrame:
         return feeds.feed(self.spark, self.events, name)
 
+    def land(self, texts: DataFrame) -> str:
+        """Texts written as the lines of files, the way a feed would deliver them."""
+        folder = shared_dir(self.spark, "landing")
+        texts.select("value").write.text(folder)
+        return folder
+
+    def landed(self, texts: DataFrame) -> DataFrame:
+        return self.spark.read.text(self.land(texts))
+
     @cached_property
     def processed(self) -> dict[str, DataFrame]:
         return {name: self.one(name) for name in FEEDS}

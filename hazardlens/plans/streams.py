@@ -1,4 +1,7 @@
-"""Registered streaming queries: the given table is read as a file stream.
+"""Registered streaming queries over the given table.
+
+The feeds are landed as JSON lines and subscribed to; queries without a wire format
+read the table itself as a file stream.
 
 Each run writes to a fresh folder below the shared checkpoint folder, processes all
 available input and returns the table it wrote.
@@ -23,9 +26,9 @@ ALL_AVAILABLE = {"availableNow": True}
 def _run_feed(i: Inputs, name: str, **options) -> str:
     """Stream one feed end to end through its JSON wire format."""
     root = shared_dir(i.spark, f"stream-{name}")
-    records = feeds.feed(i.spark, feeds.stream_events(i.spark, i.sf_dir), name)
+    lines = wire.subscribe_files(i.spark, i.land(wire.encode(i.raw(name))))
     running = etl.start_feed(
-        wire.encode(records), FEEDS[name], f"{root}/tables", f"{root}/checkpoint", ALL_AVAILABLE,
+        lines, FEEDS[name], f"{root}/tables", f"{root}/checkpoint", ALL_AVAILABLE,
         processed_at=F.lit(AS_OF), **options,
     )
     running.awaitTermination()
@@ -73,8 +76,8 @@ def stream_alerts(i: Inputs) -> DataFrame:
 def src_json_stream(i: Inputs) -> DataFrame:
     """Weather records landed as JSON lines, then subscribed to, decoded and stored."""
     root = shared_dir(i.spark, "json-stream")
-    wire.encode(i.raw("weather")).write.text(f"{root}/landing")
-    decoded = wire.decode(wire.subscribe_files(i.spark, f"{root}/landing"), "weather")
+    lines = wire.subscribe_files(i.spark, i.land(wire.encode(i.raw("weather"))))
+    decoded = wire.decode(lines, "weather")
     typed = FEEDS["weather"].typed(decoded).drop(wire.CORRUPT)
     live.append_stream(typed, f"{root}/out", f"{root}/checkpoint", ALL_AVAILABLE).awaitTermination()
     return i.spark.read.schema(typed.schema).parquet(f"{root}/out")

@@ -39,13 +39,14 @@ def decode(raw: DataFrame, feed: str) -> DataFrame:
     """Typed columns from the JSON text in ``value``.
 
     A text that is not a record of the feed keeps its original in ``_corrupt`` with
-    whatever fields could be read; only an empty text decodes to nothing and is
-    dropped.
+    whatever fields could be read. Blank texts hold no record and are dropped before
+    parsing, so that no text is parsed twice.
     """
     fields = WIRE[feed].fields + [T.StructField(CORRUPT, T.StringType(), True)]
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    data = F.from_json(F.col("value").cast("string"), T.StructType(fields), options)
-    return raw.select(data.alias("data")).filter("data is not null").select("data.*")
+    value = F.col("value").cast("string")
+    texts = raw.select(value.alias("value")).filter(F.btrim("value", F.lit(" \t\r\n")) != "")
+    return texts.select(F.from_json("value", T.StructType(fields), options).alias("data")).select("data.*")
 
 
 def encode(records: DataFrame) -> DataFrame:
