@@ -20,7 +20,7 @@ from hazardlens.sources.tables import scan_table
 
 AS_OF = feeds.AS_OF
 LOOKBACK_HOURS = 72
-SCORED_AT = [dt.datetime(2024, 1, 29), dt.datetime(2024, 1, 30), AS_OF]
+SCORED_AT = [dt.datetime(2024, 1, 30), AS_OF]
 ALERTED_AT = [dt.datetime(2024, 1, 30, 6), dt.datetime(2024, 1, 30, 20)]
 
 

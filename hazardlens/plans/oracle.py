@@ -208,7 +208,7 @@ from (select l.location_name as region_name, l.rlat as latitude, l.rlon as longi
 
 
 CTES["risk_scores"] = " union all ".join(
-    risk_run(f"timestamp '2024-01-{day} 00:00:00'", True) for day in (29, 30, 31)
+    risk_run(f"timestamp '2024-01-{day} 00:00:00'", True) for day in (30, 31)
 )
 CTES["latest_scores"] = """
 select * exclude (newest) from (select *, row_number() over (partition by region_name order by computed_at desc) as newest
