@@ -1,6 +1,7 @@
 """The streaming pipeline over several micro-batches, with repeats and broken input."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,10 @@ def land(spark, tmp_path, name, sf_dir, files=5):
     size = -(-len(lines) // files)
     for part in range(files):
         chunk = [r.value for r in lines[part * size:(part + 1) * size]]
-        (folder / f"{part}.json").write_text("\n".join(chunk) + "\n")
+        path = folder / f"{part}.json"
+        path.write_text("\n".join(chunk) + "\n")
+        # The file stream takes files by modification time.
+        os.utime(path, (1_700_000_000 + part, 1_700_000_000 + part))
     return raw, folder
 
 
