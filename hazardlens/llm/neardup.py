@@ -9,9 +9,13 @@
    buckets is the bucket's hub; the others are candidates with it, which makes at most one
    candidate per member and bucket. Candidates whose sketches differ too much are left out,
    the rest are confirmed on the full sets and united into components.
-4. In buckets that still hold several components, every pair across components that the
-   sketches admit and that was not compared yet is confirmed as well. So no pair that shares
-   a bucket goes unexamined, unless its ends are already in one component.
+4. In buckets that still hold several components, the sketches of all members are compared
+   within the tasks, and what they admit across components is joined into groups. Within a
+   group, every set outside its largest component is intersected exactly with all others
+   through an inverted list. So no pair that shares a bucket goes unexamined unless its ends
+   are in one component already, and still a task returns links that unite something, at most
+   one per member, never a group's pairs. Buckets and groups are cut into chunks, and each pair
+   of chunks is a task of its own.
 
 A pair at a similarity of exactly 0.75 shares a band with probability 1 - 6e-5 and passes
 the sketch with probability 1 - 1e-5; more similar pairs are surer.
@@ -45,6 +49,8 @@ SKETCH_WORDS = SKETCH_BITS // 64
 #: Differing sketch bits up to which a pair is compared. At a similarity of 0.75 they are
 #: 76 on average with a standard deviation of 11.5; unrelated pairs have about 193.
 SKETCH_DISTANCE = 125
+#: Members of a bucket, and shingles of a group, that a chunk holds on average.
+BUCKET_CHUNK, GROUP_CHUNK = 1024, 250_000
 
 _random = np.random.RandomState(20240229)
 _FACTOR = _random.randint(0, 2**31, SAMPLES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -151,33 +157,152 @@ def _sketches_admit(a: str, b: str) -> Column:
     return (differing <= SKETCH_DISTANCE) & (100 * small >= SIMILARITY * large)
 
 
-class _Confirmation:
-    """Exact comparison of candidate pairs on the full sets of both sides."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, folder: str) -> None:
-        self.docs, self.classes, self.folder, self.calls = docs, classes, folder, 0
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs ``(a, b)`` whose sets are similar enough."""
-        self.calls += 1
-        ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        wanted = ends.join(self.classes, "class").select("rep_id", "rep_key").distinct()
-        texts = self.docs.select("doc_id", text_key().alias("doc_key"), "text").join(
-            wanted,
-            F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("doc_key") == F.col("rep_key")), "left_semi",
-        )
-        sets = store(
-            texts.select("text").mapInArrow(_sets, "class binary, shingles array<long>"),
-            f"{self.folder}/sets-{self.calls}",
-        ).dropDuplicates(["class"])
-        left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("shingles_a"))
-        right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("shingles_b"))
-        common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-        union = F.size("shingles_a") + F.size("shingles_b") - common
-        return store(
-            pairs.join(left, "a").join(right, "b").filter(100 * common >= SIMILARITY * union).select("a", "b"),
-            f"{self.folder}/links-{self.calls}",
-        )
+class _Uniting:
+    """Numbers from 0 united into sets; tells which unions are new."""
+
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
+
+    def unite(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Unite ``one`` with ``others``; those that belonged to another set, one of each."""
+        labels = self.label[others]
+        new, at = np.unique(labels, return_index=True)
+        fresh = new != self.label[one]
+        self.label[np.isin(self.label, new)] = self.label[one]
+        return others[at[fresh]]
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    """Numbers that are equal where the values are."""
+    if isinstance(values, pa.ChunkedArray):
+        values = values.combine_chunks()
+    return values.dictionary_encode().indices.to_numpy()
+
+
+def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table({
+        "a": pa.array([min(p) for p in pairs], pa.binary()), "b": pa.array([max(p) for p in pairs], pa.binary()),
+    })
+
+
+def _admitted(key: tuple, members: pa.Table) -> pa.Table:
+    """Pairs of two chunks of a bucket that sketches and sizes admit, as far as they unite something."""
+    sketch = np.array(members.column("sketch").to_pylist(), np.int64).view(np.uint64)
+    size = members.column("n_shingles").to_numpy()
+    names, root = members.column("class").to_pylist(), _codes(members.column("root"))
+    chunk = members.column("chunk").to_numpy()
+    first, second = (k.as_py() for k in key[-2:])
+    right = np.flatnonzero(chunk == second)
+    united, found = _Uniting(len(names)), []
+    for i in np.flatnonzero(chunk == first):
+        differing = np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1)
+        near = (differing <= SKETCH_DISTANCE) & (root[right] != root[i])
+        near &= 100 * np.minimum(size[right], size[i]) >= SIMILARITY * np.maximum(size[right], size[i])
+        found += [(names[i], names[j]) for j in united.unite(i, right[near])]
+    return _edges(found)
+
+
+def _similar(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of both tables' sets that are similar enough, as far as they unite components."""
+    if not len(left) or not len(right):
+        return _edges([])
+    asked = [np.array(x, np.int64) for x in left.column("shingles").to_pylist()]
+    sets = [np.array(x, np.int64) for x in right.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    root = _codes(pa.chunked_array([*left.column("root").chunks, *right.column("root").chunks], pa.binary()))
+    left_root, right_root = root[: len(asked)], root[len(asked) :]
+    left_names, right_names = left.column("class").to_pylist(), right.column("class").to_pylist()
+    united, found = _Uniting(len(root)), []
+    for i, own in enumerate(asked):
+        common = np.zeros(len(sets), np.int64)
+        for at in range(0, len(own), 2000):
+            low = np.searchsorted(values, own[at : at + 2000], "left")
+            times = np.searchsorted(values, own[at : at + 2000], "right") - low
+            places = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            common += np.bincount(owner[places], minlength=len(sets))
+        linked = 100 * common >= SIMILARITY * (len(own) + size - common)
+        linked = np.flatnonzero(linked & (right_root != left_root[i]))
+        roots, at = np.unique(right_root[linked], return_index=True)
+        new = set(united.unite(left_root[i], roots).tolist())
+        found += [(left_names[i], right_names[linked[k]]) for r, k in zip(roots, at) if r in new]
+    return _edges(found)
+
+
+def _sets_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
+    """``class, shingles`` of the classes in ``wanted (class)``, from their documents' texts."""
+    places = wanted.join(reps, "class").select("rep_id", "rep_key").distinct()
+    texts = docs.select("doc_id", text_key().alias("doc_key"), "text").join(
+        places, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("doc_key") == F.col("rep_key")), "left_semi"
+    )
+    sets = texts.select("text").mapInArrow(_sets, "class binary, shingles array<long>")
+    return store(sets, folder).dropDuplicates(["class"])
+
+
+def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+    """The pairs ``(a, b)`` whose full sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    sets = _sets_of(docs, reps, ends, f"{folder}/sets-1")
+    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("shingles_a"))
+    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("shingles_b"))
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    union = F.size("shingles_a") + F.size("shingles_b") - common
+    return store(
+        pairs.join(left, "a").join(right, "b").filter(100 * common >= SIMILARITY * union).select("a", "b"),
+        f"{folder}/links-1",
+    )
+
+
+def _open_pairs(members: DataFrame, sketches: DataFrame, folder: str) -> DataFrame:
+    """Edges of the groups that sketches form across components in buckets with several of them."""
+    split = (
+        members.groupBy("band", "key")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+        .filter("low <> high").select("band", "key", F.ceil(F.col("n") / BUCKET_CHUNK).cast("int").alias("chunks"))
+    )
+    rows = members.join(split, ["band", "key"]).join(sketches, "class")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select(
+        "band", "key", "class", "root", "sketch", "n_shingles", "chunk",
+        F.least("chunk", "other").alias("first"), F.greatest("chunk", "other").alias("second"),
+    )
+    pairs = rows.groupBy("band", "key", "first", "second").applyInArrow(_admitted, "a binary, b binary")
+    return store(pairs.distinct(), f"{folder}/open-pairs")
+
+
+def _links_across(
+    docs: DataFrame, classes: DataFrame, roots: DataFrame, pairs: DataFrame, folder: str,
+) -> DataFrame:
+    """Links between different components within the groups that ``pairs`` form."""
+    groups = connected_components(pairs, f"{folder}/groups").select(F.col("node").alias("class"), F.col("root").alias("group"))
+    known = roots.select(F.col("node").alias("class"), "root")
+    placed = store(
+        groups.join(known, "class", "left").join(classes.select("class", "n_shingles"), "class")
+        .select("class", "group", "n_shingles", F.coalesce("root", "class").alias("root")),
+        f"{folder}/groups-placed",
+    )
+    largest = (
+        placed.groupBy("group", "root").agg(F.count("*").alias("n")).groupBy("group")
+        .agg(F.max(F.struct("n", "root")).getField("root").alias("main"))
+    )
+    chunks = placed.groupBy("group").agg(F.ceil(F.sum("n_shingles") / GROUP_CHUNK).cast("int").alias("chunks"))
+    sets = _sets_of(docs, classes, placed.select("class"), f"{folder}/sets-2")
+    rows = placed.join(largest, "group").join(chunks, "group").join(sets, "class")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    left = rows.filter(F.col("root") != F.col("main")).select(
+        "group", F.col("chunk").alias("i"), F.col("other").alias("j"), "class", "root", "shingles"
+    )
+    right = rows.select(
+        F.col("group").alias("group"), F.col("other").alias("i"), F.col("chunk").alias("j"),
+        *[F.col(c).alias(c) for c in ("class", "root", "shingles")],
+    )
+    cell = ["group", "i", "j"]
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_similar, "a binary, b binary")
+    return store(found, f"{folder}/links-2")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,37 +341,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .filter(_sketches_admit("l", "r")).select("a", "b"),
         f"{folder}/pairs-1",
     )
-    confirm = _Confirmation(docs, reps, folder)
-    links = confirm.links(first)
+    links = _links(docs, reps, first, folder)
     roots = connected_components(links, f"{folder}/components-1")
 
-    members = (
+    members = store(
         shared.join(roots.withColumnRenamed("node", "class"), "class", "left")
-        .select("band", "key", "class", F.coalesce("root", "class").alias("root"))
-    )
-    members = store(members, f"{folder}/members")
-    split = (
-        members.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .filter("low <> high").select("band", "key")
-    )
-    open_members = store(
-        members.join(split, ["band", "key"]).join(sketches, "class"), f"{folder}/open-members"
-    )
-    left, right = open_members.alias("l"), open_members.alias("r")
-    across = left.join(
-        right,
-        (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key"))
-        & (F.col("l.class") < F.col("r.class")) & (F.col("l.root") != F.col("r.root"))
-        & _sketches_admit("l", "r"),
-    )
-    second = store(
-        across.select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti"),
-        f"{folder}/pairs-2",
+        .select("band", "key", "class", F.coalesce("root", "class").alias("root")),
+        f"{folder}/members",
     )
-    if not second.isEmpty():
-        links = links.unionByName(confirm.links(second))
-        roots = connected_components(links, f"{folder}/components-2")
+    pairs = _open_pairs(members, sketches, folder)
+    if not pairs.isEmpty():
+        more = _links_across(docs, reps, roots, pairs, folder)
+        if not more.isEmpty():
+            roots = connected_components(links.unionByName(more), f"{folder}/components-2")
 
     rooted = signed.select("doc_id", "doc_key", "n_shingles", "class").join(
         roots.withColumnRenamed("node", "class"), "class", "left"
