@@ -3,12 +3,14 @@
 Encoding:
 
 1. Tasks cut their texts into words (chunks that the tokenizer treats independently, see
-   ``chunks``). A block of about 8 MB becomes its distinct words and, per document, the numbers
-   of its words in order. Both are written; the texts are not shuffled.
+   ``chunks``). A block of about 4 MB becomes its distinct words and, per document, the numbers
+   of its words in order, frequent words first. Both are packed; the texts are not shuffled.
 2. Words are dealt by hash into buckets, packed per block and bucket. A bucket holds its part of
    the distinct-word table: every distinct word of the corpus is encoded exactly once. A frequent
    word arrives once per block, so no bucket is hot.
-3. The ids return to each block and are joined to the documents by position.
+3. The ids return to each block and are joined to the documents by position. Words and numbers of
+   a block travel in one exchange that both steps read; a check sum over the words tells if a
+   block was ever computed differently, which then is an error.
 
 Decoding joins the ids with the table of pieces, which has one row per id of the vocabulary and so
 a fixed size, and concatenates the pieces' bytes by position.
@@ -32,13 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens.llm.chunks import chunk_dictionary, encode_chunks, gather, tokenizer, tokenizer_json
-from hazardlens.llm.common import read_table, scratch, slices, store
+from hazardlens.llm.common import read_table, slices
 from hazardlens.llm.words import mix
 
 VOCABULARY = "byte_bpe_50k.json"
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
+MAX_BUCKETS = 65_535
 
-_BLOCKS = "block long, bucket int, size long, ids array<long>, packed binary"
+#: Words go to their bucket (kind 0), numbers of words to their block (kind 1).
+_DEALT = "kind int, part long, block long, bucket int, rows array<long>, check long, packed binary"
+_ANSWERS = "kind int, part long, bucket int, check long, packed binary"
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -57,10 +62,10 @@ def unpack(packed: bytes, *kinds: str | None) -> list:
     return [p if k is None else np.frombuffer(p, k) for p, k in zip(parts, kinds)]
 
 
-def _bucket(words: pa.Array, buckets: int) -> np.ndarray:
-    """A bucket per word by its bytes, alike in every process."""
+def _bucket(words: pa.Array, buckets: int) -> tuple[np.ndarray, int]:
+    """A bucket per word by its bytes, alike in every process, and a check sum over the words."""
     if not len(words):
-        return np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), 0
     _, offsets, data = words.buffers()
     offsets = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
     data = np.frombuffer(data, np.uint8)[: offsets[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -69,7 +74,15 @@ def _bucket(words: pa.Array, buckets: int) -> np.ndarray:
     place = np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], size)
     spread = mix(data[offsets[0] :].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(8)))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(spread)])
-    return (mix(sums[offsets[1:] - offsets[0]] - sums[offsets[:-1] - offsets[0]]) % np.uint64(buckets)).astype(np.int32)
+    value = mix(sums[offsets[1:] - offsets[0]] - sums[offsets[:-1] - offsets[0]])
+    check = mix(value + np.arange(len(value), dtype=np.uint64)).sum(dtype=np.uint64)
+    return (value % np.uint64(buckets)).astype(np.int64), int(check.view(np.int64))
+
+
+def _planes(numbers: np.ndarray) -> list[np.ndarray]:
+    """The four bytes of 32-bit numbers, each apart: the upper ones compress to almost nothing."""
+    raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [raw[:, i] for i in range(4)]
 
 
 def _cut(buckets: int):
@@ -78,13 +91,13 @@ def _cut(buckets: int):
         for batch in batches:
             for row, after, data, offsets in slices(batch.column(1), BLOCK_BYTES):
                 block += 1
-                rows = batch.column(0).slice(row, after - row).to_pylist()
                 words, codes, first = chunk_dictionary(data, offsets)
-                bucket = _bucket(words, buckets)
-                # Words are numbered bucket by bucket, so a bucket's answer fills one range.
+                by_count = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+                number = np.empty(len(words), np.int64)
+                number[by_count] = np.arange(len(words))
+                words = words.take(pa.array(by_count))
+                bucket, check = _bucket(words, buckets)
                 order = np.argsort(bucket, kind="stable")
-                rank = np.empty(len(order), np.int32)
-                rank[order] = np.arange(len(order), dtype=np.int32)
                 words = words.take(pa.array(order))
                 counts = np.bincount(bucket, minlength=buckets)
                 ends = np.cumsum(counts)
@@ -93,27 +106,31 @@ def _cut(buckets: int):
                 for b in used:
                     part = words.slice(ends[b] - counts[b], counts[b]).to_pylist()
                     packed.append(pack(np.array([len(w) for w in part], "<i4"), b"".join(part)))
-                lists = [None] * len(used) + [rows]
-                packed.append(pack(rank[codes] if len(codes) else codes, np.diff(first).astype("<i8")))
+                packed.append(pack(*_planes(number[codes]), np.diff(first).astype("<i8"), bucket.astype("<u2")))
+                rows = [None] * len(used) + [batch.column(0).slice(row, after - row).to_pylist()]
+                n = len(used) + 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([block] * (len(used) + 1), pa.int64()),
-                        pa.array([*used.tolist(), -1], pa.int32()),
-                        pa.array([*counts[used].tolist(), after - row], pa.int64()),
-                        pa.array(lists, pa.list_(pa.int64())), pa.array(packed, pa.binary()),
+                        pa.array([0] * len(used) + [1], pa.int32()), pa.array([*used.tolist(), block], pa.int64()),
+                        pa.array([block] * n, pa.int64()), pa.array([*used.tolist(), -1], pa.int32()),
+                        pa.array(rows, pa.list_(pa.int64())), pa.array([check] * n, pa.int64()),
+                        pa.array(packed, pa.binary()),
                     ],
-                    ["block", "bucket", "size", "ids", "packed"],
+                    ["kind", "part", "block", "bucket", "rows", "check", "packed"],
                 )
 
     return run
 
 
 def _encode_bucket(vocabulary):
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        names = ["kind", "part", "bucket", "check", "packed"]
+        if key[0].as_py() == 1:
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())], names)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         sizes, texts = [], []
-        for packed in table.column("packed").to_pylist():
-            size, text = unpack(packed, "<i4", None)
+        for packed in table.column("packed"):
+            size, text = unpack(packed.as_py(), "<i4", None)
             sizes.append(size)
             texts.append(text)
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
@@ -129,56 +146,59 @@ def _encode_bucket(vocabulary):
         for size in sizes:
             own = codes[at : at + len(size)]
             at += len(size)
-            packed.append(pack(held[own].astype("<i4"), gather(flat, begin[own], held[own])))
-        return pa.table({
-            "block": table.column("block"), "bucket": table.column("bucket"),
-            "packed": pa.array(packed, pa.binary()),
-        })
+            packed.append(pack(held[own].astype("<u4"), gather(flat, begin[own], held[own])))
+        return pa.table(
+            [
+                pa.array([1] * len(packed), pa.int32()), table.column("block"), table.column("bucket"),
+                table.column("check"), pa.array(packed, pa.binary()),
+            ],
+            names,
+        )
 
     return run
 
 
-def _assemble(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+def _assemble(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
     """The ids of a block's documents: the answers of its buckets, joined by position."""
-    rows, counts, codes = [], [], []
-    for row, packed in zip(blocks.column("ids").to_pylist(), blocks.column("packed").to_pylist()):
-        code, count = unpack(packed, "<i4", "<i8")
-        rows += row
-        counts.append(count)
-        codes.append(code)
+    if key[0].as_py() == 0:
+        return pa.table({"row": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+    block = blocks.to_pylist()[0] if len(blocks) == 1 else None
+    if block is None or any(c != block["check"] for c in answers.column("check").to_pylist()):
+        raise ValueError("a block was computed twice with different words; give the texts in a stable order")
+    *planes, counts, bucket = unpack(block["packed"], *["u1"] * 4, "<i8", "<u2")
+    number = np.stack(planes, axis=1).copy().view("<u4").ravel().astype(np.int64)
+    place = np.empty(len(bucket), np.int64)
+    place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
     order = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
-    packed = answers.column("packed").to_pylist()
-    parts = [unpack(packed[i], "<i4", "<u4") for i in order]
-    held = np.concatenate([p[0] for p in parts] or [np.zeros(0, "<i4")]).astype(np.int64)
+    packed = answers.column("packed")
+    parts = [unpack(packed[int(i)].as_py(), "<u4", "<u4") for i in order]
+    held = np.concatenate([p[0] for p in parts] or [np.zeros(0, "<u4")]).astype(np.int64)
     flat = np.concatenate([p[1] for p in parts] or [np.zeros(0, "<u4")])
+    if len(held) != len(bucket):
+        raise ValueError("a block's words came back incomplete")
     begin = np.cumsum(held) - held
-    code = np.concatenate(codes)
-    ids = gather(flat, begin[code], held[code])
+    code = place[number]
+    sizes = held[code]
+    ids = gather(flat, begin[code], sizes)
     # Ends of the documents in the ids, from the ids of their words.
-    words_before = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-    ids_before = np.concatenate([[0], np.cumsum(held[code])])
-    ends = 4 * ids_before[words_before]
+    words_before = np.concatenate([[0], np.cumsum(counts)])
+    ends = 4 * np.concatenate([[0], np.cumsum(sizes)])[words_before]
     encoded = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(rows), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.tobytes())]
+        pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.tobytes())]
     )
-    return pa.table({"row": pa.array(rows, pa.int64()), "ids": encoded.cast(pa.binary())})
+    return pa.table({"row": pa.array(block["rows"], pa.int64()), "ids": encoded.cast(pa.binary())})
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``row, ids``: for every row of ``docs (row long, text)`` its ids as little-endian unsigned
     32-bit integers. ``path`` is the vocabulary file."""
     spark = docs.sparkSession
-    folder = scratch(spark, "bpe")
     vocabulary = spark.sparkContext.broadcast(tokenizer_json(path or public_tokenizers.path(VOCABULARY)))
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = store(docs.select("row", "text").mapInArrow(_cut(buckets), _BLOCKS), f"{folder}/blocks")
-    words = cut.filter("bucket >= 0").select("block", "bucket", "packed")
-    answers = words.groupBy("bucket").applyInArrow(
-        _encode_bucket(vocabulary), "block long, bucket int, packed binary"
-    )
-    blocks = cut.filter("bucket < 0").select("block", "ids", "packed")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        lambda left, right: _assemble(left, right), "row long, ids binary"
+    buckets = min(MAX_BUCKETS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = docs.select("row", "text").mapInArrow(_cut(buckets), _DEALT).repartition("kind", "part")
+    answers = dealt.groupBy("kind", "part").applyInArrow(_encode_bucket(vocabulary), _ANSWERS)
+    return dealt.groupBy("kind", "part").cogroup(answers.groupBy("kind", "part")).applyInArrow(
+        lambda key, blocks, found: _assemble(key, blocks, found), "row long, ids binary"
     )
 
 

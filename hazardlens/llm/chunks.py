@@ -15,7 +15,6 @@ inside a longer chunk. The texts of a slice are cut as one byte array in numpy.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +100,11 @@ def tokenizer(text: str) -> Tokenizer:
     return _loaded[key]
 
 
-def encode_chunks(encoder: Tokenizer, chunks: Iterable[bytes]) -> list[bytes]:
+def encode_chunks(encoder: Tokenizer, chunks: list[bytes], at_once: int = 2000) -> list[bytes]:
     """Ids of each chunk by the library, as little-endian unsigned 32-bit integers."""
-    found = encoder.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
-    return [np.array(e.ids, "<u4").tobytes() for e in found]
+    found = []
+    for start in range(0, len(chunks), at_once):
+        texts = [c.decode("utf-8") for c in chunks[start : start + at_once]]
+        encoded = encoder.encode_batch_fast(texts, add_special_tokens=False)
+        found += [np.array(e.ids, "<u4").tobytes() for e in encoded]
+    return found
