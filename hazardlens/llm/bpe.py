@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.llm.chunks import chunk_dictionary, encode_chunks, gather, tokenizer, tokenizer_json
+from hazardlens.llm.chunks import chunk_dictionary, chunk_encoder, gather, tokenizer_json
 from hazardlens.llm.common import read_table, slices
 from hazardlens.llm.words import mix
 
@@ -137,7 +137,7 @@ def _encode_bucket(vocabulary):
         words = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(texts))]
         ).dictionary_encode()
-        ids = encode_chunks(tokenizer(vocabulary.value), words.dictionary.to_pylist())
+        ids = chunk_encoder(vocabulary.value).encode(words.dictionary.to_pylist())
         held = np.array([len(i) // 4 for i in ids], np.int64)
         flat = np.frombuffer(b"".join(ids), "<u4")
         begin = np.cumsum(held) - held
@@ -212,7 +212,8 @@ def _bytes_of_characters() -> dict[str, int]:
 
 def pieces(path: str | None = None) -> pa.Array:
     """The bytes of every id of a byte-level vocabulary, by id."""
-    vocabulary = tokenizer(tokenizer_json(path or public_tokenizers.path(VOCABULARY))).get_vocab(with_added_tokens=True)
+    encoder = chunk_encoder(tokenizer_json(path or public_tokenizers.path(VOCABULARY)))
+    vocabulary = encoder.tokenizer.get_vocab(with_added_tokens=True)
     to_byte = _bytes_of_characters()
     table = [b""] * (max(vocabulary.values()) + 1)
     for piece, number in vocabulary.items():

@@ -15,6 +15,7 @@ inside a longer chunk. The texts of a slice are cut as one byte array in numpy.
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -89,22 +90,60 @@ def tokenizer_json(path: str) -> str:
     return json.dumps(loaded)
 
 
-_loaded: dict[int, Tokenizer] = {}
-
-
-def tokenizer(text: str) -> Tokenizer:
-    """The tokenizer of a vocabulary, read once per Python worker."""
-    key = hash(text)
+class ChunkEncoder:
+    """Encodes chunks with the library.
+
+    Where the vocabulary marks the ends of words, chunks of letters only are encoded many at a
+    time with blanks between them, and their ids told apart by these marks. If the marks are not
+    as many as the chunks, they are encoded one by one as all others are.
+    """
+
+    def __init__(self, vocabulary: str) -> None:
+        self.tokenizer = Tokenizer.from_str(vocabulary)
+        suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            words = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(words.values()) + 1, bool)
+            self.ends[[i for w, i in words.items() if w.endswith(suffix)]] = True
+
+    def _each(self, chunks: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def _together(self, chunks: list[bytes]) -> list[bytes]:
+        text = b" ".join(chunks).decode("utf-8")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        after = np.flatnonzero(self.ends[ids]) + 1
+        if len(after) != len(chunks) or after[-1] != len(ids):
+            return self._each(chunks)
+        raw, edges = ids.tobytes(), (4 * after).tolist()
+        return [raw[a:b] for a, b in zip([0, *edges], edges)]
+
+    def encode(self, chunks: list[bytes], at_once: int = 2000) -> list[bytes]:
+        """Ids of each chunk, as little-endian unsigned 32-bit integers."""
+        found: list[bytes] = [b""] * len(chunks)
+        alone, words = range(len(chunks)), []
+        if self.ends is not None:
+            letters = [_LETTERS.fullmatch(c) is not None for c in chunks]
+            words = [i for i, own in enumerate(letters) if own]
+            alone = [i for i, own in enumerate(letters) if not own]
+        for places, run in ((alone, self._each), (words, self._together)):
+            for start in range(0, len(places), at_once):
+                part = places[start : start + at_once]
+                for i, ids in zip(part, run([chunks[i] for i in part])):
+                    found[i] = ids
+        return found
+
+
+_LETTERS = re.compile(rb"[ \n]?(?:[A-Za-z]|[\xc3-\xc9][\x80-\xbf])+")
+
+_loaded: dict[int, ChunkEncoder] = {}
+
+
+def chunk_encoder(vocabulary: str) -> ChunkEncoder:
+    """The encoder of a vocabulary, made once per Python worker."""
+    key = hash(vocabulary)
     if key not in _loaded:
-        _loaded[key] = Tokenizer.from_str(text)
+        _loaded[key] = ChunkEncoder(vocabulary)
     return _loaded[key]
-
-
-def encode_chunks(encoder: Tokenizer, chunks: list[bytes], at_once: int = 2000) -> list[bytes]:
-    """Ids of each chunk by the library, as little-endian unsigned 32-bit integers."""
-    found = []
-    for start in range(0, len(chunks), at_once):
-        texts = [c.decode("utf-8") for c in chunks[start : start + at_once]]
-        encoded = encoder.encode_batch_fast(texts, add_special_tokens=False)
-        found += [np.array(e.ids, "<u4").tobytes() for e in encoded]
-    return found

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazardlens.llm.chunks import chunk_dictionary, encode_chunks, gather, tokenizer, tokenizer_json
+from hazardlens.llm.chunks import chunk_dictionary, chunk_encoder, gather, tokenizer_json
 from hazardlens.llm.common import read_table, scratch, slices, store, text_key
 
 VOCABULARY = "word_bpe_49k.json"
@@ -44,8 +44,8 @@ END_ID = 1
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
 #: Text bytes encoded at once, and encoded words a task remembers.
-SLICE = 4_000_000
-REMEMBERED = 300_000
+SLICE = 8_000_000
+REMEMBERED = 1_000_000
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
@@ -148,7 +148,7 @@ class RememberingEncoder:
 
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.encoder = tokenizer(vocabulary)
+        self.encoder = chunk_encoder(vocabulary)
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -160,7 +160,7 @@ class RememberingEncoder:
             found[i] = self.older.get(words[i])
             if found[i] is None:
                 unknown.append(i)
-        for i, ids in zip(unknown, encode_chunks(self.encoder, [words[i] for i in unknown])):
+        for i, ids in zip(unknown, self.encoder.encode([words[i] for i in unknown])):
             found[i] = ids
         if len(self.recent) + len(missing) > REMEMBERED // 2:
             self.older, self.recent = self.recent, {}

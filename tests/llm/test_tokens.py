@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hazardlens.llm import bpe, tokenfiles
-from hazardlens.llm.chunks import chunk_starts, tokenizer_json
+from hazardlens.llm.chunks import chunk_encoder, chunk_starts, tokenizer_json
 from hazardlens.llm.common import slices
 
 BYTES = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -37,6 +37,14 @@ def test_chunks_are_encoded_independently(texts):
                 assert [i for c in chunks[a:b] for i in ids(tokenizer, c)] == ids(tokenizer, text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="abzAé×İşßœ n\u0131", min_size=1, max_size=6), max_size=30))
+def test_words_encoded_together_equal_words_alone(words):
+    encoder = chunk_encoder(tokenizer_json(public_tokenizers.path("word_bpe_49k.json")))
+    raw = [w.encode() for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(raw, at_once=7)] == [ids(WORDS, w) for w in words]
+
+
 def expected_bpe(rows):
     out = []
     for doc_id, text in rows:
