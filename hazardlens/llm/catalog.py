@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazardlens.llm import urlfilter
 from hazardlens.llm.ann import op3_nearest
 from hazardlens.llm.bpe import op8_bpe
 from hazardlens.llm.chat import op1_chat_windows
@@ -14,10 +13,13 @@ from hazardlens.llm.decontam import op6_decontamination
 from hazardlens.llm.langid import op10_language_id
 from hazardlens.llm.linededup import op5_line_dedup
 from hazardlens.llm.neardup import op4_near_duplicates
+from hazardlens.llm.oracle import ORACLE_SQL
 from hazardlens.llm.secrets import op9_secret_scan
 from hazardlens.llm.tokenfiles import op7_token_files
 from hazardlens.llm.urlfilter import op2_url_filter
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -25,5 +27,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_decontamination, op7_token_files, op8_bpe, op9_secret_scan, op10_language_id,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": urlfilter.oracle_sql()}
