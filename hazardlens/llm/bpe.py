@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens.llm.chunks import chunk_dictionary, chunk_encoder, gather, tokenizer_json
-from hazardlens.llm.common import read_table, slices
+from hazardlens.llm.common import bounded_batches, read_table, release_memory, slices
 from hazardlens.llm.words import mix
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -118,6 +118,7 @@ def _cut(buckets: int):
                     ],
                     ["kind", "part", "block", "bucket", "rows", "check", "packed"],
                 )
+        release_memory()
 
     return run
 
@@ -147,6 +148,7 @@ def _encode_bucket(vocabulary):
             own = codes[at : at + len(size)]
             at += len(size)
             packed.append(pack(held[own].astype("<u4"), gather(flat, begin[own], held[own])))
+        release_memory()
         return pa.table(
             [
                 pa.array([1] * len(packed), pa.int32()), table.column("block"), table.column("bucket"),
@@ -192,7 +194,7 @@ def _assemble(key: tuple, blocks: pa.Table, answers: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``row, ids``: for every row of ``docs (row long, text)`` its ids as little-endian unsigned
     32-bit integers. ``path`` is the vocabulary file."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     vocabulary = spark.sparkContext.broadcast(tokenizer_json(path or public_tokenizers.path(VOCABULARY)))
     buckets = min(MAX_BUCKETS, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = docs.select("row", "text").mapInArrow(_cut(buckets), _DEALT).repartition("kind", "part")
@@ -247,6 +249,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                     [*[c.slice(row, after - row) for c in batch.columns], pa.array(texts, pa.string())],
                     [*batch.schema.names, "text"],
                 )
+        release_memory()
 
     return encoded.select(*columns).mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 from hazardlens.session import shared_dir
 
 #: Text bytes handled at once in a Python task; one longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+#: Bytes of an Arrow batch that Spark hands to a Python task, unless the session has fewer.
+BATCH_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +34,23 @@ def store(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches small: 10 000 long texts at once would fill a worker's memory."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.conf.get(setting).rstrip("bB")
+    if not size.isdigit() or int(size) > BATCH_BYTES or int(size) <= 0:
+        spark.conf.set(setting, str(BATCH_BYTES))
+    return spark
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task and its stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_key(text: str = "text") -> Column:
     """Content key of a row's text; with ``doc_id`` it names a document."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

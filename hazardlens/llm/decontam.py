@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens.llm import words as W
-from hazardlens.llm.common import read_table, scratch, slices, store, text_key
+from hazardlens.llm.common import bounded_batches, read_table, release_memory, scratch, slices, store, text_key
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -136,6 +136,7 @@ def _window_finder(shared, weights, default: float):
                     ],
                     ["doc_id", "doc_key", "start", "n_words", "fingerprint", "shingles"],
                 )
+        release_memory()
 
     return run
 
@@ -178,7 +179,7 @@ def _block(fingerprint: str, number) -> F.Column:
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id, doc_key, item_id, start, n_words, similarity``: the best window of every
     document and benchmark item that are similar enough; ``start`` counts words from 0."""
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     folder = scratch(spark, "decontamination")
     places = store(
         benchmark.select("item_id", "text").mapInArrow(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.llm.common import read_table, scratch, store
+from hazardlens.llm.common import bounded_batches, read_table, release_memory, scratch, store
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3)
@@ -30,7 +30,7 @@ BUCKETS = 1 << 15
 MAX_LANGUAGES = 500
 SMOOTHING = 0.1
 #: Characters scored at once; a longer text is scored in pieces that are summed.
-PIECE = 500_000
+PIECE = 100_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 _STEP = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -64,7 +64,8 @@ def pieces(text: str) -> Iterator[np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
+            text = text.as_py()
             if text and _LETTER.search(text):
                 sums = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 for piece in pieces(text):
@@ -75,6 +76,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(sums[used])],
             ["lang", "bucket", "n"],
         )
+    release_memory()
 
 
 @dataclass
@@ -87,6 +89,7 @@ class Model:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Fit on all rows of ``docs`` with a language; pass only the rows to learn from."""
+    bounded_batches(docs.sparkSession)
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull())
     counts = store(
         labelled.mapInArrow(_count, "lang string, bucket long, n long")
@@ -127,18 +130,19 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Columns of ``docs`` with these two names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double")
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [score(t, shared.value) for t in batch.column(at).to_pylist()]
+            found = [score(t.as_py(), shared.value) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 [*batch.schema.names, "lang_pred", "score"],
             )
+        release_memory()
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens.llm import words as W
-from hazardlens.llm.common import read_table, scratch, slices, store, text_key
+from hazardlens.llm.common import bounded_batches, read_table, release_memory, scratch, slices, store, text_key
 from hazardlens.llm.graph import connected_components
 
 SHINGLE = 5
@@ -122,6 +122,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["doc_id", "doc_key", "n_shingles", "class", "bands", "sketch"],
             )
+    release_memory()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -145,6 +146,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 ["class", "shingles"],
             )
+    release_memory()
 
 
 def _sketches_admit(a: str, b: str) -> Column:
@@ -307,7 +309,7 @@ def _links_across(
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, doc_key, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``."""
-    folder = scratch(docs.sparkSession, "near-duplicates")
+    folder = scratch(bounded_batches(docs.sparkSession), "near-duplicates")
     signed = store(signatures(docs), f"{folder}/signatures")
     classes = signed.filter("class is not null").groupBy("class").agg(
         F.min(F.struct("doc_id", "doc_key", "n_shingles", "bands", "sketch")).alias("rep")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardlens.llm.chunks import chunk_dictionary, chunk_encoder, gather, tokenizer_json
-from hazardlens.llm.common import read_table, scratch, slices, store, text_key
+from hazardlens.llm.common import bounded_batches, read_table, release_memory, scratch, slices, store, text_key
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -205,6 +205,7 @@ def _write_files(vocabulary, folder: str, end_id: int | None, kind: str):
                 "shard": pa.array([shard], pa.int64()), "file": [name],
                 "n_docs": pa.array([len(writer.sizes)], pa.int64()), "n_ids": pa.array([writer.written], pa.int64()),
             })
+        release_memory()
 
     return run
 
@@ -216,7 +217,7 @@ def write_token_files(
 
     ``path`` is the vocabulary file; ``end_id`` follows every document; ``planes`` is bit or byte.
     """
-    spark = docs.sparkSession
+    spark = bounded_batches(docs.sparkSession)
     vocabulary = spark.sparkContext.broadcast(tokenizer_json(path or public_tokenizers.path(VOCABULARY)))
     ordered = (
         docs.select("doc_id", "text", text_key().alias("key"))
