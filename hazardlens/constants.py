@@ -21,6 +21,12 @@ INGESTION_SOURCES = [
     "open_meteo_air_quality",
     "nasa_firms_wildfires",
 ]
+INGESTION_NAME = {
+    "earthquakes": "usgs_earthquakes",
+    "weather": "open_meteo_weather",
+    "air_quality": "open_meteo_air_quality",
+    "wildfires": "nasa_firms_wildfires",
+}
 
 # Earthquake bands by magnitude, lower bounds inclusive.
 RISK_CATEGORY = [(7.0, "Critical"), (5.0, "High"), (3.0, "Medium")]
@@ -138,15 +144,15 @@ EARTH_RADIUS_KM = 6371.0
 NULL_TEXT_EXACT = ["", "NaN"]
 NULL_TEXT_ANY_CASE = ["null", "none"]
 
-# Forecast horizons (name, steps, step unit) and model settings.
-FORECAST_HORIZONS = [("24h", 24, "hour"), ("7d", 168, "hour"), ("30d", 720, "day")]
+# Forecast horizons (name, steps, step unit) and model settings. The 30d horizon has
+# 720 daily steps; 30d_fixed has as many days as its name says.
+FORECAST_HORIZONS = [("24h", 24, "hour"), ("7d", 168, "hour"), ("30d", 720, "day"), ("30d_fixed", 30, "day")]
 FORECAST_MIN_POINTS = 10
 FORECAST_WEEKLY_ABOVE_POINTS = 48
 FORECAST_INTERVAL_Z = 1.28155
 
-# Brightest fire detections kept per download, stream admission.
+# Brightest fire detections kept per download, stream trigger.
 FIRE_DOWNLOAD_LIMIT = 2000
-STREAM_MAX_OFFSETS = 10000
 STREAM_TRIGGER = "10 seconds"
 JDBC_BATCH_SIZE = 1000
 JDBC_ATTEMPTS = 3

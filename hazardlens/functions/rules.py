@@ -103,10 +103,10 @@ def fire_severity(frp: str) -> Column:
 
 def detection_confidence(confidence: str) -> Column:
     words = [(f"lower({confidence}) = '{word}'", label) for word, label in C.CONFIDENCE_WORDS.items()]
-    numbers = [
-        (f"try_cast({confidence} AS DECIMAL(20, 4)) >= {edge}", label)
-        for edge, label in C.CONFIDENCE_PERCENT
-    ]
+    # A percentage is read as an integer: decimals are cut off, other notations and numbers that
+    # do not fit are none.
+    percent = f"try_cast(regexp_extract(trim({confidence}), '^([+-]?[0-9]+)([.][0-9]*)?$', 1) AS INT)"
+    numbers = [(f"{percent} >= {edge}", label) for edge, label in C.CONFIDENCE_PERCENT]
     return F.expr(case(words + numbers, C.CONFIDENCE_BELOW))
 
 

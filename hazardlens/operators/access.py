@@ -7,10 +7,10 @@ from functools import reduce
 from operator import eq, ge, gt, le, lt
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardlens.operators.common import newest
+from hazardlens.operators.common import newest, positioned
 
 _TESTS = {"=": eq, ">=": ge, "<=": le, ">": gt, "<": lt}
 
@@ -30,38 +30,8 @@ def apply_filters(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     return reduce(DataFrame.filter, active, df)
 
 
-TOP_K_ROWS = 100_000
-_UNITS = ["year", "month", "day", "hour", "minute", "second"]
-
-
-def _skip_ahead(df: DataFrame, time: str, limit: int, offset: int, top_k: int) -> tuple[DataFrame, int]:
-    """The rows of ever finer periods around a deep page, and the offset left in them.
-
-    Newest first, whole periods that end before the page are counted and left out, as
-    are those after it. A period's count is all that leaves the executors.
-    """
-    rows = df
-    for unit in _UNITS:
-        if offset + limit <= top_k:
-            break
-        period = F.date_trunc(unit, F.col(time).cast("timestamp"))
-        counts = rows.groupBy(period.alias("period")).agg(F.count("*").alias("n"))
-        through = F.sum("n").over(Window.orderBy(F.desc_nulls_last("period")))
-        placed = counts.withColumn("before", through - F.col("n"))
-        on_page = (F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)
-        found = placed.filter(on_page).agg(
-            F.max("period").alias("newest"),
-            F.min("period").alias("oldest"),
-            F.min("before").alias("before"),
-            F.count_if(F.col("period").isNull()).alias("untimed"),
-        ).first()
-        if found.before is None:
-            return rows.limit(0), 0
-        inside = F.coalesce(period.between(F.lit(found.oldest), F.lit(found.newest)), F.lit(False))
-        if found.untimed:
-            inside = inside | period.isNull()
-        rows, offset = rows.filter(inside), offset - found.before
-    return rows, offset
+#: Rows that a task keeps at most for a page by its offset.
+NEAR_ROWS = 5_000
 
 
 def paginate(
@@ -72,21 +42,42 @@ def paginate(
     limit: int = 50,
     offset: int = 0,
     max_limit: int = 500,
-    top_k: int = TOP_K_ROWS,
+    after: Sequence[object] | None = None,
+    near_rows: int = NEAR_ROWS,
 ) -> Page:
     """Rows ``offset`` to ``offset + limit``, newest first, ties in a fixed order.
 
-    A page near the top is a top-k, for which a task keeps ``offset + limit`` rows.
-    Beyond ``top_k`` rows the periods before the page are skipped by their counts.
+    ``after`` holds the sort values (time, then ties) of the last row of the page before:
+    the next page is then a top-k of ``limit`` rows, however deep it is, and only reads
+    what is not newer. An offset within ``near_rows`` is a top-k as well. A deeper one sorts
+    the matches into ranges once and takes the rows at their positions; no task holds more
+    than its range.
     """
     if not 1 <= limit <= max_limit:
         raise ValueError(f"limit must lie between 1 and {max_limit}, not {limit}")
     if offset < 0:
         raise ValueError("offset must not be negative")
     matches = apply_filters(df, filters)
-    near, left = _skip_ahead(matches, time, limit, offset, top_k)
-    rows = near.orderBy(*newest([time, *ties])).offset(left).limit(limit)
-    return Page(rows, matches.agg(F.count("*").alias("total_count")))
+    total = matches.agg(F.count("*").alias("total_count"))
+    order = newest([time, *ties])
+    rows = matches if after is None else matches.filter(_behind([time, *ties], after))
+    if offset + limit <= near_rows:
+        return Page(rows.orderBy(*order).offset(offset).limit(limit), total)
+    ranked = positioned(rows, order, "_position")
+    page = ranked.filter(F.col("_position").between(offset, offset + limit - 1)).orderBy("_position")
+    return Page(page.drop("_position"), total)
+
+
+def _behind(columns: Sequence[str], values: Sequence[object]) -> Column:
+    """Rows that come after the given sort values when all columns descend with NULL last."""
+    behind = F.lit(False)
+    for column, value in reversed(list(zip(columns, values, strict=True))):
+        if value is None:
+            behind = F.col(column).isNull() & behind
+        else:
+            smaller = F.coalesce(F.col(column) < F.lit(value), F.lit(True))
+            behind = smaller | ((F.col(column) == F.lit(value)) & behind)
+    return F.coalesce(behind, F.lit(False))
 
 
 def list_quakes(

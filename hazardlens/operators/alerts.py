@@ -138,6 +138,9 @@ RULES = {
 }
 
 
+RULES_BY_SOURCE = {rule.source: rule for rule in RULES.values()}
+
+
 def candidates(df: DataFrame, rule: AlertRule, as_of: AsOf = None, lookback_hours: int | None = None) -> DataFrame:
     """Rows that meet the rule within its look-back, before suppression."""
     hours = rule.lookback_hours if lookback_hours is None else lookback_hours
@@ -153,12 +156,12 @@ def suppress_repeats(
 ) -> DataFrame:
     """Drop rows whose record already raised this alert within the cool-down.
 
-    An anti join on the record key kept in the alert's metadata; alerts without a
-    key suppress nothing.
+    An anti join on the alert's record key; alerts without one suppress nothing. Of a stored
+    alert table only the days of the cool-down are read.
     """
     hours = rule.cooldown_hours if cooldown_hours is None else cooldown_hours
     cooling = recent(alerts.filter(F.col("alert_type") == rule.alert_type), "created_at", as_of, hours=hours)
-    known = cooling.select(F.get_json_object("metadata", f"$.{rule.key}").alias("_key"))
+    known = cooling.select(F.col("record_key").alias("_key"))
     keyed = rows.withColumn("_key", rule.record_key())
     return keyed.join(known.filter(F.col("_key").isNotNull()), "_key", "left_anti").drop("_key")
 
@@ -175,6 +178,7 @@ def alert_rows(rows: DataFrame, rule: AlertRule, as_of: AsOf = None) -> DataFram
         "longitude",
         rule.region().alias("region_name"),
         F.to_json(metadata).alias("metadata"),
+        rule.record_key().alias("record_key"),
         F.lit(True).alias("is_active"),
         moment(as_of).cast("timestamp").alias("created_at"),
         F.lit(None).cast("timestamp").alias("resolved_at"),
@@ -215,9 +219,9 @@ def active_alerts(alerts: DataFrame, limit: int = 50) -> DataFrame:
         alerts.filter("is_active")
         .select(
             "alert_type", "source", "severity", "title", "description", "latitude", "longitude",
-            "region_name", "metadata", "created_at",
+            "region_name", "metadata", "record_key", "created_at",
         )
-        .orderBy(*newest(["created_at", "alert_type", "metadata"]))
+        .orderBy(*newest(["created_at", "alert_type", "record_key"]))
         .limit(limit)
     )
 
@@ -233,7 +237,7 @@ def alert_history(
         alerts,
         [("alert_type", "=", alert_type or None), ("severity", "=", severity or None)],
         time="created_at",
-        ties=["alert_type", "metadata"],
+        ties=["alert_type", "record_key"],
         limit=limit,
         offset=offset,
     )

@@ -52,23 +52,11 @@ def deduplicate(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     return first_per_key(df, keys, order)
 
 
-BROADCAST_KEYS = 1_000_000
-
-
-def skip_existing(
-    incoming: DataFrame, target: DataFrame, keys: Sequence[str], incoming_rows: int | None = None
-) -> DataFrame:
+def skip_existing(incoming: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose natural key is not in the target yet, NULL-safe on every part.
 
-    When the caller has counted the incoming rows and they are few, their keys are
-    sent to the target's scan, so that a large target is read but not shuffled.
+    One anti join; adaptive execution picks the strategy from the sizes it meets.
     """
-    def same(prefix: str) -> list[Column]:
-        return [F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in keys]
-
-    known = target.select(*keys)
-    if incoming_rows is not None and incoming_rows <= BROADCAST_KEYS:
-        wanted = incoming.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
-        known = known.join(F.broadcast(wanted), same("_new_"), "left_semi")
-    known = known.toDF(*[f"_known_{k}" for k in keys])
-    return incoming.join(known, same("_known_"), "left_anti")
+    known = target.select(*[F.col(k).alias(f"_known_{k}") for k in keys])
+    same: list[Column] = [F.col(k).eqNullSafe(F.col(f"_known_{k}")) for k in keys]
+    return incoming.join(known, same, "left_anti")

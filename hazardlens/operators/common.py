@@ -6,9 +6,11 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hazardlens.session import shared_dir
+
 AsOf = dt.datetime | Column | None
 
 
@@ -19,8 +21,9 @@ def moment(as_of: AsOf) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of)
 
 
-# Columns whose day is the ``event_date`` that stored tables are partitioned by.
-_DATED_BY = {"event_time", "observed_at", "acq_date"}
+# Columns whose day is the ``event_date`` that stored tables are partitioned by: the event's own
+# time in the processed tables, the time of writing in alerts, anomalies, scores, metrics and logs.
+_DATED_BY = {"event_time", "observed_at", "acq_date", "created_at", "computed_at", "detected_at"}
 
 
 def recent(df: DataFrame, column: str, as_of: AsOf, *, hours: int = 0, days: int = 0) -> DataFrame:
@@ -66,16 +69,26 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: str, k: int = 1) ->
     return df.withColumn("_rank", rank).filter(f"_rank <= {k}").drop("_rank")
 
 
-def latest_per_key(df: DataFrame, key: str, time: str) -> DataFrame:
-    """The newest row of each of a few keys, ties broken by the other columns.
+def positioned(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with its position from 0 in a total order, without a window over all rows.
 
-    ``max(time)`` is a hash aggregate over two narrow columns; the rows at that
-    instant are then found by an equi-join, so the table is never sorted.
+    The rows are range-sorted once into a table of the shared folder; a row's position is
+    the rows in the ranges before its own, a table of one row per range, plus its place in it.
+    Rows that share their first sort columns spread over ranges by the others.
     """
-    tops = df.groupBy(key).agg(F.max(time).alias(time))
-    rest = [c for c in df.columns if c not in (key, time)]
-    candidates = df.join(tops, [key, time])
-    return first_per_key(candidates, [key], newest_sql(rest)).select(*df.columns)
+    sorted_rows = df.sort(*order).withColumn("_place", F.monotonically_increasing_id())
+    folder = shared_dir(df.sparkSession, "positioned")
+    sorted_rows.write.parquet(folder)
+    placed = df.sparkSession.read.schema(sorted_rows.schema).parquet(folder)
+    placed = placed.withColumn("_range", F.shiftrightunsigned("_place", 33))
+    ranges = placed.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        placed.join(ranges.select("_range", before.alias("_before")), "_range")
+        .withColumn(name, F.col("_before") + within)
+        .drop("_range", "_place", "_before")
+    )
 
 
 def rounded(number: str, digits: int) -> Column:

@@ -6,12 +6,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.constants import RISK_LEVELS, SOURCES
 from hazardlens.operators.common import (
-    AsOf, count_by, first_per_key, moment, newest, newest_sql, recent, union_all,
+    AsOf, count_by, first_per_key, moment, newest, newest_sql, positioned, recent, union_all,
 )
 
 EVENT_CLOCK = {
@@ -105,47 +107,35 @@ def risk_distribution_matrix(processed: dict[str, DataFrame], as_of: AsOf = None
     return _recent_labels(processed, as_of, days).groupBy("label").agg(*cells)
 
 
-def latest_risk_scores(risk_scores: DataFrame) -> DataFrame:
-    """Newest score row of every region."""
+def latest_risk_scores(risk_scores: DataFrame, since: dt.date | None = None) -> DataFrame:
+    """Newest score row of every region, of those computed from ``since`` on if it is given."""
+    if since is not None:
+        risk_scores = risk_scores.filter(F.col("event_date" if "event_date" in risk_scores.columns else "computed_at") >= F.lit(since))
     rest = [c for c in risk_scores.columns if c not in ("region_name", "computed_at")]
     return first_per_key(risk_scores, ["region_name"], newest_sql(["computed_at", *rest]))
 
 
-def risk_level_distribution(risk_scores: DataFrame) -> DataFrame:
+def risk_level_distribution(risk_scores: DataFrame, since: dt.date | None = None) -> DataFrame:
     """Regions per current level; a level without regions is reported as 0."""
     level = F.coalesce("risk_level", F.lit("Low"))
-    counts = latest_risk_scores(risk_scores).agg(
+    counts = latest_risk_scores(risk_scores, since).agg(
         *[F.count_if(level == name).alias(name) for name in RISK_LEVELS]
     )
     return counts.unpivot([], RISK_LEVELS, "risk_level", "regions")
 
 
-def regional_rankings(risk_scores: DataFrame) -> DataFrame:
+def regional_rankings(risk_scores: DataFrame, since: dt.date | None = None) -> DataFrame:
     """Current regions by unified score, numbered from the riskiest.
 
-    Scores have two decimals in 0..100, so counting regions per score gives a
-    small table; a region's position is the regions above its score plus its
-    place by name among equals. No window spans all regions.
+    Regions are range-sorted by score and name, so any number of them may share a score.
     """
-    latest = latest_risk_scores(risk_scores)
-    per_score = count_by(latest, "unified_score", name="regions")
-    above = per_score.select(
-        "unified_score",
-        (
-            F.sum("regions").over(Window.orderBy(F.desc("unified_score"))) - F.col("regions")
-        ).alias("_above"),
-    )
-    among_equals = F.row_number().over(Window.partitionBy("unified_score").orderBy("region_name"))
-    return (
-        latest.withColumn("_place", among_equals)
-        .join(above, "unified_score")
-        .select(
-            (F.col("_above") + F.col("_place")).cast("int").alias("rank"),
-            "region_name", "unified_score", "risk_level",
-            "earthquake_score", "wildfire_score", "weather_score", "air_quality_score",
-        )
-        .orderBy("rank")
-    )
+    latest = latest_risk_scores(risk_scores, since)
+    ranked = positioned(latest, [F.col("unified_score").desc_nulls_last(), F.col("region_name")], "_position")
+    return ranked.select(
+        (F.col("_position") + 1).cast("int").alias("rank"),
+        "region_name", "unified_score", "risk_level",
+        "earthquake_score", "wildfire_score", "weather_score", "air_quality_score",
+    ).orderBy("rank")
 
 
 def markers_quakes(quakes: DataFrame, as_of: AsOf = None, limit: int = 500) -> DataFrame:
@@ -167,24 +157,21 @@ def markers_fires(fires: DataFrame, as_of: AsOf = None, limit: int = 500) -> Dat
     )
 
 
-def _near_latest(df: DataFrame, hours: int = 6) -> DataFrame:
+def _near_latest(df: DataFrame, since: dt.date | None, hours: int = 6) -> DataFrame:
     """Rows not older than ``hours`` before the newest observation of the table.
 
-    The newest day of a stored table is known from its folders; only that day is
-    searched for the newest observation, and only the days reached are read.
+    A caller who knows a day on or before that leaves older folders of a stored table
+    unread by giving it as ``since``.
     """
-    rows = df
-    if "event_date" in df.columns:
-        last_day = df.select(F.max("event_date")).scalar()
-        rows = df.filter(F.col("event_date") == last_day)
-        df = df.filter(F.col("event_date") >= F.date_sub(last_day, hours // 24 + 1))
-    newest_at = rows.select(F.max("observed_at")).scalar()
+    if since is not None:
+        df = df.filter(F.col("event_date" if "event_date" in df.columns else "observed_at") >= F.lit(since))
+    newest_at = df.select(F.max("observed_at")).scalar()
     return df.filter(F.col("observed_at") >= newest_at - F.make_dt_interval(F.lit(0), F.lit(hours)))
 
 
-def markers_weather(weather: DataFrame) -> DataFrame:
+def markers_weather(weather: DataFrame, since: dt.date | None = None) -> DataFrame:
     return (
-        _near_latest(weather)
+        _near_latest(weather, since)
         .select(
             "location_name", "latitude", "longitude", "storm_severity", "wind_speed_kmh",
             "temperature_c", "observed_at",
@@ -193,9 +180,9 @@ def markers_weather(weather: DataFrame) -> DataFrame:
     )
 
 
-def markers_air_quality(air: DataFrame) -> DataFrame:
+def markers_air_quality(air: DataFrame, since: dt.date | None = None) -> DataFrame:
     return (
-        _near_latest(air)
+        _near_latest(air, since)
         .select("location_name", "latitude", "longitude", "us_aqi", "aqi_category", "observed_at")
         .orderBy(F.desc_nulls_last("us_aqi"), F.desc("observed_at"), "location_name")
     )

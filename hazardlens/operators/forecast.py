@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens import constants as C
@@ -113,54 +113,79 @@ def _effect(effects: str, slot: Column) -> Column:
     return F.coalesce(F.try_element_at(F.col(effects), slot), F.lit(0.0))
 
 
+#: Instant that hours are counted from while a trend is fitted.
+_ORIGIN = "timestamp'2000-01-01 00:00:00'"
+
+
 def fit_additive(series: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
     """Per series: linear trend, hour-of-day and weekday effects, residual spread.
 
-    A series holds at most one point per hour of its look-back, so its window is
-    small; one shuffle by series serves every step. The weekday effect is used for
-    series with more than ``FORECAST_WEEKLY_ABOVE_POINTS`` points.
+    Hash aggregates only. The points are read twice: for the trend, and for the residuals'
+    count, sum and sum of squares per hour and weekday. The effects and the spread follow from
+    these 168 cells at most. The weekday effect is used for series with more than
+    ``FORECAST_WEEKLY_ABOVE_POINTS`` points.
     """
-    whole = Window.partitionBy(*keys)
-    by_hour = Window.partitionBy(*keys, "_hour")
-    by_day = Window.partitionBy(*keys, "_weekday")
+    t = _hours_between(F.col("ds"), F.expr(_ORIGIN))
+    key_columns = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_k{i}") for i, k in enumerate(keys)]
+    null_flags = [F.col(k).isNull().alias(f"_n{i}") for i, k in enumerate(keys)]
+    joined = [f"_k{i}" for i in range(len(keys))] + [f"_n{i}" for i in range(len(keys))]
+    points = series.select(*keys, *key_columns, *null_flags, "ds", "y", t.alias("_t"))
+    trend = points.groupBy(*joined).agg(
+        *[F.first(k).alias(k) for k in keys],
+        F.count("*").alias("_points"),
+        F.min("ds").alias("first_ds"),
+        F.max("ds").alias("last_ds"),
+        F.min("_t").alias("_first"),
+        F.avg("_t").alias("_mean_t"),
+        F.avg("y").alias("_mean_y"),
+        F.coalesce(F.regr_slope("y", "_t"), F.lit(0.0)).alias("slope"),
+    ).filter(F.col("_points") >= C.FORECAST_MIN_POINTS)
+    line = F.col("_mean_y") + F.col("slope") * (F.col("_t") - F.col("_mean_t"))
+    cells = (
+        points.select(*joined, "ds", "y", "_t")
+        .join(trend.select(*joined, "slope", "_mean_y", "_mean_t"), joined)
+        .select(*joined, F.hour("ds").alias("_hour"), F.dayofweek("ds").alias("_day"), (F.col("y") - line).alias("_r"))
+        .groupBy(*joined, "_hour", "_day")
+        .agg(F.count("*").alias("_n"), F.sum("_r").alias("_s"), F.sum(F.col("_r") * F.col("_r")).alias("_q"))
+    )
+    per_series = cells.groupBy(*joined).agg(F.collect_list(F.struct("_hour", "_day", "_n", "_s", "_q")).alias("_cells"))
     weekly = F.col("_points") > C.FORECAST_WEEKLY_ABOVE_POINTS
-    points = (
-        series.withColumns(
-            {
-                "_points": F.count("*").over(whole),
-                "_first": F.min("ds").over(whole),
-                "_last": F.max("ds").over(whole),
-                "_hour": F.hour("ds"),
-                "_weekday": F.dayofweek("ds"),
-            }
-        )
-        .filter(F.col("_points") >= C.FORECAST_MIN_POINTS)
-        .withColumn("_t", _hours_between(F.col("ds"), F.col("_first")))
-        .withColumns(
-            {
-                "_slope": F.coalesce(F.regr_slope("y", "_t").over(whole), F.lit(0.0)),
-                "_base": F.coalesce(F.regr_intercept("y", "_t").over(whole), F.avg("y").over(whole)),
-            }
+
+    def effects(slot: str, total: Callable[[Column], Column]) -> Column:
+        """Mean of what ``total`` leaves of the cells' sums, per slot."""
+        def of(s: Column) -> Column:
+            mine = F.filter("_cells", lambda c: c[slot] == s)
+            sums = F.aggregate(mine, F.lit(0.0), lambda a, c: a + total(c))
+            counts = F.aggregate(mine, F.lit(0).cast("long"), lambda a, c: a + c["_n"])
+            return F.struct(s.alias("slot"), (sums / counts).alias("effect"))
+
+        slots = F.array_distinct(F.transform("_cells", lambda c: c[slot]))
+        return F.map_from_entries(F.transform(slots, of))
+
+    def effect_of(c: Column) -> Column:
+        return F.element_at(F.col("hour_effects"), c["_hour"]) + F.element_at(F.col("day_effects"), c["_day"])
+
+    none = F.transform_values("day_effects", lambda k, v: F.lit(0.0))
+    fitted = (
+        trend.join(per_series, joined)
+        .withColumn("hour_effects", effects("_hour", lambda c: c["_s"]))
+        .withColumn(
+            "day_effects",
+            effects("_day", lambda c: c["_s"] - c["_n"] * F.element_at(F.col("hour_effects"), c["_hour"])),
         )
-        .withColumn("_r", F.col("y") - F.col("_base") - F.col("_slope") * F.col("_t"))
-        .withColumn("_hour_effect", F.avg("_r").over(by_hour))
-        .withColumn("_r", F.col("_r") - F.col("_hour_effect"))
-        .withColumn("_day_effect", F.when(weekly, F.avg("_r").over(by_day)).otherwise(F.lit(0.0)))
-        .withColumn("_r", F.col("_r") - F.col("_day_effect"))
+        .withColumn("day_effects", F.when(weekly, F.col("day_effects")).otherwise(none))
     )
-
-    def effects(slot: str, effect: str) -> Column:
-        # At most 24 (or 7) distinct slots per series.
-        return F.map_from_entries(F.collect_set(F.struct(slot, effect)))
-
-    return points.groupBy(*keys).agg(
-        F.first("_first").alias("first_ds"),
-        F.first("_last").alias("last_ds"),
-        F.first("_slope").alias("slope"),
-        F.first("_base").alias("base"),
-        effects("_hour", "_hour_effect").alias("hour_effects"),
-        effects("_weekday", "_day_effect").alias("day_effects"),
-        F.coalesce(F.stddev_samp("_r"), F.lit(0.0)).alias("spread"),
+    squares = F.aggregate(
+        "_cells", F.lit(0.0),
+        lambda a, c: a + c["_q"] - 2 * effect_of(c) * c["_s"] + c["_n"] * effect_of(c) * effect_of(c),
+    )
+    left = F.aggregate("_cells", F.lit(0.0), lambda a, c: a + c["_s"] - c["_n"] * effect_of(c))
+    variance = (squares - left * left / F.col("_points")) / (F.col("_points") - 1)
+    return fitted.select(
+        *keys, "first_ds", "last_ds", "slope",
+        (F.col("_mean_y") + F.col("slope") * (F.col("_first") - F.col("_mean_t"))).alias("base"),
+        "hour_effects", "day_effects",
+        F.coalesce(F.sqrt(F.greatest(variance, F.lit(0.0))), F.lit(0.0)).alias("spread"),
     )
 
 

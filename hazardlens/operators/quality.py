@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.constants import INGESTION_SOURCES, SOURCES
-from hazardlens.operators.common import AsOf, latest_per_key, newest, recent, rounded, rounded_avg, small_table, union_all
+from hazardlens.operators.common import (
+    AsOf, first_per_key, newest, newest_sql, recent, rounded, rounded_avg, small_table, union_all,
+)
 from hazardlens.operators.feeds import Feed
 
 
@@ -143,13 +145,8 @@ def ingestion_latency(logs: DataFrame, as_of: AsOf = None, hours: int = 1) -> Da
 def source_activity(logs: DataFrame, expected: Sequence[str] = tuple(INGESTION_SOURCES)) -> DataFrame:
     """Newest ingestion log of each expected source; ``no_data`` where there is none."""
     names = list(expected)
-    latest = latest_per_key(
-        logs.select("source", "status", "records_count", "latency_ms", "created_at").filter(
-            F.col("source").isin(names)
-        ),
-        "source",
-        "created_at",
-    )
+    wanted = logs.select("source", "status", "records_count", "latency_ms", "created_at").filter(F.col("source").isin(names))
+    latest = first_per_key(wanted, ["source"], newest_sql(["created_at", "status", "records_count", "latency_ms"]))
     dim = small_table(logs.sparkSession, [(n,) for n in names], "source")
     # A stored latency of zero is reported as missing.
     latency = F.when(F.col("latency_ms") != 0, rounded("latency_ms", 2))

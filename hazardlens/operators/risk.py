@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,23 +49,6 @@ def region_cells(regions: DataFrame, radius_km: float, cell_degrees: float = 1.0
     )
 
 
-BROADCAST_CELLS = 1_000_000
-
-
-def sized_cells(
-    regions: DataFrame, radius_km: float, cell_degrees: float = 1.0, broadcast_cells: int = BROADCAST_CELLS
-) -> DataFrame:
-    """``region_cells`` with a join strategy chosen by its counted size.
-
-    Exploding hides the true size from the planner's estimate, so it is counted:
-    up to ``broadcast_cells`` rows are sent to the events, more are merge-joined on
-    the cell, where adaptive execution splits cells that hold too many events.
-    """
-    cells = region_cells(regions, radius_km, cell_degrees)
-    fits = cells.limit(broadcast_cells + 1).count() <= broadcast_cells
-    return F.broadcast(cells) if fits else cells.hint("merge")
-
-
 def near_regions(
     events: DataFrame, cells: DataFrame, radius_km: float, cell_degrees: float = 1.0
 ) -> DataFrame:
@@ -89,14 +73,13 @@ def within_radius(
     regions: DataFrame,
     radius_km: float = C.RISK_RADIUS_KM,
     cell_degrees: float = 1.0,
-    broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
     """Events paired with every region whose centre is at most ``radius_km`` away.
 
-    An equi-join on grid cells finds the candidates, the exact distance decides.
+    An equi-join on grid cells finds the candidates, the exact distance decides. There is
+    no hint: adaptive execution picks the join and splits cells that hold too many events.
     """
-    cells = sized_cells(regions, radius_km, cell_degrees, broadcast_cells)
-    return near_regions(events, cells, radius_km, cell_degrees)
+    return near_regions(events, region_cells(regions, radius_km, cell_degrees), radius_km, cell_degrees)
 
 
 def _capped(score: str) -> Column:
@@ -131,7 +114,7 @@ def quake_score(
     lookback_hours: int = C.RISK_LOOKBACK_HOURS, radius_km: float = C.RISK_RADIUS_KM,
 ) -> DataFrame:
     """Worst quake near each region: weight of its category plus a magnitude boost."""
-    peaks = _quake_peaks(quakes, sized_cells(regions, radius_km), as_of, lookback_hours, radius_km)
+    peaks = _quake_peaks(quakes, region_cells(regions, radius_km), as_of, lookback_hours, radius_km)
     return _for_all_regions(regions, peaks, "earthquake_score")
 
 
@@ -158,62 +141,51 @@ def fire_score(
     lookback_hours: int = C.RISK_LOOKBACK_HOURS, radius_km: float = C.RISK_RADIUS_KM,
 ) -> DataFrame:
     """Worst fire near each region, raised by two per detection when there are over three."""
-    peaks = _fire_peaks(fires, sized_cells(regions, radius_km), as_of, lookback_hours, radius_km)
+    peaks = _fire_peaks(fires, region_cells(regions, radius_km), as_of, lookback_hours, radius_km)
     return _for_all_regions(regions, peaks, "wildfire_score")
 
 
-LATEST_SEARCH_DAYS = 7
-
-
-def _latest_points(df: DataFrame, regions: DataFrame, points: Column, name: str) -> DataFrame:
+def _latest_points(df: DataFrame, regions: DataFrame, points: Column, name: str, since: dt.date | None) -> DataFrame:
     """Points of the newest observation at each region's location.
 
     Rows are scored before they are grouped: time and points are both fixed-width,
     so ``max_by`` runs as a hash aggregate with a map-side combine and the table is
     neither sorted nor shuffled whole. (location, time) is unique in these tables.
 
-    There is no limit on how old the newest observation may be. On a stored table the
-    last days are searched first and older folders only for places not found there;
-    when none is left, adaptive execution drops that branch unread.
+    There is no limit on how old the newest observation may be unless the caller knows
+    one: ``since`` leaves older folders of a stored table unread.
     """
-    def newest(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-        return (
-            rows.select(F.col("location_name").alias("region_name"), "observed_at", points.alias("_points"))
-            .join(wanted, "region_name", "left_semi")
-            .groupBy("region_name")
-            .agg(_capped("max_by(_points, observed_at)").alias(name))
-        )
-
-    names = regions.select("region_name")
-    if "event_date" not in df.columns:
-        return newest(df, names)
-    first_day = F.date_sub(df.select(F.max("event_date")).scalar(), LATEST_SEARCH_DAYS)
-    found = newest(df.filter(F.col("event_date") >= first_day), names)
-    unseen = names.join(found, "region_name", "left_anti")
-    return found.unionByName(newest(df.filter(F.col("event_date") < first_day), unseen))
-
-
-def _weather_latest(weather: DataFrame, regions: DataFrame) -> DataFrame:
+    if since is not None:
+        df = df.filter(F.col("event_date" if "event_date" in df.columns else "observed_at") >= F.lit(since))
+    return (
+        df.select(F.col("location_name").alias("region_name"), "observed_at", points.alias("_points"))
+        .join(regions.select("region_name"), "region_name", "left_semi")
+        .groupBy("region_name")
+        .agg(_capped("max_by(_points, observed_at)").alias(name))
+    )
+
+
+def _weather_latest(weather: DataFrame, regions: DataFrame, since: dt.date | None) -> DataFrame:
     # Floors set by hurricane wind, gale wind and heavy rain.
     wind_floor = F.expr("CASE wind_severity WHEN 'Hurricane' THEN 90D WHEN 'Gale' THEN 60D END")
     rain_floor = F.expr("CASE WHEN precipitation_mm >= 50 THEN 85D END")
     points = F.greatest(rules.risk_weight("storm_severity", "weather"), wind_floor, rain_floor)
-    return _latest_points(weather, regions, points, "weather_score")
+    return _latest_points(weather, regions, points, "weather_score", since)
 
 
-def weather_score(weather: DataFrame, regions: DataFrame) -> DataFrame:
-    return _for_all_regions(regions, _weather_latest(weather, regions), "weather_score")
+def weather_score(weather: DataFrame, regions: DataFrame, since: dt.date | None = None) -> DataFrame:
+    return _for_all_regions(regions, _weather_latest(weather, regions, since), "weather_score")
 
 
-def _air_latest(air: DataFrame, regions: DataFrame) -> DataFrame:
+def _air_latest(air: DataFrame, regions: DataFrame, since: dt.date | None) -> DataFrame:
     # Floor for an index above 300.
     floor = F.expr("CASE WHEN us_aqi > 300 THEN 95D END")
     points = F.greatest(rules.risk_weight("aqi_category", "air_quality"), floor)
-    return _latest_points(air, regions, points, "air_quality_score")
+    return _latest_points(air, regions, points, "air_quality_score", since)
 
 
-def air_quality_score(air: DataFrame, regions: DataFrame) -> DataFrame:
-    return _for_all_regions(regions, _air_latest(air, regions), "air_quality_score")
+def air_quality_score(air: DataFrame, regions: DataFrame, since: dt.date | None = None) -> DataFrame:
+    return _for_all_regions(regions, _air_latest(air, regions, since), "air_quality_score")
 
 
 def unified_risk(
@@ -222,14 +194,18 @@ def unified_risk(
     as_of: AsOf = None,
     lookback_hours: int = C.RISK_LOOKBACK_HOURS,
     radius_km: float = C.RISK_RADIUS_KM,
+    since: dt.date | None = None,
 ) -> DataFrame:
-    """One scored row per region; the level follows the unrounded unified score."""
-    cells = sized_cells(regions, radius_km)
+    """One scored row per region; the level follows the unrounded unified score.
+
+    Weather and air quality count with their newest observation, searched from ``since`` on.
+    """
+    cells = region_cells(regions, radius_km)
     parts = [
         _quake_peaks(processed["earthquakes"], cells, as_of, lookback_hours, radius_km),
         _fire_peaks(processed["wildfires"], cells, as_of, lookback_hours, radius_km),
-        _weather_latest(processed["weather"], regions),
-        _air_latest(processed["air_quality"], regions),
+        _weather_latest(processed["weather"], regions, since),
+        _air_latest(processed["air_quality"], regions, since),
     ]
     joined = regions
     for part in parts:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazardlens.constants import INGESTION_SOURCES
 from hazardlens.functions import geo, rules
 from hazardlens.operators import (
     access, alerts, anomalies, cleaning, dashboard, forecast, hazards, quality, risk,
@@ -49,7 +51,9 @@ def decode_json(i: Inputs) -> DataFrame:
 
 @query
 def src_geojson_quakes(i: Inputs) -> DataFrame:
-    found = docs.features(docs.parse_feature_collections(i.landed(documents.feature_collections(i.raw("earthquakes")))))
+    """Quakes from files of feature collections."""
+    path = i.land_documents(documents.feature_collections(i.raw("earthquakes")))
+    found = docs.features(docs.read_feature_collections(i.spark, path))
     return docs.quakes_from_features(docs.valid_quake_features(found))
 
 
@@ -62,7 +66,8 @@ def valid_quake_features(i: Inputs) -> DataFrame:
 
 @query
 def src_weather_docs(i: Inputs) -> DataFrame:
-    parsed = docs.parse_place_documents(i.landed(documents.weather_documents(i.raw("weather"))))
+    path = i.land_documents(documents.weather_documents(i.raw("weather")))
+    parsed = docs.read_place_documents(i.spark, path)
     return docs.weather_from_docs(docs.valid_weather_docs(parsed))
 
 
@@ -74,7 +79,8 @@ def valid_weather_docs(i: Inputs) -> DataFrame:
 
 @query
 def src_air_quality_docs(i: Inputs) -> DataFrame:
-    parsed = docs.parse_place_documents(i.landed(documents.air_quality_documents(i.raw("air_quality"))))
+    path = i.land_documents(documents.air_quality_documents(i.raw("air_quality")))
+    parsed = docs.read_place_documents(i.spark, path)
     return docs.air_quality_from_docs(docs.valid_air_quality_docs(parsed))
 
 
@@ -86,7 +92,9 @@ def valid_air_quality_docs(i: Inputs) -> DataFrame:
 
 @query
 def src_fire_csv(i: Inputs) -> DataFrame:
-    return docs.fires_from_rows(docs.valid_fire_rows(documents.fire_rows(i.raw("wildfires"))))
+    """Fires from CSV files with a header."""
+    rows = docs.read_fire_csv(i.spark, i.land_csv(documents.fire_rows(i.raw("wildfires"))))
+    return docs.fires_from_rows(docs.valid_fire_rows(rows))
 
 
 @query
@@ -177,11 +185,9 @@ def dedup_within_batch(i: Inputs) -> DataFrame:
 
 @query
 def skip_existing(i: Inputs) -> DataFrame:
-    """Fires from the 15th on, against a table that holds those before the 20th."""
-    fires = i.fires
-    incoming = fires.filter(F.col("acq_date") >= "2024-01-15")
-    target = fires.filter(F.col("acq_date") < "2024-01-20")
-    return cleaning.skip_existing(incoming, target, FEEDS["wildfires"].key).select(*FEEDS["wildfires"].key)
+    """All fires, against a table that holds those before the 20th."""
+    target = i.fires.filter(F.col("acq_date") < "2024-01-20")
+    return cleaning.skip_existing(i.fires, target, FEEDS["wildfires"].key).select(*FEEDS["wildfires"].key)
 
 
 # --- enrichment -------------------------------------------------------------
@@ -263,10 +269,10 @@ for _name, _feed in FEEDS.items():
 
 # --- anomalies --------------------------------------------------------------
 
-add("anomaly_quake", lambda i: anomalies.earthquake_anomalies(i.quakes).drop("raw_data"))
-add("anomaly_weather", lambda i: anomalies.weather_anomalies(i.weather).drop("raw_data"))
-add("anomaly_air_quality", lambda i: anomalies.air_quality_anomalies(i.air).drop("raw_data"))
-add("anomaly_wildfire", lambda i: anomalies.wildfire_anomalies(i.fires).drop("raw_data", "description"))
+add("anomaly_quake", lambda i: anomalies.anomalies_of("earthquakes", i.quakes).drop("raw_data"))
+add("anomaly_weather", lambda i: anomalies.anomalies_of("weather", i.weather).drop("raw_data"))
+add("anomaly_air_quality", lambda i: anomalies.anomalies_of("air_quality", i.air).drop("raw_data"))
+add("anomaly_wildfire", lambda i: anomalies.anomalies_of("wildfires", i.fires).drop("raw_data", "description"))
 add("anomaly_events", lambda i: anomalies.anomaly_events(i.processed).drop("raw_data", "description"))
 
 
@@ -297,7 +303,7 @@ add("ingestion_latency", lambda i: quality.ingestion_latency(i.logs, AS_OF, 72))
 @query
 def source_activity(i: Inputs) -> DataFrame:
     """One expected source has no log at all."""
-    return quality.source_activity(i.logs.filter("source <> 'open_meteo_weather'"))
+    return quality.source_activity(i.logs, [*INGESTION_SOURCES, "tide_gauges"])
 
 
 add("total_records", lambda i: quality.total_records(i.processed))
@@ -317,14 +323,43 @@ add("markers_quakes", lambda i: dashboard.markers_quakes(i.quakes, AS_OF, 100))
 add("markers_fires", lambda i: dashboard.markers_fires(i.fires, AS_OF, 100))
 add("markers_weather", lambda i: dashboard.markers_weather(i.weather))
 add("markers_air_quality", lambda i: dashboard.markers_air_quality(i.air))
-add(
-    "analytics_snapshot",
-    lambda i: dashboard.analytics_snapshot(i.stored, i.anomalies, i.alerts, i.risk_scores, AS_OF),
-)
-add(
-    "live_payload",
-    lambda i: dashboard.live_payload(i.stored, i.anomalies, i.alerts, i.risk_scores, AS_OF),
-)
+def _fields(rows: DataFrame, fields: str, **columns: str) -> DataFrame:
+    """Columns read back from the JSON entries: SQL expressions over the given fields."""
+    parsed = rows.withColumn("entry", F.from_json("payload", fields)).select("section", "entry.*")
+    return parsed.select("section", *[F.expr(sql).alias(name) for name, sql in columns.items()])
+
+
+@query
+def analytics_snapshot(i: Inputs) -> DataFrame:
+    """A snapshot written twice by the same run, and its entries read back."""
+    for _ in range(2):
+        snapshot = dashboard.analytics_snapshot(i.stored, i.anomalies, i.alerts, i.risk_scores, AS_OF)
+        table_sinks.append_snapshot(snapshot, i.root, 7)
+    return _fields(
+        tables.scan_table(i.spark, i.root, "analytics_snapshots"),
+        "source string, hour timestamp, label string, count bigint, risk_level string, regions bigint, region_name string,"
+        " rank bigint, unified_score double, total_events bigint, total_anomalies bigint, active_alerts bigint,"
+        " events_last_hour bigint",
+        name="coalesce(source, region_name)", label="coalesce(label, risk_level)", at="hour",
+        value="coalesce(count, regions, rank, total_events)", score="unified_score",
+        anomalies="total_anomalies", alerts="active_alerts", last_hour="events_last_hour",
+    )
+
+
+@query
+def live_payload(i: Inputs) -> DataFrame:
+    """The entries of a live message, read back."""
+    return _fields(
+        dashboard.live_payload(i.stored, i.anomalies, i.alerts, i.risk_scores, AS_OF),
+        "region_name string, title string, event_id string, location_name string, risk_level string, severity string,"
+        " risk_category string, fire_severity string, storm_severity string, aqi_category string, computed_at timestamp,"
+        " created_at timestamp, event_time timestamp, acq_date date, observed_at timestamp, unified_score double,"
+        " magnitude double, frp double, wind_speed_kmh double, us_aqi double, total_events double",
+        name="CASE WHEN section = 'alerts' THEN title ELSE coalesce(event_id, location_name, region_name) END",
+        label="coalesce(risk_level, severity, risk_category, fire_severity, storm_severity, aqi_category)",
+        at="coalesce(computed_at, created_at, event_time, CAST(acq_date AS TIMESTAMP), observed_at)",
+        value="coalesce(unified_score, magnitude, frp, wind_speed_kmh, us_aqi, total_events)",
+    )
 
 
 # --- single hazards ---------------------------------------------------------
@@ -419,6 +454,16 @@ def alerts_history(i: Inputs) -> DataFrame:
     return page.total
 
 
+@query
+def alerts_history_rows(i: Inputs) -> DataFrame:
+    """A page of the history with the record each alert is about."""
+    page = alerts.alert_history(i.alerts, alert_type="extreme_aqi", limit=100, offset=3)
+    return page.rows.select(
+        "alert_type", "source", "severity", "title", "region_name", "is_active", "created_at",
+        F.get_json_object("metadata", "$.record_id").alias("record_key"),
+    )
+
+
 # --- forecasts --------------------------------------------------------------
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -459,7 +504,7 @@ def forecast_replace(i: Inputs) -> DataFrame:
     root = shared_dir(i.spark, "forecasts")
     table_sinks.replace_forecasts(i.forecasts.withColumn("predicted_value", F.lit(0.0)), root)
     table_sinks.replace_forecasts(i.forecasts, root)
-    return tables.scan_table(i.spark, root, "forecasts")
+    return tables.scan_table(i.spark, root, "forecasts").drop("place_bucket")
 
 
 add("forecast_lookup", lambda i: forecast.forecast_lookup(i.forecasts, "us_aqi", "air_quality", "Tokyo", "7d"))
@@ -474,6 +519,21 @@ def paginated_query(i: Inputs) -> DataFrame:
     return page.rows
 
 
+@query
+def paginated_deep(i: Inputs) -> DataFrame:
+    """Fires share their time with all others of the day; the page is found by position."""
+    ties = ["acq_time", "latitude", "longitude"]
+    page = access.paginate(i.fires, [], "acq_date", ties, limit=40, offset=333, near_rows=0)
+    return page.rows.select("acq_date", *ties)
+
+
+@query
+def paginated_after(i: Inputs) -> DataFrame:
+    """The page behind a given row."""
+    page = access.paginate(i.quakes, [], "event_time", ["event_id"], limit=30, after=[dt.datetime(2024, 1, 20), "eq500"])
+    return page.rows
+
+
 add("paginated_total", lambda i: access.list_quakes(i.quakes, min_magnitude=2.0).total)
 add("list_quakes", lambda i: access.list_quakes(i.quakes, 1.0, "Medium").rows)
 add("list_weather", lambda i: access.list_weather(i.weather, "Tokyo", 20.0, "Severe").rows)

@@ -45,6 +45,19 @@ class Inputs:
         texts.select("value").write.text(folder)
         return folder
 
+    def land_documents(self, texts: DataFrame, per_file: int = 500) -> str:
+        """JSON texts as files of one JSON array each, the way a download is kept."""
+        folder = shared_dir(self.spark, "documents")
+        numbered = texts.withColumn("part", F.floor(F.monotonically_increasing_id() / per_file))
+        arrays = numbered.groupBy("part").agg(F.array_join(F.collect_list("value"), ",").alias("all"))
+        arrays.select("part", F.concat(F.lit("["), "all", F.lit("]")).alias("value")).write.partitionBy("part").text(folder)
+        return folder
+
+    def land_csv(self, rows: DataFrame) -> str:
+        folder = shared_dir(self.spark, "csv")
+        rows.write.option("header", True).csv(folder)
+        return folder
+
     def landed(self, texts: DataFrame) -> DataFrame:
         return self.spark.read.text(self.land(texts))
 
@@ -114,23 +127,21 @@ class Inputs:
     @cached_property
     def risk_scores(self) -> DataFrame:
         """The score table after a run at each of ``SCORED_AT``."""
-        runs = [
-            risk.unified_risk({n: self.known_at(n, t) for n in FEEDS}, self.regions, t)
-            for t in SCORED_AT
-        ]
-        append_risk_scores(union_all(runs), self.root)
-        return scan_table(self.spark, self.root, "risk_scores")
+        for run, moment in enumerate(SCORED_AT):
+            known = {n: self.known_at(n, moment) for n in FEEDS}
+            append_risk_scores(risk.unified_risk(known, self.regions, moment), self.root, run)
+        return scan_table(self.spark, self.root, "risk_scores").drop("batch_id", "event_date")
 
     def alerts_of(self, *alert_types: str) -> DataFrame:
         """The alert table after two runs, the second subject to the first one's cool-down."""
         rules = [alerts.RULES[t] for t in alert_types]
         for run, moment in enumerate(ALERTED_AT):
-            earlier = scan_table(self.spark, self.root, "alerts").drop("batch_id")
+            earlier = scan_table(self.spark, self.root, "alerts", missing_is_empty=True).drop("batch_id")
             known = {r.source: self.known_at(r.source, moment) for r in rules}
             raised = [
                 alerts.raise_alerts(known[r.source], r, earlier, moment, LOOKBACK_HOURS) for r in rules
             ]
-            write_batch(union_all(raised), self.root, "alerts", run)
+            write_batch(union_all(raised), self.root, "alerts", run, dated_by="created_at")
         return scan_table(self.spark, self.root, "alerts").drop("batch_id")
 
     @cached_property

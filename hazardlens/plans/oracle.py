@@ -330,7 +330,8 @@ group by all"""
 CTES["horizons"] = """
 select 'x' as k, '24h' as horizon, cast(i as int) as step, 1 as hours from range(1, 25) t(i)
 union all select 'x', '7d', cast(i as int), 1 from range(1, 169) t(i)
-union all select 'x', '30d', cast(i as int), 24 from range(1, 721) t(i)"""
+union all select 'x', '30d', cast(i as int), 24 from range(1, 721) t(i)
+union all select 'x', '30d_fixed', cast(i as int), 24 from range(1, 31) t(i)"""
 CTES["forecast_values"] = """
 select s.metric, s.source, s.location_name, f.horizon, s.last_ds + to_hours(f.step * f.hours) as forecast_time,
   s.base + s.slope * (epoch(s.last_ds + to_hours(f.step * f.hours)) - epoch(s.first_ds)) / 3600e0
@@ -356,7 +357,7 @@ FIRE_COLUMNS = (
     "latitude, longitude, brightness, scan, track, acq_date, acq_time, satellite, instrument, confidence, frp,"
     " daynight, fire_severity, detection_confidence"
 )
-ALERT_COLUMNS = "alert_type, source, severity, title, description, latitude, longitude, region_name, is_active, created_at"
+ALERT_COLUMNS = "alert_type, source, severity, title, description, latitude, longitude, region_name, is_active, created_at, record_key"
 
 Q30 = f"from earthquakes where event_time >= {AS_OF} - interval 30 day"
 F14 = f"from wildfires where acq_date >= {AS_OF_DATE} - 14"
@@ -436,8 +437,8 @@ from earthquakes_feed""",
     "dedup_within_batch": f"""select * exclude (rn) from (select *, row_number() over (partition by event_id order by
   {_order('event_time magnitude place latitude longitude depth_km tsunami significance status')}) as rn
   from earthquakes_feed) where rn = 1""",
-    "skip_existing": """select latitude, longitude, acq_date, acq_time from wildfires i where acq_date >= date '2024-01-15'
-and not exists (select 1 from wildfires t where t.acq_date < date '2024-01-20' and t.latitude = i.latitude
+    "skip_existing": """select latitude, longitude, acq_date, acq_time from wildfires i
+where not exists (select 1 from wildfires t where t.acq_date < date '2024-01-20' and t.latitude = i.latitude
   and t.longitude = i.longitude and t.acq_date = i.acq_date and t.acq_time is not distinct from i.acq_time)""",
     "risk_category": f"select event_id, magnitude, event_time, {risk_category('magnitude')} as risk_category from earthquakes_feed",
     "magnitude_band": f"select event_id, magnitude, event_time, {magnitude_band('magnitude')} as magnitude_band from earthquakes_feed",
@@ -481,9 +482,10 @@ from metrics where created_at >= {AS_OF} - interval 24 hour group by source""",
 where created_at >= {AS_OF} - interval 72 hour and status = 'success' group by source""",
     "source_activity": f"""select n.source, coalesce(l.status, 'no_data') as status, l.records_count,
   case when l.latency_ms <> 0 then {_rounded('l.latency_ms')} end as latency_ms, l.created_at as last_run
-from (values ('usgs_earthquakes'), ('open_meteo_weather'), ('open_meteo_air_quality'), ('nasa_firms_wildfires')) as n(source)
+from (values ('usgs_earthquakes'), ('open_meteo_weather'), ('open_meteo_air_quality'), ('nasa_firms_wildfires'),
+  ('tide_gauges')) as n(source)
 left join (select * from (select *, row_number() over (partition by source order by created_at desc, status desc,
-    records_count desc, latency_ms desc) as newest from ingestion_logs where source <> 'open_meteo_weather')
+    records_count desc, latency_ms desc) as newest from ingestion_logs)
   where newest = 1) l on l.source = n.source""",
     "total_records": "select cast(count(*) as bigint) as total_records from event_clock",
     "dashboard_summary": f"""select count(*) as total_events,
@@ -562,7 +564,10 @@ from earthquakes x join loc l on {HAV_REGION} <= 500""",
   (select record_key from alerts_new where alert_type = 'major_earthquake')""",
     "alert_rows": f"select {ALERT_COLUMNS} from alerts_new",
     "alerts_active": f"""select {ALERT_COLUMNS.replace(' is_active,', '')} from alerts where is_active
-order by created_at desc, alert_type desc limit 200""",
+order by created_at desc, alert_type desc, record_key desc limit 200""",
+    "alerts_history_rows": """select alert_type, source, severity, title, region_name, is_active, created_at, record_key
+from alerts where alert_type = 'extreme_aqi'
+order by created_at desc, record_key desc limit 100 offset 3""",
     "alerts_history": """select count(*) as total_count from alerts
 where alert_type = 'major_earthquake' and severity = 'Critical'""",
     "series_aqi_hourly": f"""select location_name, date_trunc('hour', observed_at) as ds, round(avg(us_aqi), 6) as y
@@ -588,6 +593,10 @@ and location_name = 'Tokyo' and horizon = '7d'""",
   max(generated_at) as generated_at from forecasts where horizon = '24h' group by all""",
     "paginated_query": f"""select {QUAKE_COLUMNS} from earthquakes where magnitude >= 2
 order by event_time desc, event_id desc limit 50 offset 25""",
+    "paginated_deep": """select acq_date, acq_time, latitude, longitude from wildfires
+order by acq_date desc nulls last, acq_time desc nulls last, latitude desc, longitude desc limit 40 offset 333""",
+    "paginated_after": f"""select {QUAKE_COLUMNS} from earthquakes where event_time < timestamp '2024-01-20 00:00:00'
+or (event_time = timestamp '2024-01-20 00:00:00' and event_id < 'eq500') order by event_time desc, event_id desc limit 30""",
     "paginated_total": "select count(*) as total_count from earthquakes where magnitude >= 2",
     "list_quakes": f"""select {QUAKE_COLUMNS} from earthquakes where magnitude >= 1 and risk_category = 'Medium'
 order by event_time desc, event_id desc limit 50""",
@@ -612,14 +621,42 @@ and event_type = 'severe_weather_event' order by event_time desc, latitude desc,
     "sink_processed": "select acq_date as event_date, fire_severity, count(*) as rows from wildfires group by 1, 2",
     "stream_quality": f"""select {FUNNEL_COLUMNS.format(by='')}
 from (select event_id, true as ok, {IN_RANGE} as inside from quakes_clean)""",
-    "stream_alerts": f"""select alert_type, source, severity, title, description, region_name, is_active
-from ({alert_run('extreme_aqi', AS_OF, False, None)})""",
+    "stream_alerts": "select alert_type, source, severity, title, description, region_name, is_active, record_key from ("
+    + " union all ".join(alert_run(a, AS_OF, False, None) for a in _ALERTS) + ")",
     "stream_events_per_hour": """select event_type as source, date_trunc('hour', ts) as hour, count(*) as count from events
-where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 10 minute from events) group by 1, 2""",
+group by 1, 2""",
+    "stream_ingestion_logs": """select 'open_meteo_weather' as source, 'success' as status, count(*) as records
+from weather_feed""",
     "stream_dedup": "select distinct event_id from earthquakes_feed",
     "dedup_across_batches": """select count(distinct event_id) as arrivals, count(distinct event_id) as ids
 from earthquakes_feed""",
 }
+_NOTHING = "null as anomalies, null as alerts, null as last_hour"
+BODIES["analytics_snapshot"] = f"""
+select 'summary' as section, cast(null as varchar) as name, cast(null as varchar) as label, cast(null as timestamp) as at,
+  total_events as value, cast(null as double) as score, total_anomalies as anomalies, active_alerts as alerts,
+  events_last_hour as last_hour from ({BODIES['dashboard_summary']})
+union all select 'events_per_hour', source, null, hour, count, null, {_NOTHING}
+  from ({BODIES['events_per_hour'].replace('168 hour', '24 hour')})
+union all select 'risk_distribution', source, label, null, count, null, {_NOTHING}
+  from ({BODIES['risk_distribution_by_source']})
+union all select 'unified_risk', null, risk_level, null, regions, null, {_NOTHING} from ({BODIES['risk_level_distribution']})
+union all select 'regional_rankings', region_name, risk_level, null, rank, unified_score, {_NOTHING}
+  from ({BODIES['regional_rankings']})"""
+BODIES["live_payload"] = f"""
+select 'summary' as section, cast(null as varchar) as name, cast(null as varchar) as label, cast(null as timestamp) as at,
+  cast(total_events as double) as value from ({BODIES['dashboard_summary']})
+union all select 'risk_scores', region_name, risk_level, computed_at, unified_score from latest_scores
+union all select * from (select 'alerts', title, severity, created_at, cast(null as double) from alerts where is_active
+  order by created_at desc, alert_type desc, record_key desc limit 10)
+union all select 'markers.earthquakes', event_id, risk_category, event_time, magnitude
+  from ({BODIES['markers_quakes'].replace('limit 100', 'limit 200')})
+union all select 'markers.wildfires', null, fire_severity, cast(acq_date as timestamp), frp
+  from ({BODIES['markers_fires'].replace('limit 100', 'limit 200')})
+union all select 'markers.weather', location_name, storm_severity, observed_at, wind_speed_kmh
+  from ({BODIES['markers_weather']})
+union all select 'markers.air_quality', location_name, aqi_category, observed_at, cast(us_aqi as double)
+  from ({BODIES['markers_air_quality']})"""
 for _alert in _ALERTS:
     BODIES[f"alert_{_alert}"] = f"select {ALERT_COLUMNS} from alerts_new where alert_type = '{_alert}'"
 

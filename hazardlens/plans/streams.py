@@ -45,7 +45,7 @@ def _etl(name: str):
 
 def sink_raw(i: Inputs) -> DataFrame:
     root = _run_feed(i, "weather")
-    return tables.scan_table(i.spark, root, "weather_raw").drop("ingested_at", "batch_id")
+    return tables.scan_table(i.spark, root, "weather_raw").drop("ingested_at", "event_date", "batch_id")
 
 
 def sink_processed(i: Inputs) -> DataFrame:
@@ -64,12 +64,26 @@ def stream_quality(i: Inputs) -> DataFrame:
     return stored.groupBy("source").agg(*[F.sum(c).alias(c) for c in counters])
 
 
+def stream_ingestion_logs(i: Inputs) -> DataFrame:
+    root = _run_feed(i, "weather")
+    logs = tables.scan_table(i.spark, root, "ingestion_logs")
+    return logs.groupBy("source", "status").agg(F.sum("records_count").alias("records"))
+
+
 def stream_alerts(i: Inputs) -> DataFrame:
-    root = _run_feed(
-        i, "air_quality", alert_rule=alerts.EXTREME_AQI, as_of=AS_OF, lookback_hours=LOOKBACK_HOURS
+    """Alerts of all four feeds, each raised by the rule of its source."""
+    root = shared_dir(i.spark, "stream-all")
+    streams = {name: wire.subscribe_files(i.spark, i.land(wire.encode(i.raw(name)))) for name in FEEDS}
+    running = etl.start_all(
+        streams, f"{root}/tables", f"{root}/checkpoints", ALL_AVAILABLE, alert_rules=alerts.RULES_BY_SOURCE,
+        processed_at=F.lit(AS_OF), as_of=AS_OF, lookback_hours=LOOKBACK_HOURS,
     )
-    return tables.scan_table(i.spark, root, "alerts").select(
-        "alert_type", "source", "severity", "title", "description", "region_name", "is_active"
+    for query in running:
+        query.awaitTermination()
+    stored = tables.scan_table(i.spark, f"{root}/tables", "alerts")
+    key = F.coalesce(*[F.get_json_object("metadata", f"$.{k}") for k in ("event_id", "record_id")])
+    return stored.select(
+        "alert_type", "source", "severity", "title", "description", "region_name", "is_active", key.alias("record_key")
     )
 
 
@@ -84,31 +98,27 @@ def src_json_stream(i: Inputs) -> DataFrame:
 
 
 def stream_events_per_hour(i: Inputs) -> DataFrame:
-    """Closed hours only: an hour is written once the watermark has passed its end."""
+    """Every hour, open ones included."""
     root = shared_dir(i.spark, "events-per-hour")
     events = feeds.stream_events(i.spark, i.sf_dir).select(F.col("event_type").alias("source"), "ts")
-    counted = live.stream_events_per_hour(events)
-    live.append_stream(counted, f"{root}/out", f"{root}/checkpoint", ALL_AVAILABLE).awaitTermination()
-    return i.spark.read.schema(counted.schema).parquet(f"{root}/out")
+    live.stream_events_per_hour(events, root, f"{root}/checkpoint", ALL_AVAILABLE).awaitTermination()
+    return live.hourly_counts(i.spark, root)
 
 
-def _dedup(i: Inputs, columns: list[str]) -> DataFrame:
+def _dedup(i: Inputs) -> DataFrame:
     root = shared_dir(i.spark, "dedup")
     records = feeds.feed(i.spark, feeds.stream_events(i.spark, i.sf_dir), "earthquakes")
-    unique = live.stream_dedup(records, EARTHQUAKES, within="60 days").select(*columns)
-    live.append_stream(unique, f"{root}/out", f"{root}/checkpoint", ALL_AVAILABLE).awaitTermination()
-    return i.spark.read.schema(unique.schema).parquet(f"{root}/out")
+    live.stream_dedup(records, EARTHQUAKES, root, f"{root}/checkpoint", ALL_AVAILABLE).awaitTermination()
+    return live.first_arrivals(i.spark, root, records.schema)
 
 
 def stream_dedup(i: Inputs) -> DataFrame:
-    return _dedup(i, ["event_id"])
+    return _dedup(i).select("event_id")
 
 
 def dedup_across_batches(i: Inputs) -> DataFrame:
-    """Arrivals by status after repeats were dropped: how many ids came through."""
-    return _dedup(i, ["event_id", "status"]).agg(
-        F.count("*").alias("arrivals"), F.count_distinct("event_id").alias("ids")
-    )
+    """How many arrivals came through, and of how many ids."""
+    return _dedup(i).agg(F.count("*").alias("arrivals"), F.count_distinct("event_id").alias("ids"))
 
 
 STREAMS = {
@@ -117,6 +127,7 @@ STREAMS = {
     "sink_raw": sink_raw,
     "sink_processed": sink_processed,
     "stream_quality": stream_quality,
+    "stream_ingestion_logs": stream_ingestion_logs,
     "stream_alerts": stream_alerts,
     "stream_events_per_hour": stream_events_per_hour,
     "stream_dedup": stream_dedup,

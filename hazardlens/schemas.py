@@ -4,102 +4,105 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_KINDS = {
-    "S": T.StringType(),
-    "D": T.DoubleType(),
-    "I": T.IntegerType(),
-    "L": T.LongType(),
-    "B": T.BooleanType(),
-    "T": T.TimestampType(),
-    "d": T.DateType(),
+_TYPES = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(),
+    "date": T.DateType(),
 }
 
 
-def columns(text: str) -> T.StructType:
-    """Schema from ``"name:kind ..."``; every column is nullable."""
-    fields = (item.split(":") for item in text.split())
-    return T.StructType([T.StructField(name, _KINDS[kind], True) for name, kind in fields])
+def columns(ddl: str) -> T.StructType:
+    """Schema from ``"name type, ..."``; every column is nullable. Needs no session."""
+    fields = (item.split() for item in ddl.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind], True) for name, kind in fields])
 
 
+# Names and types of all columns.
 WIRE = {
     "earthquakes": columns(
-        "event_id:S magnitude:D place:S event_time:S latitude:D longitude:D depth_km:D"
-        " tsunami:B significance:I status:S"
+        "event_id string, magnitude double, place string, event_time string, latitude double, longitude double, depth_km double,"
+        " tsunami boolean, significance int, status string"
     ),
     "weather": columns(
-        "location_name:S latitude:D longitude:D temperature_c:D humidity_pct:D"
-        " wind_speed_kmh:D precipitation_mm:D weather_code:I observed_at:S"
+        "location_name string, latitude double, longitude double, temperature_c double, humidity_pct double,"
+        " wind_speed_kmh double, precipitation_mm double, weather_code int, observed_at string"
     ),
     "air_quality": columns(
-        "location_name:S latitude:D longitude:D us_aqi:I pm2_5:D pm10:D ozone:D"
-        " nitrogen_dioxide:D carbon_monoxide:D sulphur_dioxide:D observed_at:S"
+        "location_name string, latitude double, longitude double, us_aqi int, pm2_5 double, pm10 double, ozone double,"
+        " nitrogen_dioxide double, carbon_monoxide double, sulphur_dioxide double, observed_at string"
     ),
     "wildfires": columns(
-        "latitude:D longitude:D brightness:D scan:D track:D acq_date:S acq_time:S"
-        " satellite:S instrument:S confidence:S frp:D daynight:S"
+        "latitude double, longitude double, brightness double, scan double, track double, acq_date string, acq_time string,"
+        " satellite string, instrument string, confidence string, frp double, daynight string"
     ),
 }
 
-_QUAKE = "event_id:S magnitude:D place:S event_time:T latitude:D longitude:D depth_km:D tsunami:B significance:I status:S"
+_QUAKE = "event_id string, magnitude double, place string, event_time timestamp, latitude double, longitude double, depth_km double, tsunami boolean, significance int, status string"
 _WEATHER = (
-    "location_name:S latitude:D longitude:D temperature_c:D humidity_pct:D wind_speed_kmh:D"
-    " precipitation_mm:D weather_code:I observed_at:T"
+    "location_name string, latitude double, longitude double, temperature_c double, humidity_pct double, wind_speed_kmh double,"
+    " precipitation_mm double, weather_code int, observed_at timestamp"
 )
 _AIR = (
-    "location_name:S latitude:D longitude:D us_aqi:I pm2_5:D pm10:D ozone:D nitrogen_dioxide:D"
-    " carbon_monoxide:D sulphur_dioxide:D observed_at:T"
+    "location_name string, latitude double, longitude double, us_aqi int, pm2_5 double, pm10 double, ozone double, nitrogen_dioxide double,"
+    " carbon_monoxide double, sulphur_dioxide double, observed_at timestamp"
 )
 _FIRE = (
-    "latitude:D longitude:D brightness:D scan:D track:D acq_date:d acq_time:S satellite:S"
-    " instrument:S confidence:S frp:D daynight:S"
+    "latitude double, longitude double, brightness double, scan double, track double, acq_date date, acq_time string, satellite string,"
+    " instrument string, confidence string, frp double, daynight string"
 )
 
 TABLES = {
-    "earthquakes_raw": columns(f"{_QUAKE} ingested_at:T batch_id:L"),
-    "weather_raw": columns(f"{_WEATHER} ingested_at:T batch_id:L"),
-    "air_quality_raw": columns(f"{_AIR} ingested_at:T batch_id:L"),
-    "wildfires_raw": columns(f"{_FIRE} ingested_at:T batch_id:L"),
+    "earthquakes_raw": columns(f"{_QUAKE}, ingested_at timestamp, event_date date, batch_id bigint"),
+    "weather_raw": columns(f"{_WEATHER}, ingested_at timestamp, event_date date, batch_id bigint"),
+    "air_quality_raw": columns(f"{_AIR}, ingested_at timestamp, event_date date, batch_id bigint"),
+    "wildfires_raw": columns(f"{_FIRE}, ingested_at timestamp, event_date date, batch_id bigint"),
     "earthquakes_processed": columns(
-        f"{_QUAKE} risk_category:S magnitude_band:S distance_group:S processed_at:T"
-        " event_date:d batch_id:L"
+        f"{_QUAKE}, risk_category string, magnitude_band string, distance_group string, processed_at timestamp,"
+        " event_date date, batch_id bigint"
     ),
     "weather_processed": columns(
-        f"{_WEATHER} heat_index:D rain_severity:S wind_severity:S storm_severity:S"
-        " processed_at:T event_date:d batch_id:L"
+        f"{_WEATHER}, heat_index double, rain_severity string, wind_severity string, storm_severity string,"
+        " processed_at timestamp, event_date date, batch_id bigint"
     ),
     "air_quality_processed": columns(
-        f"{_AIR} aqi_category:S processed_at:T event_date:d batch_id:L"
+        f"{_AIR}, aqi_category string, processed_at timestamp, event_date date, batch_id bigint"
     ),
     "wildfires_processed": columns(
-        f"{_FIRE} fire_severity:S detection_confidence:S processed_at:T event_date:d batch_id:L"
+        f"{_FIRE}, fire_severity string, detection_confidence string, processed_at timestamp, event_date date, batch_id bigint"
     ),
     "anomaly_events": columns(
-        "source:S event_type:S severity:S description:S latitude:D longitude:D event_time:T"
-        " raw_data:S detected_at:T batch_id:L"
+        "source string, event_type string, severity string, description string, latitude double, longitude double, event_time timestamp,"
+        " raw_data string, detected_at timestamp, event_date date, batch_id bigint"
     ),
     "data_quality_metrics": columns(
-        "source:S total_records:L valid_records:L duplicates:L missing_fields:L"
-        " malformed_records:L dropped_events:L validation_errors:L created_at:T batch_id:L"
+        "source string, total_records bigint, valid_records bigint, duplicates bigint, missing_fields bigint,"
+        " malformed_records bigint, dropped_events bigint, validation_errors bigint, created_at timestamp, event_date date, batch_id bigint"
     ),
     "pipeline_metrics": columns(
-        "source:S records_count:L processing_time_ms:D kafka_lag_ms:D db_write_latency_ms:D"
-        " records_per_minute:D created_at:T batch_id:L"
+        "source string, records_count bigint, processing_time_ms double, kafka_lag_ms double, db_write_latency_ms double,"
+        " records_per_minute double, created_at timestamp, event_date date, batch_id bigint"
     ),
     "ingestion_logs": columns(
-        "source:S status:S records_count:I latency_ms:D error_message:S created_at:T"
+        "source string, status string, records_count int, latency_ms double, error_message string, created_at timestamp,"
+        " event_date date, batch_id bigint"
     ),
     "risk_scores": columns(
-        "region_name:S latitude:D longitude:D earthquake_score:D wildfire_score:D"
-        " weather_score:D air_quality_score:D unified_score:D risk_level:S computed_at:T"
+        "region_name string, latitude double, longitude double, earthquake_score double, wildfire_score double,"
+        " weather_score double, air_quality_score double, unified_score double, risk_level string, computed_at timestamp,"
+        " event_date date, batch_id bigint"
     ),
     "alerts": columns(
-        "alert_type:S source:S severity:S title:S description:S latitude:D longitude:D"
-        " region_name:S metadata:S is_active:B created_at:T resolved_at:T batch_id:L"
+        "alert_type string, source string, severity string, title string, description string, latitude double, longitude double,"
+        " region_name string, metadata string, record_key string, is_active boolean, created_at timestamp, resolved_at timestamp, event_date date, batch_id bigint"
     ),
     "forecasts": columns(
-        "forecast_time:T predicted_value:D lower_bound:D upper_bound:D generated_at:T"
-        " metric:S source:S horizon:S location_name:S"
+        "forecast_time timestamp, predicted_value double, lower_bound double, upper_bound double, generated_at timestamp,"
+        " metric string, source string, horizon string, location_name string, place_bucket int"
     ),
-    "analytics_snapshots": columns("snapshot_type:S section:S payload:S created_at:T"),
-    "quarantine": columns("source:S record:S batch_id:L"),
+    "analytics_snapshots": columns("snapshot_type string, section string, payload string, created_at timestamp, event_date date, batch_id bigint"),
+    "quarantine": columns("source string, record string, batch_id bigint"),
 }

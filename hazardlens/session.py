@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -34,15 +35,35 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach, below ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only for a ``local`` master, where driver and
-    executors are the same machine.
+    A machine-local folder is used only for a ``local`` master without that setting, where driver
+    and executors are the same machine. The folder is removed when the process ends, or before by
+    ``remove_shared_dirs``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = os.path.join(tempfile.gettempdir(), "hazardlens")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.append((spark, folder))
+    return folder
+
+
+def remove_shared_dirs() -> None:
+    """Delete the folders that this process has made; results that read them end with it."""
+    while _made:
+        spark, folder = _made.pop()
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session is gone already; its folders stay
+            return
+
+
+atexit.register(remove_shared_dirs)

@@ -5,58 +5,85 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardlens.constants import JDBC_ATTEMPTS, JDBC_BATCH_SIZE, JDBC_DELAY_SECONDS
+from hazardlens.sources.tables import scan_table
 
 
 def write_batch(
     df: DataFrame, root: str, table: str, batch_id: int,
-    source: str | None = None, partition_by: Sequence[str] = (),
+    source: str | None = None, partition_by: Sequence[str] = (), dated_by: str | None = None,
 ) -> None:
-    """Replace one batch's folder of a table.
+    """Replace what one batch holds in a table.
 
-    The batch id is part of the path, and so is the source for a table that several
-    streams share: writing the same batch again overwrites its own earlier attempt
-    and nothing else.
+    Folders are by the source for a table that several streams share, so that their commits do not
+    meet, then by ``partition_by``, usually the day, and by the batch last: a look-back reads the
+    folders of its days only. ``dated_by`` names the time whose day becomes ``event_date``. Writing
+    the same batch again removes its own earlier attempt, in whatever folders it was, and nothing
+    else.
     """
     folder = f"{root}/{table}" + (f"/source={source}" if source else "")
-    in_path = ["batch_id", "source"] if source else ["batch_id"]
-    rows = df.drop(*in_path)
-    if partition_by:
-        # One writer per folder, except where a folder is too big for one: adaptive
-        # execution merges small shuffle partitions and splits large ones.
-        rows = rows.hint("rebalance", *[F.col(c) for c in partition_by])
-    writer = rows.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{folder}/batch_id={batch_id}")
+    rows = df.drop("batch_id", "source") if source else df.drop("batch_id")
+    if dated_by:
+        rows = rows.withColumn("event_date", F.to_date(dated_by))
+        partition_by = ["event_date", *partition_by]
+    _remove(df.sparkSession, "/".join([folder, *["*"] * len(partition_by), f"batch_id={batch_id}"]))
+    if not partition_by:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        return
+    # One writer per folder, except where a folder is too big for one: adaptive
+    # execution merges small shuffle partitions and splits large ones.
+    rows = rows.hint("rebalance", *[F.col(c) for c in partition_by]).withColumn("batch_id", F.lit(batch_id))
+    rows.write.mode("append").partitionBy(*partition_by, "batch_id").parquet(folder)
+
+
+def _remove(spark: SparkSession, pattern: str) -> None:
+    """Delete the folders that a pattern names, through the file system they are in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.globStatus(path) or []:
+        system.delete(status.getPath(), True)
+
+
+#: Folders per metric and horizon that the places of forecasts are dealt to.
+PLACE_BUCKETS = 32
 
 
 def replace_forecasts(forecasts: DataFrame, root: str, max_records_per_file: int = 1_000_000) -> None:
     """Replace the stored forecasts of every (metric, source, horizon, location) given.
 
-    Rows are brought together by series before writing, so that a series' folder
-    gets one file; other series stay as they are.
+    Folders are by metric, horizon and a bucket of the place, so their number does not grow with
+    the places. The buckets concerned are rewritten with the other series they hold.
     """
     series = ["metric", "source", "horizon", "location_name"]
+    folders = ["metric", "horizon", "place_bucket"]
+    bucket = F.pmod(F.xxhash64("source", "location_name"), F.lit(PLACE_BUCKETS)).cast("int")
+    new = forecasts.withColumn("place_bucket", bucket)
+    stored = scan_table(forecasts.sparkSession, root, "forecasts", missing_is_empty=True)
+    concerned = new.select(*folders).distinct()
+    given = new.select(*[F.col(c).alias(f"_new_{c}") for c in series]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in series]
+    others = stored.join(concerned, folders, "left_semi").join(given, same, "left_anti")
     (
-        forecasts.hint("rebalance", *[F.col(c) for c in series])
+        new.unionByName(others.select(*new.columns)).hint("rebalance", *[F.col(c) for c in folders])
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy(*series)
+        .partitionBy(*folders)
         .parquet(f"{root}/forecasts")
     )
 
 
-def append_snapshot(snapshot: DataFrame, root: str) -> None:
-    snapshot.write.mode("append").parquet(f"{root}/analytics_snapshots")
+def append_snapshot(snapshot: DataFrame, root: str, run_id: int) -> None:
+    """Add a snapshot; the same run again replaces its own."""
+    write_batch(snapshot, root, "analytics_snapshots", run_id, dated_by="created_at")
 
 
-def append_risk_scores(scores: DataFrame, root: str) -> None:
-    scores.write.mode("append").parquet(f"{root}/risk_scores")
+def append_risk_scores(scores: DataFrame, root: str, run_id: int) -> None:
+    """Add the scores of a run; the same run again replaces its own."""
+    write_batch(scores, root, "risk_scores", run_id, dated_by="computed_at")
 
 
 def with_retries(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -9,17 +12,33 @@ from pyspark.sql.utils import AnalysisException
 from hazardlens.schemas import TABLES
 
 
-def scan_table(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A table below ``root``; one that was never written is empty."""
+def scan_table(spark: SparkSession, root: str, table: str, missing_is_empty: bool = False) -> DataFrame:
+    """A table below ``root``. A path that does not exist is an error unless the caller
+    says that the table may not have been written yet."""
     schema = TABLES[table]
     try:
         return spark.read.schema(schema).parquet(f"{root}/{table}")
     except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
+        if not missing_is_empty or missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def scan_days(spark: SparkSession, root: str, table: str, days: Sequence[dt.date]) -> DataFrame:
+    """The given days of a stored table; no other folder is listed. Days without one are empty."""
+    schema = TABLES[table]
+    folders = [f"{root}/{table}/event_date={day}" for day in days]
+    stored = [f for f in folders if _exists(spark, f)]
+    if not stored:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(*stored)
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def scan_processed(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The four processed tables by feed name."""
     feeds = ["earthquakes", "weather", "air_quality", "wildfires"]

@@ -6,33 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardlens.constants import STREAM_MAX_OFFSETS
 from hazardlens.schemas import WIRE
 
 CORRUPT = "_corrupt"
 
 
 def subscribe(
-    spark: SparkSession, topic: str, servers: str, max_offsets: int = STREAM_MAX_OFFSETS, **options: str
+    spark: SparkSession, topic: str, servers: str, max_offsets: int | None = None, **options: str
 ) -> DataFrame:
-    """Stream of a Kafka topic from its latest offsets, a bounded number per trigger.
+    """Stream of a whole Kafka topic; records that the broker lost are an error.
 
-    Needs the Kafka connector package on the classpath.
+    ``max_offsets`` bounds a trigger's admission where a deployment wants that; other
+    options, such as the starting offsets, can be given as well. Needs the Kafka
+    connector package on the classpath.
     """
     settings = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
-        "startingOffsets": "latest",
-        "failOnDataLoss": "false",
-        "maxOffsetsPerTrigger": str(max_offsets),
+        "startingOffsets": "earliest",
+        "failOnDataLoss": "true",
+        **({} if max_offsets is None else {"maxOffsetsPerTrigger": str(max_offsets)}),
         **options,
     }
     return spark.readStream.format("kafka").options(**settings).load()
 
 
-def subscribe_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Stream of JSON lines landed as files, one record per ``value``."""
-    return spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(path)
+def subscribe_files(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """Stream of JSON lines landed as files, one record per ``value``; ``max_files`` per trigger, if given."""
+    reader = spark.readStream.format("text")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(path)
 
 
 def decode(raw: DataFrame, feed: str) -> DataFrame:

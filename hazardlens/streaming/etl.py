@@ -10,36 +10,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.storagelevel import StorageLevel
 
-from hazardlens.constants import STREAM_TRIGGER
+from hazardlens.constants import INGESTION_NAME, STREAM_TRIGGER
 from hazardlens.operators import alerts as alerting
-from hazardlens.operators.anomalies import RULES as ANOMALY_RULES
+from hazardlens.operators.anomalies import anomalies_of
 from hazardlens.operators.cleaning import skip_existing
 from hazardlens.operators.common import AsOf
 from hazardlens.operators.feeds import FEEDS, Feed
 from hazardlens.operators.quality import pipeline_throughput, quality_funnel
 from hazardlens.schemas import TABLES
 from hazardlens.sinks.tables import write_batch
-from hazardlens.sources.tables import scan_table
+from hazardlens.sources.tables import scan_days, scan_table
 from hazardlens.sources.wire import CORRUPT, decode
 
 BatchFunction = Callable[[DataFrame, int], None]
 
 
-def _not_stored_yet(rows: DataFrame, feed: Feed, root: str, batch_id: int, count: int) -> DataFrame:
+def _not_stored_yet(rows: DataFrame, feed: Feed, root: str, batch_id: int) -> DataFrame:
     """Rows new to the processed table, whatever other batches have written.
 
-    The batch's own folder is left out, so a replay decides as the first attempt
+    The batch's own folders are left out, so a replay decides as the first attempt
     did. Where the event date follows from the key, only the dates of this batch are
-    read from the table.
+    listed and read; otherwise (quakes) the key column of the whole table is.
     """
-    stored = scan_table(rows.sparkSession, root, f"{feed.name}_processed")
-    stored = stored.filter(F.col("batch_id") != batch_id)
+    table = f"{feed.name}_processed"
     if feed.time in feed.key:
-        span = rows.agg(F.min("event_date").alias("low"), F.max("event_date").alias("high")).first()
-        if span.low is None:
-            return rows
-        stored = stored.filter(F.col("event_date").between(F.lit(span.low), F.lit(span.high)))
-    return skip_existing(rows, stored, feed.key, count)
+        days = [r.event_date for r in rows.select("event_date").distinct().collect()]
+        stored = scan_days(rows.sparkSession, root, table, days)
+    else:
+        stored = scan_table(rows.sparkSession, root, table, missing_is_empty=True)
+    return skip_existing(rows, stored.filter(F.col("batch_id") != batch_id), feed.key)
 
 
 def feed_writer(
@@ -58,7 +57,25 @@ def feed_writer(
     """
     stamp = F.current_timestamp() if processed_at is None else processed_at
 
+    def log_ingestion(spark: SparkSession, batch_id: int, records: int, started: float, error: str | None) -> None:
+        """What became of a batch; a replay replaces the entry of the failed attempt."""
+        status = "success" if error is None else "error"
+        row = [(status, records, (time.time() - started) * 1000, error)]
+        schema = "status string, records_count int, latency_ms double, error_message string"
+        entry = spark.createDataFrame(row, schema).withColumn("created_at", stamp)
+        write_batch(entry, root, "ingestion_logs", batch_id, source=INGESTION_NAME[feed.name], dated_by="created_at")
+
     def process(batch: DataFrame, batch_id: int) -> None:
+        started = time.time()
+        try:
+            records = store_batch(batch, batch_id)
+        except Exception as error:
+            log_ingestion(batch.sparkSession, batch_id, 0, started, str(error)[:500])
+            raise
+        if records is not None:
+            log_ingestion(batch.sparkSession, batch_id, records, started, None)
+
+    def store_batch(batch: DataFrame, batch_id: int) -> int | None:
         started = time.time()
         spark = batch.sparkSession
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
@@ -66,11 +83,11 @@ def feed_writer(
         try:
             counts = quality_funnel(flagged.withColumn("batch_id", F.lit(batch_id)), feed).first()
             if counts is None:
-                return
+                return None
             writing = time.time()
             raw_columns = [f.name for f in TABLES[f"{feed.name}_raw"] if f.name in flagged.columns]
             raw = feed.typed(batch).select(*raw_columns).withColumn("ingested_at", stamp)
-            write_batch(raw, root, f"{feed.name}_raw", batch_id)
+            write_batch(raw, root, f"{feed.name}_raw", batch_id, dated_by="ingested_at")
             if CORRUPT in flagged.columns:
                 bad = flagged.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
                 write_batch(bad, root, "quarantine", batch_id, source=feed.name)
@@ -78,7 +95,7 @@ def feed_writer(
 
             done = feed.finish(flagged).select(*feed.output)
             dated = done.withColumn("event_date", F.to_date(feed.time)).persist(StorageLevel.MEMORY_AND_DISK)
-            fresh = _not_stored_yet(dated, feed, root, batch_id, counts.valid_records)
+            fresh = _not_stored_yet(dated, feed, root, batch_id)
             fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 writing = time.time()
@@ -87,20 +104,20 @@ def feed_writer(
                 write_ms += (time.time() - writing) * 1000
 
                 enriched = fresh.drop("event_date")
-                anomalies = ANOMALY_RULES[feed.name](enriched).withColumn("detected_at", stamp)
-                write_batch(anomalies, root, "anomaly_events", batch_id, source=feed.name)
+                anomalies = anomalies_of(feed.name, enriched).withColumn("detected_at", stamp)
+                write_batch(anomalies, root, "anomaly_events", batch_id, source=feed.name, dated_by="detected_at")
                 if alert_rule is not None:
-                    earlier = scan_table(spark, root, "alerts").filter(
+                    earlier = scan_table(spark, root, "alerts", missing_is_empty=True).filter(
                         (F.col("source") == feed.name) & (F.col("batch_id") != batch_id)
                     )
                     raised = alerting.raise_alerts(enriched, alert_rule, earlier, as_of, lookback_hours)
-                    write_batch(raised, root, "alerts", batch_id, source=feed.name)
+                    write_batch(raised, root, "alerts", batch_id, source=feed.name, dated_by="created_at")
             finally:
                 fresh.unpersist()
                 dated.unpersist()
 
             metrics = spark.createDataFrame([counts], counts.__fields__).withColumn("created_at", stamp)
-            write_batch(metrics, root, "data_quality_metrics", batch_id, source=feed.name)
+            write_batch(metrics, root, "data_quality_metrics", batch_id, source=feed.name, dated_by="created_at")
             log = [(feed.name, batch_id, counts.valid_records, (time.time() - started) * 1000, write_ms)]
             schema = (
                 "source string, batch_id long, records_count long, processing_time_ms double,"
@@ -109,7 +126,8 @@ def feed_writer(
             throughput = pipeline_throughput(spark.createDataFrame(log, schema)).withColumns(
                 {"kafka_lag_ms": F.lit(None).cast("double"), "created_at": stamp}
             )
-            write_batch(throughput, root, "pipeline_metrics", batch_id, source=feed.name)
+            write_batch(throughput, root, "pipeline_metrics", batch_id, source=feed.name, dated_by="created_at")
+            return counts.total_records
         finally:
             batch.unpersist()
 
@@ -136,11 +154,19 @@ def start_feed(
 
 
 def start_all(
-    streams: dict[str, DataFrame], root: str, checkpoints: str, trigger: dict | None = None, **writer_options
+    streams: dict[str, DataFrame],
+    root: str,
+    checkpoints: str,
+    trigger: dict | None = None,
+    alert_rules: dict[str, alerting.AlertRule] | None = None,
+    **writer_options,
 ) -> list[StreamingQuery]:
-    """One independent query per feed, each with its own checkpoint."""
+    """One independent query per feed, each with its own checkpoint and its source's alert rule."""
+    rules = alerting.RULES_BY_SOURCE if alert_rules is None else alert_rules
     return [
-        start_feed(raw, FEEDS[name], root, f"{checkpoints}/{name}", trigger, **writer_options)
+        start_feed(
+            raw, FEEDS[name], root, f"{checkpoints}/{name}", trigger, alert_rule=rules.get(name), **writer_options
+        )
         for name, raw in streams.items()
     ]
 

@@ -1,38 +1,101 @@
-"""Stateful streams: hourly counts and deduplication across batches."""
+"""Stateful streams: hourly counts and deduplication across batches.
+
+Neither has a watermark, so no record is dropped for being late: hourly state is one row per
+source and hour, and the keys seen before are looked up in the stored table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
+from hazardlens.operators.cleaning import skip_existing
+from hazardlens.operators.common import first_per_key
 from hazardlens.operators.feeds import Feed
+from hazardlens.sinks.tables import write_batch
 
+#: Folders that the keys of a table are dealt to; a batch reads those of its own keys.
+KEY_BUCKETS = 64
 
-def stream_events_per_hour(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """Events per source and hour of a stream with columns ``source`` and ``ts``.
+HOURLY = "source string, hour timestamp, count bigint, batch_id bigint"
 
-    The watermark bounds the state to the open hours.
-    """
+
+def events_per_hour(events: DataFrame) -> DataFrame:
+    """Events per source and hour of a stream with columns ``source`` and ``ts``."""
     return (
-        events.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", "1 hour").alias("_w"), "source")
-        .agg(F.count("*").alias("count"))
-        .select("source", F.col("_w.start").alias("hour"), "count")
+        events.groupBy("source", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("count"))
     )
 
 
-def stream_dedup(records: DataFrame, feed: Feed, within: str = "1 day") -> DataFrame:
-    """First arrival of every natural key; a repeat is recognised for ``within`` of
-    event time, after which its state is dropped."""
-    timed = records.withColumn("_event_time", F.col(feed.time).cast("timestamp"))
+def stream_events_per_hour(events: DataFrame, root: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Store the counts of every hour that a batch has changed, open hours and late events included."""
+    def process(changed: DataFrame, batch_id: int) -> None:
+        write_batch(changed, root, "events_per_hour", batch_id)
+
     return (
-        timed.withWatermark("_event_time", within)
-        .dropDuplicatesWithinWatermark(list(feed.key))
-        .drop("_event_time")
+        events_per_hour(events).writeStream.outputMode("update").foreachBatch(process)
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
+def hourly_counts(spark: SparkSession, root: str) -> DataFrame:
+    """The newest stored count of every source and hour."""
+    stored = spark.read.schema(HOURLY).parquet(f"{root}/events_per_hour")
+    return stored.groupBy("source", "hour").agg(F.max_by("count", "batch_id").alias("count"))
+
+
+def _key_bucket(keys: tuple[str, ...]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def stream_dedup(records: DataFrame, feed: Feed, root: str, checkpoint: str, trigger: dict) -> StreamingQuery:
+    """Store the first arrival of every natural key, however late it is.
+
+    Repeats within a batch go by the feed's order; against earlier batches the batch's keys
+    are joined with the stored ones of the same buckets. A replayed batch leaves its own
+    rows out of that and so decides as before.
+    """
+    def process(batch: DataFrame, batch_id: int) -> None:
+        keys = tuple(feed.key)
+        rest = [c for c in batch.columns if c not in keys and c != feed.time]
+        order = ", ".join(f"`{c}` ASC NULLS LAST" for c in [feed.time, *rest])
+        unique = first_per_key(batch, keys, order).withColumn("key_bucket", _key_bucket(keys))
+        stored = _first_arrivals(batch.sparkSession, root, batch.schema)
+        if stored is not None:
+            touched = [r.key_bucket for r in unique.select("key_bucket").distinct().collect()]
+            known = stored.filter(F.col("key_bucket").isin(touched) & (F.col("batch_id") != batch_id))
+            unique = skip_existing(unique, known, keys)
+        (
+            unique.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("key_bucket", "batch_id").parquet(f"{root}/first_arrivals")
+        )
+
+    return (
+        records.writeStream.foreachBatch(process)
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    )
+
+
+def _first_arrivals(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame | None:
+    fields = T.StructType([*schema.fields, T.StructField("key_bucket", T.IntegerType()), T.StructField("batch_id", T.LongType())])
+    try:
+        return spark.read.schema(fields).parquet(f"{root}/first_arrivals")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def first_arrivals(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The rows that ``stream_dedup`` has stored."""
+    found = _first_arrivals(spark, root, schema)
+    return spark.createDataFrame([], schema) if found is None else found.drop("key_bucket", "batch_id")
+
+
 def append_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     """Write an append-mode stream to parquet, each row exactly once."""
     return (

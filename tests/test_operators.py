@@ -42,12 +42,11 @@ def test_dedup_does_not_depend_on_the_partitioning(spark):
     assert ("hot", *best) in results[0]
 
 
-@pytest.mark.parametrize("counted", [None, 3, 10**9])
-def test_skip_existing_is_null_safe(spark, counted):
+def test_skip_existing_is_null_safe(spark):
     schema = "latitude double, longitude double, acq_date string, acq_time string"
     incoming = spark.createDataFrame([(1.0, 1.0, "d", None), (1.0, 1.0, "d", "0100"), (2.0, 1.0, "d", None)], schema)
     target = spark.createDataFrame([(1.0, 1.0, "d", None), (2.0, 1.0, "d", "0200")], schema)
-    left = cleaning.skip_existing(incoming, target, WILDFIRES.key, counted)
+    left = cleaning.skip_existing(incoming, target, WILDFIRES.key)
     assert sorted((r.latitude, r.acq_time or "") for r in left.collect()) == [(1.0, "0100"), (2.0, "")]
 
 
@@ -103,16 +102,59 @@ def timed_rows(spark, count=4000):
     return rows, spark.createDataFrame(rows, "event_id int, event_time timestamp, magnitude double")
 
 
-@pytest.mark.parametrize("top_k", [100_000, 300, 60])
+@pytest.mark.parametrize("near_rows", [5_000, 60])
 @pytest.mark.parametrize("offset", [0, 49, 1000, 2333, 5990, 6040, 7000])
-def test_pages_equal_slices_of_the_sorted_rows(spark, top_k, offset):
+def test_pages_equal_slices_of_the_sorted_rows(spark, near_rows, offset):
     rows, df = timed_rows(spark)
     ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or dt.datetime.min, r[0]), reverse=True)
-    page = access.paginate(df, [], "event_time", ["event_id"], 50, offset, top_k=top_k)
+    page = access.paginate(df, [], "event_time", ["event_id"], 50, offset, near_rows=near_rows)
     assert [r.event_id for r in page.rows.collect()] == [r[0] for r in ordered[offset:offset + 50]]
     assert page.total.first().total_count == len(rows)
 
 
+def test_pages_after_a_row_continue_there(spark):
+    rows, df = timed_rows(spark, 300)
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or dt.datetime.min, r[0]), reverse=True)
+    got, after = [], None
+    while True:
+        page = access.paginate(df, [], "event_time", ["event_id"], 120, after=after).rows.collect()
+        if not page:
+            break
+        got += [r.event_id for r in page]
+        after = [page[-1].event_time, page[-1].event_id]
+    assert got == [r[0] for r in ordered]
+
+
+def test_deep_pages_hold_no_long_top_k(spark):
+    same_time = spark.range(20_000).selectExpr("id AS event_id", "timestamp'2024-01-01' AS event_time")
+    page = access.paginate(same_time, [], "event_time", ["event_id"], 50, 15_000).rows
+    assert "TakeOrderedAndProject(limit=15050" not in page._jdf.queryExecution().executedPlan().toString()
+    assert [r.event_id for r in page.collect()] == list(range(4999, 4949, -1))
+
+
+def test_regions_of_equal_score_rank_in_several_tasks(spark):
+    import hazardlens.operators.dashboard as dashboard
+    from hazardlens.operators import common
+
+    n = 200_000
+    scores = spark.range(0, n, 1, 8).selectExpr(
+        "concat('r', lpad(id, 7, '0')) AS region_name", "0D AS latitude", "0D AS longitude", "0D AS earthquake_score",
+        "0D AS wildfire_score", "0D AS weather_score", "0D AS air_quality_score", "0D AS unified_score",
+        "'Low' AS risk_level", "timestamp'2024-01-01' AS computed_at",
+    )
+    order = [F.col("unified_score").desc(), F.col("region_name")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a few MB would share one task
+    try:
+        placed = common.positioned(dashboard.latest_risk_scores(scores), order, "position")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert placed.filter("region_name = 'r0123456'").first().position == 123_456
+    files = spark.read.parquet(*placed.inputFiles()).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 3 and max(r["count"] for r in files) < n / 2
+    ranked = dashboard.regional_rankings(scores).filter("rank in (1, 200000)").collect()
+    assert sorted((r["rank"], r.region_name) for r in ranked) == [(1, "r0000000"), (n, "r0199999")]
+
+
 def test_filters_without_a_value_are_skipped(spark):
     rows, df = timed_rows(spark, 100)
     filters = [("magnitude", ">=", 0.5), ("event_id", "=", None)]
@@ -186,12 +228,12 @@ def test_cooldown_window_and_keyless_alerts(spark):
     df = quakes(spark, ("a", 7.0, "x", AS_OF), ("b", 7.0, "x", AS_OF), ("c", 7.0, "x", AS_OF))
     rule = alerts.MAJOR_EARTHQUAKE
     past = [
-        ("major_earthquake", '{"event_id":"a"}', AS_OF - dt.timedelta(hours=24)),
-        ("major_earthquake", '{"event_id":"b"}', AS_OF - dt.timedelta(hours=24, minutes=1)),
-        ("major_earthquake", "{}", AS_OF), ("major_earthquake", None, AS_OF),
-        ("extreme_aqi", '{"event_id":"c"}', AS_OF),
+        ("major_earthquake", "a", AS_OF - dt.timedelta(hours=24)),
+        ("major_earthquake", "b", AS_OF - dt.timedelta(hours=24, minutes=1)),
+        ("major_earthquake", None, AS_OF),
+        ("extreme_aqi", "c", AS_OF),
     ]
-    log = spark.createDataFrame(past, "alert_type string, metadata string, created_at timestamp")
+    log = spark.createDataFrame(past, "alert_type string, record_key string, created_at timestamp")
     left = alerts.raise_alerts(df, rule, log, AS_OF)
     assert {json.loads(r.metadata)["event_id"] for r in left.collect()} == {"b", "c"}
 
@@ -236,7 +278,7 @@ def test_forecast_of_trend_and_daily_season(spark):
 def test_horizons(spark):
     out = forecast.forecast_additive(hourly(spark, 48, lambda h: h), AS_OF)
     counts = {r.horizon: r["count"] for r in out.groupBy("horizon").count().collect()}
-    assert counts == {"24h": 24, "7d": 168, "30d": 720}
+    assert counts == {"24h": 24, "7d": 168, "30d": 720, "30d_fixed": 30}
     last = out.groupBy("horizon").agg(F.max("forecast_time").alias("t"))
     ends = {r.horizon: r.t for r in last.collect()}
     assert ends["30d"] == dt.datetime(2024, 1, 2, 23) + dt.timedelta(days=720)
@@ -250,13 +292,46 @@ def test_replacing_forecasts_keeps_other_series(spark, tmp_path):
     stored = scan_table(spark, str(tmp_path), "forecasts")
     assert stored.filter("location_name is null").select("predicted_value").distinct().collect()[0][0] == -1.0
     assert stored.filter("location_name = 'Tokyo' and predicted_value <> -1").count() > 900
-    assert stored.count() == 2 * 912
+    assert stored.count() == 2 * 942
+
+
+def test_forecast_folders_do_not_grow_with_places(spark, tmp_path):
+    one = forecast.forecast_additive(hourly(spark, 12, lambda h: h), AS_OF, horizons=[("24h", 2, "hour")])
+    places = spark.range(400).select(F.concat(F.lit("p"), "id").alias("place"))
+    many = one.crossJoin(places).withColumn("location_name", F.col("place")).drop("place")
+    sinks.replace_forecasts(many, str(tmp_path))
+    folders = scan_table(spark, str(tmp_path), "forecasts").select("metric", "horizon", "place_bucket").distinct()
+    assert folders.count() == sinks.PLACE_BUCKETS
+    sinks.replace_forecasts(many.filter("location_name = 'p7'").withColumn("predicted_value", F.lit(-1.0)), str(tmp_path))
+    stored = scan_table(spark, str(tmp_path), "forecasts")
+    assert stored.count() == 800
+    assert {r.location_name for r in stored.filter("predicted_value = -1").collect()} == {"p7"}
+
+
+def test_fit_has_no_window(spark):
+    plan = forecast.fit_additive(hourly(spark, 48, lambda h: h))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "CartesianProduct" not in plan
+
+
+def test_appended_runs_replace_themselves(spark, tmp_path):
+    scores = spark.createDataFrame([("a", 1.0, AS_OF)], "region_name string, unified_score double, computed_at timestamp")
+    for run in (0, 1, 1):
+        sinks.append_risk_scores(scores, str(tmp_path), run)
+    assert scan_table(spark, str(tmp_path), "risk_scores").count() == 2
+    snapshot = spark.createDataFrame(
+        [("dashboard", "s", "{}", AS_OF)], "snapshot_type string, section string, payload string, created_at timestamp"
+    )
+    for run in (4, 4):
+        sinks.append_snapshot(snapshot, str(tmp_path), run)
+    assert scan_table(spark, str(tmp_path), "analytics_snapshots").count() == 1
 
 
 # --- sinks ------------------------------------------------------------------
 
-def test_missing_table_is_empty(spark, tmp_path):
-    assert scan_table(spark, str(tmp_path), "alerts").count() == 0
+def test_a_missing_table_is_an_error_unless_expected(spark, tmp_path):
+    assert scan_table(spark, str(tmp_path), "alerts", missing_is_empty=True).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        scan_table(spark, str(tmp_path), "alerts")
 
 
 def test_retries_wait_longer_each_time_and_give_up():

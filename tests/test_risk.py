@@ -1,5 +1,6 @@
 """The radius join against brute force, and its strategies against each other."""
 
+import datetime as dt
 import math
 import random
 
@@ -46,14 +47,17 @@ def test_radius_join_equals_brute_force(spark, radius):
 
 
 def test_both_strategies_agree_on_a_hot_cell(spark):
-    """A third of all events in one place; the merge join gives the broadcast's pairs."""
+    """A third of all events in one place; a merge join gives the broadcast's pairs."""
     _, events, regions = make(spark, hot=2000)
-    small = risk.within_radius(events, regions, 500.0)
-    large = risk.within_radius(events, regions, 500.0, broadcast_cells=1)
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
     key = ["region_name", "id"]
-    assert sorted(small.select(*key).collect()) == sorted(large.select(*key).collect())
+    small = sorted(risk.within_radius(events, regions, 500.0).select(*key).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = risk.within_radius(events, regions, 500.0)
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+        assert small == sorted(large.select(*key).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_grid_size_does_not_change_the_result(spark):
@@ -113,3 +117,5 @@ def test_latest_observation_has_no_age_limit(spark, tmp_path):
     for table in (df.drop("event_date"), scan_table(spark, str(tmp_path), "weather_processed")):
         scores = {r.region_name: r.weather_score for r in risk.weather_score(table, regions).collect()}
         assert scores == {"A": 20.0, "B": 100.0}
+        late = risk.weather_score(table, regions, dt.date(2024, 1, 1)).collect()
+        assert {r.region_name: r.weather_score for r in late} == {"A": 20.0, "B": 0.0}

@@ -38,7 +38,8 @@ CASES = [
      [(None, "Low"), (9.9, "Low"), (10.0, "Medium"), (50.0, "High"), (199.9, "High"), (200.0, "Extreme")]),
     ("detection_confidence", "string",
      [("high", "High"), ("HIGH", "High"), ("Nominal", "Nominal"), ("low", "Low"), ("80", "High"), ("79", "Nominal"),
-      ("30", "Nominal"), ("29", "Low"), ("n", "Low"), ("", "Low"), (None, "Low"), ("85.5", "High")]),
+      ("30", "Nominal"), ("29", "Low"), ("n", "Low"), ("", "Low"), (None, "Low"), ("85.5", "High"),
+      ("79.9", "Nominal"), (" 85 ", "High"), ("1e2", "Low"), ("12345678901", "Low"), ("-90", "Low")]),
     ("risk_level", "double",
      [(80.0, "Critical"), (75.0, "Critical"), (74.99, "High"), (60.0, "High"), (50.0, "High"), (30.0, "Moderate"),
       (25.0, "Moderate"), (24.99, "Low"), (10.0, "Low"), (0.0, "Low")]),
