@@ -189,7 +189,8 @@ def markers_air_quality(air: DataFrame, since: dt.date | None = None) -> DataFra
 
 
 def _entries(section: str, df: DataFrame) -> DataFrame:
-    return df.select(F.lit(section).alias("section"), F.to_json(F.struct("*")).alias("payload"))
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return df.select(F.lit(section).alias("section"), F.to_json(F.struct("*"), exact).alias("payload"))
 
 
 def analytics_snapshot(
