@@ -121,8 +121,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         f"{folder}/runs",
     )
     kept = [c for c in docs.columns if c.lower() not in ("removed_lines", "removed_runs")]
+    # How many documents lose lines has no bound, so both sides are dealt by document at any size.
     joined = docs.select(*[F.col(f"`{c}`") for c in kept], text_key().alias("__text_key")).join(
-        runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"
+        runs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"
     )
     split = F.split("text", "\n", -1)
     stays = F.filter(
