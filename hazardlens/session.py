@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
+import site
 import tempfile
 import uuid
 
@@ -67,3 +69,22 @@ def remove_shared_dirs() -> None:
 
 
 atexit.register(remove_shared_dirs)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, unless they find it as the driver does.
+
+    Workers import what the tasks call. They see the driver's working folder, ``PYTHONPATH`` and
+    installed packages; a package found elsewhere goes along as an archive, once per application.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    application = spark.sparkContext.applicationId
+    if application in _shipped or root in (os.path.abspath(p) for p in seen if p):
+        return
+    name = os.path.join(tempfile.mkdtemp(prefix="package-"), "hazardlens")
+    spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root, "hazardlens"))
+    _shipped.add(application)
