@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazardlens.llm.common import read_table, scratch, store
+from hazardlens.llm.common import bounded_batches, read_table, scratch, store
 
 NEIGHBOURS = 20
 EVERY = 20
@@ -214,7 +214,7 @@ def _search(shared, k: int):
 
 def nearest(vectors: DataFrame, every: int = EVERY, k: int = NEIGHBOURS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest of each row whose id ``every`` divides."""
-    spark = vectors.sparkSession
+    spark = bounded_batches(vectors.sparkSession)
     folder = scratch(spark, "nearest")
     proper = store(usable(vectors), f"{folder}/proper")
     size = proper.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()

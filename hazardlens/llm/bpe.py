@@ -230,7 +230,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     Bytes that are not UTF-8 become U+FFFD. The table of pieces is broadcast: its size is that of
     the vocabulary.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces(path))
+    shared = bounded_batches(encoded.sparkSession).sparkContext.broadcast(pieces(path))
     columns = [c for c in encoded.columns if c != "text"]
     schema = encoded.select(*columns).schema.add("text", "string")
     at = columns.index("ids")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardlens.session import shared_dir
+from hazardlens.session import shared_dir, ship_package
 
 #: Text bytes handled at once in a Python task; one longer text is a slice of its own.
 SLICE_BYTES = 1_000_000
@@ -35,7 +35,9 @@ def store(df: DataFrame, folder: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small: 10 000 long texts at once would fill a worker's memory."""
+    """Make a session fit for Python tasks: they find this package, and their Arrow batches are
+    small, as 10 000 long texts at once would fill a worker's memory."""
+    ship_package(spark)
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     size = spark.conf.get(setting).rstrip("bB")
     if not size.isdigit() or int(size) > BATCH_BYTES or int(size) <= 0:
