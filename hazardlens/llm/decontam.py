@@ -16,8 +16,10 @@ The shingles of the items reach the tasks in shards of at most ``SHARD`` entries
 over the documents each; there is one pass unless the benchmark has more shingles than that.
 
 Defined results: items with fewer than five words carry no shingle and match nothing, as do
-null or empty texts. Repeated items and rows are found alike, each under its own id. Ids may
-be null. An empty benchmark or an empty table gives no match. Only the id and text columns are read.
+null or empty texts. An item is an id with a text: rows that repeat both are one item, texts that
+share an id, or have none, are items of their own and reported under that id. Repeated rows of
+documents are found alike. An empty benchmark or an empty table gives no match. Only the id and
+text columns are read.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ _FILTER_BITS = 20
 
 def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, after, data, offsets in slices(batch.column(1)):
+        for row, after, data, offsets in slices(batch.column(2)):
             hashes, first = W.words(data, offsets, W.NOT_ALNUM)
             found, starts = W.shingles(hashes, first, SHINGLE)
             for i in range(after - row):
@@ -53,12 +55,12 @@ def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if size >= SHINGLE:
                     own = found[starts[i] : starts[i + 1]].view(np.int64)
                     n = len(own)
+                    same = pa.array(np.full(n, row + i))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).slice(row + i, 1).take(pa.array(np.zeros(n, np.int64))),
-                            pa.array(np.full(n, size, np.int64)), pa.array(np.arange(n)), pa.array(own),
+                            batch.column(0).take(same), batch.column(1).take(same), pa.array(np.full(n, size, np.int64)), pa.array(np.arange(n)), pa.array(own),
                         ],
-                        ["item_id", "n_words", "place", "shingle"],
+                        ["item_id", "item_key", "n_words", "place", "shingle"],
                     )
 
 
@@ -182,21 +184,20 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = bounded_batches(docs.sparkSession)
     folder = scratch(spark, "decontamination")
     places = store(
-        benchmark.select("item_id", "text").mapInArrow(
-            _item_shingles, "item_id long, n_words long, place long, shingle long"
-        ),
+        benchmark.select("item_id", text_key().alias("item_key"), "text").dropDuplicates(["item_id", "item_key"])
+        .mapInArrow(_item_shingles, "item_id long, item_key long, n_words long, place long, shingle long"),
         f"{folder}/places",
     )
     total, n_items = places.agg(F.count("*"), F.count_if(F.col("place") == 0)).first()
-    holders = places.select("item_id", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("holders"))
+    holders = places.select("item_id", "item_key", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("holders"))
     weighted = store(
         places.join(holders.withColumn("weight", F.log1p(F.lit(float(n_items)) / F.col("holders"))).drop("holders"), "shingle"),
         f"{folder}/weighted",
     )
-    items = weighted.groupBy("item_id", "n_words").agg(
+    items = weighted.groupBy("item_id", "item_key", "n_words").agg(
         F.array_sort(F.collect_list(F.struct("place", "shingle", "weight"))).alias("all")
     ).select(
-        F.xxhash64("item_id", "n_words", F.col("all.shingle")).alias("item"), "item_id", "n_words",
+        F.xxhash64("item_id", "item_key").alias("item"), "item_id", "n_words",
         F.col("all.shingle").alias("item_shingles"), F.col("all.weight").alias("item_weights"),
     )
     items = store(

@@ -232,6 +232,21 @@ def test_awkward_leaks(spark, awkward, no_documents, monkeypatch, shard):
     assert decontam.contaminated_windows(docs, benchmark.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("item_id", [None, 7])
+def test_texts_that_share_an_id_are_items_of_their_own(spark, item_id):
+    texts = [" ".join(f"{name}{i}" for i in range(30)) for name in ("red", "green", "blue")]
+    texts.append("a shorter one of nine words that stands alone")
+    rows = [(item_id, t) for t in texts] + [(item_id, texts[0])]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before it {t} after it") for i, t in enumerate(texts)], "doc_id long, text string")
+    found = decontam.contaminated_windows(docs, benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, round(r.similarity, 9)) for r in found) == [
+        (i, item_id, 2, 1.0) for i in range(len(texts))
+    ]
+    half = spark.createDataFrame([(1, texts[0] + " " + texts[1][:40])], docs.schema)
+    assert [r.item_id for r in decontam.contaminated_windows(half, benchmark).collect()] == [item_id]
+
+
 def test_blocks_find_everything_within_the_radius():
     random = np.random.RandomState(5)
     masks = set(decontam._masks(8, decontam.RADIUS // decontam.BLOCKS))
