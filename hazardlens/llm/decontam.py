@@ -12,8 +12,10 @@
    are listed under every block value up to 2 bits away.
 4. Candidates are verified by exact weighted similarity of their shingle sets, 0.75 or more.
 
-The shingles of the items reach the tasks in shards of at most ``SHARD`` entries, one pass
-over the documents each; there is one pass unless the benchmark has more shingles than that.
+What sets windows are the distinct entries (shingle, place in an item, words of the item). They
+reach the tasks in shards of about ``SHARD`` entries, one pass over the documents each, dealt by
+the whole entry, so that a shingle held by very many items is not one shard. The distinct windows
+found by all passes get the weights of all shingles by a join; results do not depend on shards.
 
 Defined results: items with fewer than five words carry no shingle and match nothing, as do
 null or empty texts. An item is an id with a text: rows that repeat both are one item, texts that
@@ -39,7 +41,7 @@ SHINGLE = 5
 SIMILARITY = 0.75
 BITS, BLOCKS = 64, 8
 RADIUS = 23
-#: Entries (shingle, place in an item) broadcast at once: about 32 bytes each.
+#: Entries (shingle, place in an item, words) broadcast at once: 24 bytes each.
 SHARD = 1_000_000
 
 _FILTER_BITS = 20
@@ -87,10 +89,9 @@ def weighted_similarity(window: np.ndarray, item: np.ndarray, weights: np.ndarra
 class _Shard:
     """A part of the items' shingles, sorted, with the places they have in items."""
 
-    def __init__(self, shingle: np.ndarray, weight: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
+    def __init__(self, shingle: np.ndarray, place: np.ndarray, size: np.ndarray) -> None:
         order = np.argsort(shingle, kind="stable")
-        self.shingle, self.weight = shingle[order], weight[order]
-        self.place, self.size = place[order], size[order]
+        self.shingle, self.place, self.size = shingle[order], place[order], size[order]
         self.seen = np.zeros(1 << _FILTER_BITS, bool)
         self.seen[self.shingle & ((1 << _FILTER_BITS) - 1)] = True
 
@@ -109,10 +110,9 @@ class _Shard:
         return np.unique(np.stack([start, size], axis=1), axis=0)
 
 
-def _window_finder(shared, weights, default: float):
+def _window_finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: _Shard = shared.value
-        known, known_weight = weights.value
         for batch in batches:
             rows = []
             for row, after, data, offsets in slices(batch.column(2)):
@@ -124,32 +124,32 @@ def _window_finder(shared, weights, default: float):
                     own = found[starts[i] : starts[i + 1]]
                     for start, size in shard.windows(own):
                         inside = own[start : start + size - SHINGLE + 1]
-                        at = np.minimum(np.searchsorted(known, inside), len(known) - 1)
-                        weight = np.where(known[at] == inside, known_weight[at], default)
-                        rows.append((row + i, int(start), int(size), simhash(inside, weight), inside))
+                        rows.append((row + i, int(start), int(size), inside))
             if rows:
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(at), batch.column(1).take(at),
                         pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-                        pa.array([r[3] for r in rows], pa.int64()),
-                        pa.array([r[4] for r in rows], pa.list_(pa.int64())),
+                        pa.array([r[3] for r in rows], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "doc_key", "start", "n_words", "fingerprint", "shingles"],
+                    ["doc_id", "doc_key", "start", "n_words", "shingles"],
                 )
         release_memory()
 
     return run
 
 
-def _fingerprint_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in (3, 4)]
-        prints = [simhash(np.array(s, np.int64), np.array(w)) for s, w in zip(*columns)]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(prints, pa.int64())], [*batch.schema.names, "item_fingerprint"]
-        )
+def _fingerprinter(shingles: str, weights: str, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in (shingles, weights)]
+            prints = [simhash(np.array(s, np.int64), np.array(w)) for s, w in zip(*columns)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(prints, pa.int64())], [*batch.schema.names, name]
+            )
+
+    return run
 
 
 def _verifier(unknown: float):
@@ -188,13 +188,13 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .mapInArrow(_item_shingles, "item_id long, item_key long, n_words long, place long, shingle long"),
         f"{folder}/places",
     )
-    total, n_items = places.agg(F.count("*"), F.count_if(F.col("place") == 0)).first()
+    n_items = places.filter("place = 0").count()
+    default = float(np.log1p(n_items))
     holders = places.select("item_id", "item_key", "shingle").distinct().groupBy("shingle").agg(F.count("*").alias("holders"))
-    weighted = store(
-        places.join(holders.withColumn("weight", F.log1p(F.lit(float(n_items)) / F.col("holders"))).drop("holders"), "shingle"),
-        f"{folder}/weighted",
+    weights = store(
+        holders.select("shingle", F.log1p(F.lit(float(n_items)) / F.col("holders")).alias("weight")), f"{folder}/weights"
     )
-    items = weighted.groupBy("item_id", "item_key", "n_words").agg(
+    items = places.join(weights, "shingle").groupBy("item_id", "item_key", "n_words").agg(
         F.array_sort(F.collect_list(F.struct("place", "shingle", "weight"))).alias("all")
     ).select(
         F.xxhash64("item_id", "item_key").alias("item"), "item_id", "n_words",
@@ -202,44 +202,51 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     items = store(
         items.mapInArrow(
-            _fingerprint_items,
+            _fingerprinter("item_shingles", "item_weights", "item_fingerprint"),
             "item long, item_id long, n_words long, item_shingles array<long>, item_weights array<double>,"
             " item_fingerprint long",
         ),
         f"{folder}/items",
     )
-    default = float(np.log1p(n_items))
     texts = docs.select("doc_id", text_key().alias("doc_key"), "text")
+    entry = ["shingle", "place", "n_words"]
+    entries = store(places.select(*entry).distinct(), f"{folder}/entries")
     windows = None
-    shards = max(1, -(-total // SHARD))
+    shards = -(-entries.count() // SHARD)
     for number in range(shards):
-        part = weighted.filter(F.pmod(F.xxhash64("shingle"), F.lit(shards)) == number).toPandas()
+        part = entries.filter(F.pmod(F.xxhash64(*entry), F.lit(shards)) == number).toPandas()
         if not len(part):
             continue
-        shard = _Shard(*(part[c].to_numpy() for c in ("shingle", "weight", "place", "n_words")))
-        # A window's fingerprint takes the weights of its own shard; the verification does not
-        # depend on shards.
-        known, first = np.unique(shard.shingle, return_index=True)
+        shard = _Shard(*(part[c].to_numpy() for c in entry))
         found = texts.mapInArrow(
-            _window_finder(
-                spark.sparkContext.broadcast(shard),
-                spark.sparkContext.broadcast((known, shard.weight[first])), default,
-            ),
-            "doc_id long, doc_key long, start long, n_words long, fingerprint long,"
-            " shingles array<long>",
+            _window_finder(spark.sparkContext.broadcast(shard)),
+            "doc_id long, doc_key long, start long, n_words long, shingles array<long>",
         )
         windows = found if windows is None else windows.unionByName(found)
     schema = "doc_id long, doc_key long, item_id long, start long, n_words long, similarity double"
     if windows is None:
         return spark.createDataFrame([], schema)
-    windows = store(windows, f"{folder}/windows")
+    windows = store(windows.withColumn("content", F.xxhash64("shingles")), f"{folder}/windows")
+    # Equal windows are fingerprinted once.
+    shingled = windows.select("content", "shingles").distinct().select(
+        "content", F.posexplode("shingles").alias("place", "shingle")
+    )
+    prints = shingled.join(weights, "shingle", "left").groupBy("content").agg(
+        F.array_sort(F.collect_list(
+            F.struct("place", "shingle", F.coalesce("weight", F.lit(default)).alias("weight"))
+        )).alias("all")
+    ).select("content", F.col("all.shingle").alias("shingles"), F.col("all.weight").alias("weights"))
+    prints = prints.mapInArrow(
+        _fingerprinter("shingles", "weights", "fingerprint"),
+        "content long, shingles array<long>, weights array<double>, fingerprint long",
+    ).select("content", "fingerprint")
 
     near = _masks(BITS // BLOCKS, RADIUS // BLOCKS)
     listed = items.select("item", "item_id", "n_words", "item_fingerprint", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
     listed = listed.withColumn("value", _block("item_fingerprint", "block")).withColumn(
         "value", F.explode(F.transform(F.array(*map(F.lit, near)), lambda m: m.bitwiseXOR(F.col("value"))))
     )
-    asked = windows.select("doc_id", "doc_key", "start", F.col("n_words").alias("size"), "fingerprint",
+    asked = windows.drop("shingles").join(prints, "content").select("doc_id", "doc_key", "start", F.col("n_words").alias("size"), "fingerprint",
                            F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("at"))
     asked = asked.withColumn("asked", _block("fingerprint", "at"))
     candidates = asked.join(

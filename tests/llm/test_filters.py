@@ -247,6 +247,28 @@ def test_texts_that_share_an_id_are_items_of_their_own(spark, item_id):
     assert [r.item_id for r in decontam.contaminated_windows(half, benchmark).collect()] == [item_id]
 
 
+def test_copies_have_their_items_fingerprint_in_any_number_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SHARD", 150)
+    monkeypatch.setattr(decontam, "RADIUS", 0)
+    template = " ".join(f"t{i}" for i in range(30))
+    items = [(i, f"{template} " + " ".join(f"i{i}w{j}" for j in range(8))) for i in range(12)]
+    found = decontam.contaminated_windows(
+        spark.createDataFrame(items, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    assert {r.doc_id for r in found if r.doc_id == r.item_id and r.similarity == 1.0} == set(range(12))
+
+
+def test_shards_are_bounded_with_one_shingle_in_every_place(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SHARD", 200)
+    sizes, init = [], decontam._Shard.__init__
+    monkeypatch.setattr(decontam._Shard, "__init__", lambda self, *parts: (sizes.append(len(parts[0])), init(self, *parts))[1])
+    items = spark.createDataFrame([(n, "t " * n) for n in range(5, 45)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "t " * 60), (2, "u " * 60)], "doc_id long, text string")
+    found = decontam.contaminated_windows(docs, items).collect()
+    assert sum(sizes) == 820 and max(sizes) <= 300
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, n) for n in range(5, 45)}
+
+
 def test_blocks_find_everything_within_the_radius():
     random = np.random.RandomState(5)
     masks = set(decontam._masks(8, decontam.RADIUS // decontam.BLOCKS))
