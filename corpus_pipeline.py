@@ -42,11 +42,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates, the one with the smallest id; of rows
-    that repeat its id and text, one."""
+    """Keep one document of each group of near duplicates: the one with the smallest id, null only
+    if all are, then with the smallest text key; of rows that repeat its id and text, one. Texts
+    without words form no groups."""
     found = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept")
+    counted = found.groupBy("root", F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).agg(
+        F.count("*").alias("times")
+    )
+    # The rows that op4 keeps of a group all have its smallest id.
+    first = counted.filter("root is not null").groupBy("root").agg(F.min(F.struct("__key", "__id", "times")).alias("first"))
     kept = store(
-        found.groupBy(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key")).agg(F.count("*").alias("times")),
+        first.select("first.__id", "first.__key", "first.times").unionByName(
+            counted.filter("root is null").drop("root")
+        ),
         f"{scratch(spark, 'kept')}/kept",
     )
     keyed = docs.withColumn("__text_key", text_key())

@@ -308,7 +308,10 @@ def _links_across(
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, doc_key, n_shingles, component_id, kept`` for every row of ``docs (doc_id, text)``."""
+    """``doc_id, doc_key, n_shingles, component_id, kept, root`` for every row of ``docs (doc_id, text)``.
+
+    ``root`` names the component whatever the ids are; it is null for texts without words.
+    """
     folder = scratch(bounded_batches(docs.sparkSession), "near-duplicates")
     signed = store(signatures(docs), f"{folder}/signatures")
     classes = signed.filter("class is not null").groupBy("class").agg(
@@ -365,10 +368,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
     return rooted.join(lowest, "root", "left").select(
         "doc_id", "doc_key", "n_shingles", component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"), "root",
     )
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicates(docs).drop("doc_key")
+    return near_duplicates(docs).drop("doc_key", "root")

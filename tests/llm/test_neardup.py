@@ -7,6 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from hazardlens.llm import neardup
 from hazardlens.llm import words as W
 from hazardlens.llm.common import slices
@@ -114,3 +115,19 @@ def test_components_of_a_long_path(spark, tmp_path):
     roots = {r.node: r.root for r in connected_components(frame, str(tmp_path)).collect()}
     assert set(roots[i] for i in range(41)) == {0}
     assert roots[100] == roots[101] == roots[102] == 100
+
+
+def test_the_pipeline_keeps_one_of_each_group_whatever_the_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:at], "odd", *words[at + 1 :]]) for at in (0, 59)] + [" ".join(words)]
+    other = [" ".join(f"v{i}" for i in range(60 + n)) for n in range(3)]
+    rows = [(5, t) for t in near] + [(9, near[0]), (None, near[1])] + [(None, t) for t in [*other, other[0]]]
+    rows += [(None, "alone among those without an id"), (None, None), (5, ""), (7, " "), (7, "!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert [i for i, t in kept if t in near] == [5] and [i for i, t in kept if t in other] == [None]
+    rest = [r for r in kept if r[1] not in near + other]
+    assert sorted(rest, key=str) == sorted(rows[-5:], key=str)
+    assert sorted(kept, key=str) == sorted(
+        ((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs.repartition(5), "").collect()), key=str
+    )
