@@ -15,4 +15,4 @@ def test_query_matches_sql(spark, sf_dir, name):
 
 def test_one_query_per_operator():
     numbers = [int(name[2:].split("_")[0]) for name in catalog.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
