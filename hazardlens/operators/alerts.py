@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.operators.access import Page, paginate
 from hazardlens.operators.common import AsOf, moment, newest, recent, union_all
+from hazardlens.sources.tables import Table
 
 
 @dataclass(frozen=True)
@@ -141,7 +142,7 @@ RULES = {
 RULES_BY_SOURCE = {rule.source: rule for rule in RULES.values()}
 
 
-def candidates(df: DataFrame, rule: AlertRule, as_of: AsOf = None, lookback_hours: int | None = None) -> DataFrame:
+def candidates(df: Table, rule: AlertRule, as_of: AsOf = None, lookback_hours: int | None = None) -> DataFrame:
     """Rows that meet the rule within its look-back, before suppression."""
     hours = rule.lookback_hours if lookback_hours is None else lookback_hours
     if rule.time == "acq_date":
@@ -152,15 +153,18 @@ def candidates(df: DataFrame, rule: AlertRule, as_of: AsOf = None, lookback_hour
 
 
 def suppress_repeats(
-    rows: DataFrame, rule: AlertRule, alerts: DataFrame, as_of: AsOf = None, cooldown_hours: int | None = None
+    rows: DataFrame, rule: AlertRule, alerts: Table, as_of: AsOf = None, cooldown_hours: int | None = None,
+    besides_batch: int | None = None,
 ) -> DataFrame:
-    """Drop rows whose record already raised this alert within the cool-down.
+    """Drop rows whose record already raised this alert within the cool-down, in another batch.
 
     An anti join on the alert's record key; alerts without one suppress nothing. Of a stored
-    alert table only the days of the cool-down are read.
+    alert table only the files of alerts that still cool are opened, however many are stored.
     """
     hours = rule.cooldown_hours if cooldown_hours is None else cooldown_hours
-    cooling = recent(alerts.filter(F.col("alert_type") == rule.alert_type), "created_at", as_of, hours=hours)
+    cooling = recent(alerts, "created_at", as_of, hours=hours).filter(F.col("alert_type") == rule.alert_type)
+    if besides_batch is not None:
+        cooling = cooling.filter(F.col("batch_id") != besides_batch)
     known = cooling.select(F.col("record_key").alias("_key"))
     keyed = rows.withColumn("_key", rule.record_key())
     return keyed.join(known.filter(F.col("_key").isNotNull()), "_key", "left_anti").drop("_key")
@@ -186,23 +190,24 @@ def alert_rows(rows: DataFrame, rule: AlertRule, as_of: AsOf = None) -> DataFram
 
 
 def raise_alerts(
-    df: DataFrame,
+    df: Table,
     rule: AlertRule,
-    alerts: DataFrame | None = None,
+    alerts: Table | None = None,
     as_of: AsOf = None,
     lookback_hours: int | None = None,
     cooldown_hours: int | None = None,
+    besides_batch: int | None = None,
 ) -> DataFrame:
-    """New alerts of one rule."""
+    """New alerts of one rule; alerts of ``besides_batch``, an earlier attempt, suppress nothing."""
     rows = candidates(df, rule, as_of, lookback_hours)
     if alerts is not None:
-        rows = suppress_repeats(rows, rule, alerts, as_of, cooldown_hours)
+        rows = suppress_repeats(rows, rule, alerts, as_of, cooldown_hours, besides_batch)
     return alert_rows(rows, rule, as_of)
 
 
 def new_alerts(
-    processed: dict[str, DataFrame],
-    alerts: DataFrame | None = None,
+    processed: dict[str, Table],
+    alerts: Table | None = None,
     as_of: AsOf = None,
     lookback_hours: int | None = None,
 ) -> DataFrame:
@@ -212,7 +217,7 @@ def new_alerts(
     )
 
 
-def active_alerts(alerts: DataFrame, limit: int = 50) -> DataFrame:
+def active_alerts(alerts: Table, limit: int = 50) -> DataFrame:
     if not 1 <= limit <= 200:
         raise ValueError(f"limit must lie between 1 and 200, not {limit}")
     return (
@@ -227,11 +232,12 @@ def active_alerts(alerts: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def alert_history(
-    alerts: DataFrame,
+    alerts: Table,
     alert_type: str | None = None,
     severity: str | None = None,
     limit: int = 100,
     offset: int = 0,
+    after: Sequence[object] | None = None,
 ) -> Page:
     return paginate(
         alerts,
@@ -240,4 +246,5 @@ def alert_history(
         ties=["alert_type", "record_key"],
         limit=limit,
         offset=offset,
+        after=after,
     )

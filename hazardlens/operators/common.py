@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardlens.session import shared_dir
+from hazardlens.sources.tables import DATED_BY, StoredTable, Table
 
 AsOf = dt.datetime | Column | None
 
@@ -21,21 +22,28 @@ def moment(as_of: AsOf) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of)
 
 
-# Columns whose day is the ``event_date`` that stored tables are partitioned by: the event's own
-# time in the processed tables, the time of writing in alerts, anomalies, scores, metrics and logs.
-_DATED_BY = {"event_time", "observed_at", "acq_date", "created_at", "computed_at", "detected_at"}
+def instant(spark: SparkSession, as_of: AsOf) -> dt.datetime:
+    """The same instant as a value, as far as it is known while a plan is made."""
+    if isinstance(as_of, dt.datetime):
+        return as_of
+    return spark.range(1).select(moment(as_of).cast("timestamp")).first()[0]
 
 
-def recent(df: DataFrame, column: str, as_of: AsOf, *, hours: int = 0, days: int = 0) -> DataFrame:
+def recent(df: Table, column: str, as_of: AsOf, *, hours: int = 0, days: int = 0) -> DataFrame:
     """Rows whose ``column`` is not older than the look-back; there is no upper bound.
 
-    Dates look back whole days. On a stored table the same bound on ``event_date``
-    leaves only the folders of the look-back to be read.
+    Dates look back whole days. Of a stored table only the files that reach into the look-back
+    are opened, whatever ``column`` it is by; the same bound on ``event_date`` leaves only the
+    folders of the look-back of other tables to be read.
     """
     start = moment(as_of) - F.make_dt_interval(F.lit(days), F.lit(hours))
     first_day = F.to_date(start)
+    if isinstance(df, StoredTable):
+        from_ = instant(df.spark, as_of) - dt.timedelta(days=days, hours=hours)
+        # The day as seen here may be ahead of the session's.
+        df = df.not_before(column, from_.date() - dt.timedelta(days=1) if column == "acq_date" else from_)
     kept = df.filter(F.col(column) >= (first_day if column == "acq_date" else start))
-    if column in _DATED_BY and "event_date" in df.columns:
+    if column in DATED_BY and "event_date" in df.columns:
         kept = kept.filter(F.col("event_date") >= first_day)
     return kept
 

@@ -15,6 +15,7 @@ from hazardlens.constants import RISK_LEVELS, SOURCES
 from hazardlens.operators.common import (
     AsOf, count_by, first_per_key, moment, newest, newest_sql, positioned, recent, union_all,
 )
+from hazardlens.sources.tables import StoredTable, Table, counted
 
 EVENT_CLOCK = {
     "earthquakes": "event_time",
@@ -36,7 +37,7 @@ def checked_limit(limit: int, low: int, high: int) -> int:
     return limit
 
 
-def _recent_events(processed: dict[str, DataFrame], as_of: AsOf, hours: int) -> DataFrame:
+def _recent_events(processed: dict[str, Table], as_of: AsOf, hours: int) -> DataFrame:
     """(source, ts) of the last hours' events of the four feeds."""
     def feed(name: str) -> DataFrame:
         clock = EVENT_CLOCK[name]
@@ -47,21 +48,21 @@ def _recent_events(processed: dict[str, DataFrame], as_of: AsOf, hours: int) ->
 
 
 def dashboard_summary(
-    processed: dict[str, DataFrame], anomalies: DataFrame, alerts: DataFrame, as_of: AsOf = None
+    processed: dict[str, Table], anomalies: DataFrame, alerts: DataFrame, as_of: AsOf = None
 ) -> DataFrame:
     """One row of totals.
 
-    Table totals need no column at all and the last hour needs only its own folders,
+    Totals of stored tables come from their logs and the last hour needs only its own files,
     so they are counted apart and their one-row counts put together.
     """
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
+    def named(df: Table, name: str) -> DataFrame:
+        return counted(df).select(F.lit(name).alias("what"), "n")
 
-    parts = [counted(processed[name], f"total_{name}") for name in SOURCES]
+    parts = [named(processed[name], f"total_{name}") for name in SOURCES]
     parts += [
-        counted(anomalies, "total_anomalies"),
-        counted(alerts.filter("is_active"), "active_alerts"),
-        counted(_recent_events(processed, as_of, 1), "events_last_hour"),
+        named(anomalies, "total_anomalies"),
+        named(alerts.filter("is_active"), "active_alerts"),
+        named(_recent_events(processed, as_of, 1), "events_last_hour"),
     ]
     totals = [f"total_{name}" for name in SOURCES]
 
@@ -74,13 +75,13 @@ def dashboard_summary(
     )
 
 
-def events_per_hour(processed: dict[str, DataFrame], as_of: AsOf = None, hours: int = 24) -> DataFrame:
+def events_per_hour(processed: dict[str, Table], as_of: AsOf = None, hours: int = 24) -> DataFrame:
     checked_limit(hours, 1, 168)
     events = _recent_events(processed, as_of, hours)
     return count_by(events, "source", F.date_trunc("hour", "ts").alias("hour")).orderBy("source", "hour")
 
 
-def events_per_hour_matrix(processed: dict[str, DataFrame], as_of: AsOf = None, hours: int = 24) -> DataFrame:
+def events_per_hour_matrix(processed: dict[str, Table], as_of: AsOf = None, hours: int = 24) -> DataFrame:
     """Hours x sources; an hour appears if any source has it, empty cells are 0."""
     checked_limit(hours, 1, 168)
     events = _recent_events(processed, as_of, hours)
@@ -88,7 +89,7 @@ def events_per_hour_matrix(processed: dict[str, DataFrame], as_of: AsOf = None,
     return events.groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(*cells).orderBy("hour")
 
 
-def _recent_labels(processed: dict[str, DataFrame], as_of: AsOf, days: int) -> DataFrame:
+def _recent_labels(processed: dict[str, Table], as_of: AsOf, days: int) -> DataFrame:
     def labels(name: str) -> DataFrame:
         time = "acq_date" if name == "wildfires" else EVENT_CLOCK[name]
         rows = recent(processed[name], time, as_of, days=days)
@@ -97,18 +98,21 @@ def _recent_labels(processed: dict[str, DataFrame], as_of: AsOf, days: int) -> D
     return union_all([labels(name) for name in SOURCES])
 
 
-def risk_distribution_by_source(processed: dict[str, DataFrame], as_of: AsOf = None, days: int = 7) -> DataFrame:
+def risk_distribution_by_source(processed: dict[str, Table], as_of: AsOf = None, days: int = 7) -> DataFrame:
     return count_by(_recent_labels(processed, as_of, days), "source", "label")
 
 
-def risk_distribution_matrix(processed: dict[str, DataFrame], as_of: AsOf = None, days: int = 7) -> DataFrame:
+def risk_distribution_matrix(processed: dict[str, Table], as_of: AsOf = None, days: int = 7) -> DataFrame:
     """Labels x sources, empty cells 0."""
     cells = [F.count_if(F.col("source") == name).alias(name) for name in SOURCES]
     return _recent_labels(processed, as_of, days).groupBy("label").agg(*cells)
 
 
 def latest_risk_scores(risk_scores: DataFrame, since: dt.date | None = None) -> DataFrame:
-    """Newest score row of every region, of those computed from ``since`` on if it is given."""
+    """Newest score row of every region, of those computed from ``since`` on if it is given.
+
+    The table of newest scores that is kept beside the history (``risk_latest``) gives the same rows.
+    """
     if since is not None:
         risk_scores = risk_scores.filter(F.col("event_date" if "event_date" in risk_scores.columns else "computed_at") >= F.lit(since))
     rest = [c for c in risk_scores.columns if c not in ("region_name", "computed_at")]
@@ -157,19 +161,25 @@ def markers_fires(fires: DataFrame, as_of: AsOf = None, limit: int = 500) -> Dat
     )
 
 
-def _near_latest(df: DataFrame, since: dt.date | None, hours: int = 6) -> DataFrame:
+def _near_latest(df: Table, since: dt.date | None, hours: int = 6) -> DataFrame:
     """Rows not older than ``hours`` before the newest observation of the table.
 
-    A caller who knows a day on or before that leaves older folders of a stored table
-    unread by giving it as ``since``.
+    The log of a stored table knows the newest, and which files reach back that far. Of another
+    frame a caller who knows a day on or before that leaves older folders unread by ``since``.
     """
+    if isinstance(df, StoredTable):
+        newest = df.highest("observed_at")
+        if newest is None:
+            return df.rows
+        first = newest - hours * 3_600_000_000
+        return df.not_before("observed_at", first).filter(F.col("observed_at") >= F.timestamp_micros(F.lit(first)))
     if since is not None:
         df = df.filter(F.col("event_date" if "event_date" in df.columns else "observed_at") >= F.lit(since))
     newest_at = df.select(F.max("observed_at")).scalar()
     return df.filter(F.col("observed_at") >= newest_at - F.make_dt_interval(F.lit(0), F.lit(hours)))
 
 
-def markers_weather(weather: DataFrame, since: dt.date | None = None) -> DataFrame:
+def markers_weather(weather: Table, since: dt.date | None = None) -> DataFrame:
     return (
         _near_latest(weather, since)
         .select(
@@ -180,7 +190,7 @@ def markers_weather(weather: DataFrame, since: dt.date | None = None) -> DataFra
     )
 
 
-def markers_air_quality(air: DataFrame, since: dt.date | None = None) -> DataFrame:
+def markers_air_quality(air: Table, since: dt.date | None = None) -> DataFrame:
     return (
         _near_latest(air, since)
         .select("location_name", "latitude", "longitude", "us_aqi", "aqi_category", "observed_at")
@@ -194,7 +204,7 @@ def _entries(section: str, df: DataFrame) -> DataFrame:
 
 
 def analytics_snapshot(
-    processed: dict[str, DataFrame],
+    processed: dict[str, Table],
     anomalies: DataFrame,
     alerts: DataFrame,
     risk_scores: DataFrame,
@@ -222,7 +232,7 @@ def analytics_snapshot(
 
 
 def live_payload(
-    processed: dict[str, DataFrame],
+    processed: dict[str, Table],
     anomalies: DataFrame,
     alerts: DataFrame,
     risk_scores: DataFrame,

@@ -12,6 +12,7 @@ from hazardlens.operators.common import (
     AsOf, first_per_key, newest, newest_sql, recent, rounded, rounded_avg, small_table, union_all,
 )
 from hazardlens.operators.feeds import Feed
+from hazardlens.sources.tables import StoredTable, Table, counted
 
 
 def quality_funnel(flagged: DataFrame, feed: Feed, by: Sequence[str] = ("batch_id",)) -> DataFrame:
@@ -98,7 +99,10 @@ def quality_summary(metrics: DataFrame, source: str | None = None) -> DataFrame:
     )
 
 
-def recent_batches(metrics: DataFrame, source: str | None = None, limit: int = 20) -> DataFrame:
+def recent_batches(metrics: Table, source: str | None = None, limit: int = 20) -> DataFrame:
+    """The newest batches; of a stored table only the files that can hold them are opened."""
+    if isinstance(metrics, StoredTable):
+        metrics = (metrics if source is None else metrics.of_source(source)).newest("created_at", limit)
     return (
         _only(metrics, source)
         .select(
@@ -110,7 +114,7 @@ def recent_batches(metrics: DataFrame, source: str | None = None, limit: int = 2
     )
 
 
-def pipeline_health(metrics: DataFrame, as_of: AsOf = None, hours: int = 1) -> DataFrame:
+def pipeline_health(metrics: Table, as_of: AsOf = None, hours: int = 1) -> DataFrame:
     return (
         recent(metrics, "created_at", as_of, hours=hours)
         .groupBy("source")
@@ -123,7 +127,7 @@ def pipeline_health(metrics: DataFrame, as_of: AsOf = None, hours: int = 1) -> D
     )
 
 
-def error_counts(metrics: DataFrame, as_of: AsOf = None, hours: int = 24) -> DataFrame:
+def error_counts(metrics: Table, as_of: AsOf = None, hours: int = 24) -> DataFrame:
     """Sum of the three error counters per source (they overlap, as stored)."""
     errors = F.col("dropped_events") + F.col("validation_errors") + F.col("malformed_records")
     return (
@@ -133,7 +137,7 @@ def error_counts(metrics: DataFrame, as_of: AsOf = None, hours: int = 24) -> Dat
     )
 
 
-def ingestion_latency(logs: DataFrame, as_of: AsOf = None, hours: int = 1) -> DataFrame:
+def ingestion_latency(logs: Table, as_of: AsOf = None, hours: int = 1) -> DataFrame:
     return (
         recent(logs, "created_at", as_of, hours=hours)
         .filter(F.col("status") == "success")
@@ -159,7 +163,7 @@ def source_activity(logs: DataFrame, expected: Sequence[str] = tuple(INGESTION_S
     )
 
 
-def total_records(processed: dict[str, DataFrame]) -> DataFrame:
-    """Rows over the four processed tables."""
-    parts = [processed[name].agg(F.count("*").alias("n")) for name in SOURCES]
+def total_records(processed: dict[str, Table]) -> DataFrame:
+    """Rows over the four processed tables; those of stored tables come from their logs."""
+    parts = [counted(processed[name]) for name in SOURCES]
     return union_all(parts).agg(F.sum("n").alias("total_records"))

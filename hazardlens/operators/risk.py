@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hazardlens import constants as C
 from hazardlens.functions import geo, rules
 from hazardlens.operators.common import AsOf, moment, recent, small_table
+from hazardlens.sources.tables import Table
 
 _KM_PER_DEGREE = math.pi * C.EARTH_RADIUS_KM / 180.0
 
@@ -153,7 +154,8 @@ def _latest_points(df: DataFrame, regions: DataFrame, points: Column, name: str,
     neither sorted nor shuffled whole. (location, time) is unique in these tables.
 
     There is no limit on how old the newest observation may be unless the caller knows
-    one: ``since`` leaves older folders of a stored table unread.
+    one: ``since`` leaves older folders of a stored table unread. The table of newest
+    observations that is kept beside the history has no history to read.
     """
     if since is not None:
         df = df.filter(F.col("event_date" if "event_date" in df.columns else "observed_at") >= F.lit(since))
@@ -189,23 +191,26 @@ def air_quality_score(air: DataFrame, regions: DataFrame, since: dt.date | None
 
 
 def unified_risk(
-    processed: dict[str, DataFrame],
+    processed: dict[str, Table],
     regions: DataFrame,
     as_of: AsOf = None,
     lookback_hours: int = C.RISK_LOOKBACK_HOURS,
     radius_km: float = C.RISK_RADIUS_KM,
     since: dt.date | None = None,
+    latest: dict[str, Table] | None = None,
 ) -> DataFrame:
     """One scored row per region; the level follows the unrounded unified score.
 
-    Weather and air quality count with their newest observation, searched from ``since`` on.
+    Weather and air quality count with their newest observation: the one of ``latest``, the tables
+    kept of them (``weather_latest``, ``air_quality_latest``), or searched from ``since`` on.
     """
+    newest = processed if latest is None else latest
     cells = region_cells(regions, radius_km)
     parts = [
         _quake_peaks(processed["earthquakes"], cells, as_of, lookback_hours, radius_km),
         _fire_peaks(processed["wildfires"], cells, as_of, lookback_hours, radius_km),
-        _weather_latest(processed["weather"], regions, since),
-        _air_latest(processed["air_quality"], regions, since),
+        _weather_latest(newest["weather"], regions, since),
+        _air_latest(newest["air_quality"], regions, since),
     ]
     joined = regions
     for part in parts:

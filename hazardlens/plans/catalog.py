@@ -306,7 +306,7 @@ def source_activity(i: Inputs) -> DataFrame:
     return quality.source_activity(i.logs, [*INGESTION_SOURCES, "tide_gauges"])
 
 
-add("total_records", lambda i: quality.total_records(i.processed))
+add("total_records", lambda i: quality.total_records(i.stored))
 
 
 # --- dashboard --------------------------------------------------------------
@@ -321,8 +321,8 @@ add("regional_rankings", lambda i: dashboard.regional_rankings(i.risk_scores))
 add("latest_risk_scores", lambda i: dashboard.latest_risk_scores(i.risk_scores))
 add("markers_quakes", lambda i: dashboard.markers_quakes(i.quakes, AS_OF, 100))
 add("markers_fires", lambda i: dashboard.markers_fires(i.fires, AS_OF, 100))
-add("markers_weather", lambda i: dashboard.markers_weather(i.weather))
-add("markers_air_quality", lambda i: dashboard.markers_air_quality(i.air))
+add("markers_weather", lambda i: dashboard.markers_weather(i.store("weather")))
+add("markers_air_quality", lambda i: dashboard.markers_air_quality(i.store("air_quality")))
 def _fields(rows: DataFrame, fields: str, **columns: str) -> DataFrame:
     """Columns read back from the JSON entries: SQL expressions over the given fields."""
     parsed = rows.withColumn("entry", F.from_json("payload", fields)).select("section", "entry.*")
@@ -408,9 +408,9 @@ def events_within_radius(i: Inputs) -> DataFrame:
 
 add("quake_score", lambda i: risk.quake_score(i.quakes, i.regions, AS_OF, LOOKBACK_HOURS))
 add("fire_score", lambda i: risk.fire_score(i.fires, i.regions, AS_OF))
-add("weather_score", lambda i: risk.weather_score(i.weather, i.regions))
-add("air_quality_score", lambda i: risk.air_quality_score(i.air, i.regions))
-add("unified_risk", lambda i: risk.unified_risk(i.processed, i.regions, AS_OF))
+add("weather_score", lambda i: risk.weather_score(i.latest("weather"), i.regions))
+add("air_quality_score", lambda i: risk.air_quality_score(i.latest("air_quality"), i.regions))
+add("unified_risk", lambda i: risk.unified_risk(i.processed, i.regions, AS_OF, latest=i.latest_observations))
 add(
     "risk_level",
     lambda i: i.events.select("event_id", rules.risk_level("value").alias("risk_level")),
@@ -523,7 +523,7 @@ def paginated_query(i: Inputs) -> DataFrame:
 def paginated_deep(i: Inputs) -> DataFrame:
     """Fires share their time with all others of the day; the page is found by position."""
     ties = ["acq_time", "latitude", "longitude"]
-    page = access.paginate(i.fires, [], "acq_date", ties, limit=40, offset=333, near_rows=0)
+    page = access.paginate(i.store("wildfires"), [], "acq_date", ties, limit=40, offset=333, near_rows=60)
     return page.rows.select("acq_date", *ties)
 
 
@@ -549,13 +549,14 @@ add(
 def export_csv(i: Inputs) -> DataFrame:
     path = shared_dir(i.spark, "export")
     exports.export_csv(i.quakes, "earthquakes", path, 300)
-    return i.spark.read.option("header", True).csv(path).select("event_id", "risk_category", "status")
+    rows = i.spark.read.option("header", True).csv(path)
+    return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in i.quakes.dtypes])
 
 
 @query
 def export_json(i: Inputs) -> DataFrame:
     document = exports.export_document(i.air, "air_quality", 300, AS_OF)
-    schema = "data_type string, count bigint, records array<struct<location_name:string,us_aqi:int,aqi_category:string>>"
+    schema = f"data_type string, count bigint, records array<{i.air.schema.simpleString()}>"
     parsed = document.select(F.from_json("value", schema).alias("d")).select("d.*")
     return parsed.select("data_type", "count", F.inline("records"))
 

@@ -15,8 +15,8 @@ from hazardlens.operators.dashboard import EVENT_CLOCK
 from hazardlens.operators.feeds import FEEDS
 from hazardlens.plans import feeds
 from hazardlens.session import shared_dir, use_utc
-from hazardlens.sinks.tables import append_risk_scores, write_batch
-from hazardlens.sources.tables import scan_table
+from hazardlens.sinks.tables import append_risk_scores, latest_per, reduced, write_batch
+from hazardlens.sources.tables import StoredTable, open_table, scan_table
 
 AS_OF = feeds.AS_OF
 LOOKBACK_HOURS = 72
@@ -30,7 +30,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = use_utc(spark)
         self.sf_dir = sf_dir
-        self._stored: dict[str, DataFrame] = {}
+        self._stored: dict[str, StoredTable] = {}
 
     @cached_property
     def events(self) -> DataFrame:
@@ -105,16 +105,28 @@ class Inputs:
     def root(self) -> str:
         return shared_dir(self.spark, "tables")
 
-    def store(self, name: str) -> DataFrame:
+    def store(self, name: str) -> StoredTable:
         """A processed table, written once for queries that read it repeatedly."""
         if name not in self._stored:
             dated = self.one(name).withColumn("event_date", F.to_date(FEEDS[name].time))
             write_batch(dated, self.root, f"{name}_processed", 0, partition_by=["event_date"])
-            self._stored[name] = scan_table(self.spark, self.root, f"{name}_processed")
+            self._stored[name] = open_table(self.spark, self.root, f"{name}_processed")
         return self._stored[name]
 
+    def latest(self, name: str) -> DataFrame:
+        """The newest observation of every place, from the table that is kept of it."""
+        newest = latest_per("location_name", FEEDS[name].time)(self.one(name))
+        write_batch(newest, self.root, f"{name}_latest", 0)
+        return reduced(self.spark, self.root, f"{name}_latest")
+
+    @property
+    def latest_observations(self) -> dict[str, DataFrame]:
+        self.events, self.root  # shared by the jobs
+        with ThreadPoolExecutor(2) as jobs:
+            return dict(zip(("weather", "air_quality"), jobs.map(self.latest, ("weather", "air_quality"))))
+
     @property
-    def stored(self) -> dict[str, DataFrame]:
+    def stored(self) -> dict[str, StoredTable]:
         """All processed tables; their write jobs do not depend on each other."""
         self.events, self.root  # shared by the jobs
         with ThreadPoolExecutor(len(FEEDS)) as jobs:
@@ -126,17 +138,20 @@ class Inputs:
 
     @cached_property
     def risk_scores(self) -> DataFrame:
-        """The score table after a run at each of ``SCORED_AT``."""
+        """The newest scores that are kept beside the history, after a run at each of ``SCORED_AT``."""
+        self.stored  # written at the same time
         for run, moment in enumerate(SCORED_AT):
             known = {n: self.known_at(n, moment) for n in FEEDS}
             append_risk_scores(risk.unified_risk(known, self.regions, moment), self.root, run)
-        return scan_table(self.spark, self.root, "risk_scores").drop("batch_id", "event_date")
+        return reduced(self.spark, self.root, "risk_latest").drop("batch_id")
 
     def alerts_of(self, *alert_types: str) -> DataFrame:
         """The alert table after two runs, the second subject to the first one's cool-down."""
         rules = [alerts.RULES[t] for t in alert_types]
+        if len(rules) == len(FEEDS):
+            self.stored  # written at the same time
         for run, moment in enumerate(ALERTED_AT):
-            earlier = scan_table(self.spark, self.root, "alerts", missing_is_empty=True).drop("batch_id")
+            earlier = open_table(self.spark, self.root, "alerts", missing_is_empty=True)
             known = {r.source: self.known_at(r.source, moment) for r in rules}
             raised = [
                 alerts.raise_alerts(known[r.source], r, earlier, moment, LOOKBACK_HOURS) for r in rules

@@ -608,10 +608,10 @@ and aqi_category = 'Hazardous' order by observed_at desc limit 500""",
 order by {_order('acq_date acq_time latitude longitude')} limit 50""",
     "list_anomalies": """select *, event_time as detected_at from anomalies where source = 'weather' and severity = 'Critical'
 and event_type = 'severe_weather_event' order by event_time desc, latitude desc, longitude desc, description desc limit 50""",
-    "export_csv": f"""select event_id, risk_category, status from earthquakes order by
+    "export_csv": f"""select {QUAKE_COLUMNS} from earthquakes order by
   {_order('event_time event_id')} limit 300""",
     "export_json": f"""select 'air_quality' as data_type, cast(least(300, (select count(*) from air_quality)) as bigint) as count,
-  location_name, us_aqi, aqi_category from (select * from air_quality order by {_order('observed_at location_name')} limit 300)""",
+  * from (select * from air_quality order by {_order('observed_at location_name')} limit 300)""",
     "src_json_stream": "select * from weather_feed",
     "stream_etl_earthquakes": f"select {QUAKE_COLUMNS} from earthquakes",
     "stream_etl_weather": "select * from weather",

@@ -87,7 +87,7 @@ TABLES = {
         " records_per_minute double, created_at timestamp, event_date date, batch_id bigint"
     ),
     "ingestion_logs": columns(
-        "source string, status string, records_count int, latency_ms double, error_message string, created_at timestamp,"
+        "source string, status string, records_count bigint, latency_ms double, error_message string, created_at timestamp,"
         " event_date date, batch_id bigint"
     ),
     "risk_scores": columns(
@@ -95,6 +95,15 @@ TABLES = {
         " weather_score double, air_quality_score double, unified_score double, risk_level string, computed_at timestamp,"
         " event_date date, batch_id bigint"
     ),
+    "risk_latest": columns(
+        "region_name string, latitude double, longitude double, earthquake_score double, wildfire_score double,"
+        " weather_score double, air_quality_score double, unified_score double, risk_level string, computed_at timestamp, batch_id bigint"
+    ),
+    "weather_latest": columns(
+        f"{_WEATHER}, heat_index double, rain_severity string, wind_severity string, storm_severity string, batch_id bigint"
+    ),
+    "air_quality_latest": columns(f"{_AIR}, aqi_category string, batch_id bigint"),
+    "events_per_hour": columns("source string, hour timestamp, count bigint, batch_id bigint"),
     "alerts": columns(
         "alert_type string, source string, severity string, title string, description string, latitude double, longitude double,"
         " region_name string, metadata string, record_key string, is_active boolean, created_at timestamp, resolved_at timestamp, event_date date, batch_id bigint"

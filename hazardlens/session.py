@@ -12,6 +12,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: A state store that keeps its keys on disk and writes what a batch changes only.
+KEYED_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def build_session(app_name: str = "hazardlens", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -20,9 +27,7 @@ def build_session(app_name: str = "hazardlens", master: str | None = None, **con
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.streaming.stateStore.providerClass": (
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-        ),
+        **KEYED_STATE,
         **conf,
     }
     for key, value in settings.items():
@@ -37,6 +42,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_keyed_state(spark: SparkSession) -> SparkSession:
+    """Streams that start from now on keep their state in a keyed store."""
+    for key, value in KEYED_STATE.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 _made: list[tuple[SparkSession, str]] = []
 
 

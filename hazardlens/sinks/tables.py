@@ -2,49 +2,81 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardlens.constants import JDBC_ATTEMPTS, JDBC_BATCH_SIZE, JDBC_DELAY_SECONDS
-from hazardlens.sources.tables import scan_table
+from hazardlens.operators.common import first_per_key, newest_sql
+from hazardlens.schemas import TABLES
+from hazardlens.sources.tables import open_table, scan_table
+from hazardlens.tablelog import NO_DAY, Log
 
 
 def write_batch(
     df: DataFrame, root: str, table: str, batch_id: int,
     source: str | None = None, partition_by: Sequence[str] = (), dated_by: str | None = None,
+    schema: T.StructType | None = None,
 ) -> None:
-    """Replace what one batch holds in a table.
+    """Replace what one batch holds in a table, in one step that readers see whole or not at all.
 
-    Folders are by the source for a table that several streams share, so that their commits do not
-    meet, then by ``partition_by``, usually the day, and by the batch last: a look-back reads the
-    folders of its days only. ``dated_by`` names the time whose day becomes ``event_date``. Writing
-    the same batch again removes its own earlier attempt, in whatever folders it was, and nothing
-    else.
+    A table that several streams share has a log for each ``source``, so that their commits do not
+    meet. Rows are kept by their ``event_date`` if that is given in ``partition_by`` or follows from
+    the time ``dated_by``: a look-back reads the files of its days only. Writing the same batch again
+    replaces its own earlier attempt and nothing else. Tables of ``REDUCED`` keep one row per key.
     """
     folder = f"{root}/{table}" + (f"/source={source}" if source else "")
     rows = df.drop("batch_id", "source") if source else df.drop("batch_id")
     if dated_by:
         rows = rows.withColumn("event_date", F.to_date(dated_by))
-        partition_by = ["event_date", *partition_by]
-    _remove(df.sparkSession, "/".join([folder, *["*"] * len(partition_by), f"batch_id={batch_id}"]))
-    if not partition_by:
-        rows.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
-        return
-    # One writer per folder, except where a folder is too big for one: adaptive
-    # execution merges small shuffle partitions and splits large ones.
-    rows = rows.hint("rebalance", *[F.col(c) for c in partition_by]).withColumn("batch_id", F.lit(batch_id))
-    rows.write.mode("append").partitionBy(*partition_by, "batch_id").parquet(folder)
+    dated = bool(dated_by) or "event_date" in partition_by
+    log = Log(df.sparkSession, folder, f"{root}/{table}")
+    log.replace_batch(rows, schema or TABLES[table], dated, batch_id, REDUCED.get(table))
 
 
-def _remove(spark: SparkSession, pattern: str) -> None:
-    """Delete the folders that a pattern names, through the file system they are in."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in system.globStatus(path) or []:
-        system.delete(status.getPath(), True)
+def compact(spark: SparkSession, root: str, table: str, before: dt.date | None = None, at: int = 2) -> None:
+    """Fold the small files of closed days, or of all days, into few; one step per day and level.
+
+    The newest batch of a log is left as it is, for it may be replayed.
+    """
+    stored = open_table(spark, root, table)
+    for _, log, head in stored.logs:
+        days = [d for d in head["days"] if before is None or d < str(before)]
+        newest = max((d["last_batch"] for d in head["days"].values()), default=0)
+        dated = NO_DAY not in head["days"]
+        log.fold(stored.schema_of_table, dated, newest, days, REDUCED.get(table), at)
+
+
+def latest_per(key: str, time: str) -> Callable[[DataFrame], DataFrame]:
+    """The newest row of every ``key``; ties go by the other columns, the batch last."""
+    def reduce(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (key, time, "batch_id", "event_date")]
+        return first_per_key(rows, [key], newest_sql([time, *rest, *(c for c in ("batch_id",) if c in rows.columns)]))
+
+    return reduce
+
+
+def _added_up(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("source", "hour").agg(F.sum("count").alias("count"), F.max("batch_id").alias("batch_id"))
+
+
+#: Tables whose small files are reduced to one row per key when they are folded. A reader reduces
+#: what is there once more, as unfolded files may repeat a key.
+REDUCED: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "weather_latest": latest_per("location_name", "observed_at"),
+    "air_quality_latest": latest_per("location_name", "observed_at"),
+    "risk_latest": latest_per("region_name", "computed_at"),
+    "events_per_hour": _added_up,
+}
+
+
+def reduced(spark: SparkSession, root: str, table: str, missing_is_empty: bool = False) -> DataFrame:
+    """One row per key of a table of ``REDUCED``: a folded base and at most a few dozen batches."""
+    return REDUCED[table](open_table(spark, root, table, missing_is_empty).rows)
 
 
 #: Folders per metric and horizon that the places of forecasts are dealt to.
@@ -82,8 +114,10 @@ def append_snapshot(snapshot: DataFrame, root: str, run_id: int) -> None:
 
 
 def append_risk_scores(scores: DataFrame, root: str, run_id: int) -> None:
-    """Add the scores of a run; the same run again replaces its own."""
+    """Add the scores of a run, and keep the newest of every region at hand; the same run again
+    replaces its own."""
     write_batch(scores, root, "risk_scores", run_id, dated_by="computed_at")
+    write_batch(scores, root, "risk_latest", run_id)
 
 
 def with_retries(

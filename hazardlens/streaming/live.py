@@ -1,26 +1,24 @@
-"""Stateful streams: hourly counts and deduplication across batches.
+"""Hourly counts and deduplication across batches.
 
-Neither has a watermark, so no record is dropped for being late: hourly state is one row per
-source and hour, and the keys seen before are looked up in the stored table.
+Neither has a watermark, so no record is dropped for being late: hourly counts are added up from
+those of the batches, and the keys seen before are kept in Spark's state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+from pyspark.storagelevel import StorageLevel
 
-from hazardlens.operators.cleaning import skip_existing
 from hazardlens.operators.common import first_per_key
 from hazardlens.operators.feeds import Feed
-from hazardlens.sinks.tables import write_batch
-
-#: Folders that the keys of a table are dealt to; a batch reads those of its own keys.
-KEY_BUCKETS = 64
-
-HOURLY = "source string, hour timestamp, count bigint, batch_id bigint"
+from hazardlens.session import use_keyed_state
+from hazardlens.sinks.tables import reduced, write_batch
+from hazardlens.sources.tables import open_table
 
 
 def events_per_hour(events: DataFrame) -> DataFrame:
@@ -31,69 +29,95 @@ def events_per_hour(events: DataFrame) -> DataFrame:
 
 
 def stream_events_per_hour(events: DataFrame, root: str, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Store the counts of every hour that a batch has changed, open hours and late events included."""
-    def process(changed: DataFrame, batch_id: int) -> None:
-        write_batch(changed, root, "events_per_hour", batch_id)
+    """Store each batch's counts per hour; they add up when they are read and when files are folded.
+
+    There is no state: a batch counts its own events, so late ones count in their hour at any time,
+    and a closed hour costs nothing. A replayed batch replaces its counts.
+    """
+    def process(batch: DataFrame, batch_id: int) -> None:
+        write_batch(events_per_hour(batch), root, "events_per_hour", batch_id)
 
     return (
-        events_per_hour(events).writeStream.outputMode("update").foreachBatch(process)
-        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
+        events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
 def hourly_counts(spark: SparkSession, root: str) -> DataFrame:
-    """The newest stored count of every source and hour."""
-    stored = spark.read.schema(HOURLY).parquet(f"{root}/events_per_hour")
-    return stored.groupBy("source", "hour").agg(F.max_by("count", "batch_id").alias("count"))
+    """Events per source and hour of all batches."""
+    return reduced(spark, root, "events_per_hour").drop("batch_id")
+
 
+#: Marks the rows of a stream that name a key which was never there before.
+NEW_KEY = "_new_key"
+#: Marks keys that were stored before the stream began.
+_KNOWN = "_known"
 
-def _key_bucket(keys: tuple[str, ...]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int")
+
+def with_new_keys(records: DataFrame, valid: DataFrame, keys: Sequence[str], known: DataFrame | None = None) -> DataFrame:
+    """``records``, and a row with ``NEW_KEY`` for each key that ``valid`` holds for the first time.
+
+    The keys seen are Spark's state, exact and without a watermark, in a keyed store: what a batch
+    costs depends on its own keys, not on those seen before. The record that stays is chosen among
+    the batch's own, so it does not depend on their order in the stream. ``known`` is a stream of
+    keys that are not new.
+    """
+    use_keyed_state(records.sparkSession)
+    arrived = valid.select(*keys, F.lit(False).alias(_KNOWN))
+    if known is not None:
+        arrived = arrived.unionByName(known.select(*keys, F.lit(True).alias(_KNOWN)))
+    new = arrived.dropDuplicates(list(keys)).filter(~F.col(_KNOWN)).drop(_KNOWN)
+    return records.withColumn(NEW_KEY, F.lit(False)).unionByName(new.withColumn(NEW_KEY, F.lit(True)), allowMissingColumns=True)
+
+
+def split_new_keys(batch: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """A batch's records and its new keys; None if its stream does not mark them."""
+    if NEW_KEY not in batch.columns:
+        return batch, None
+    return batch.filter(~F.col(NEW_KEY)).drop(NEW_KEY), batch.filter(NEW_KEY).select(*keys)
+
+
+def only_new(rows: DataFrame, new_keys: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key is new, NULL-safe on every part."""
+    named = new_keys.select(*[F.col(k).alias(f"_new_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys]
+    return rows.join(named, same, "left_semi")
 
 
 def stream_dedup(records: DataFrame, feed: Feed, root: str, checkpoint: str, trigger: dict) -> StreamingQuery:
     """Store the first arrival of every natural key, however late it is.
 
-    Repeats within a batch go by the feed's order; against earlier batches the batch's keys
-    are joined with the stored ones of the same buckets. A replayed batch leaves its own
-    rows out of that and so decides as before.
+    Repeats within a batch go by the feed's order; whether a key was there in an earlier batch is
+    Spark's keyed state, see ``with_new_keys``. No stored row is read.
     """
+    keys = list(feed.key)
+
     def process(batch: DataFrame, batch_id: int) -> None:
-        keys = tuple(feed.key)
-        rest = [c for c in batch.columns if c not in keys and c != feed.time]
-        order = ", ".join(f"`{c}` ASC NULLS LAST" for c in [feed.time, *rest])
-        unique = first_per_key(batch, keys, order).withColumn("key_bucket", _key_bucket(keys))
-        stored = _first_arrivals(batch.sparkSession, root, batch.schema)
-        if stored is not None:
-            touched = [r.key_bucket for r in unique.select("key_bucket").distinct().collect()]
-            known = stored.filter(F.col("key_bucket").isin(touched) & (F.col("batch_id") != batch_id))
-            unique = skip_existing(unique, known, keys)
-        (
-            unique.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("key_bucket", "batch_id").parquet(f"{root}/first_arrivals")
-        )
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            rows, new_keys = split_new_keys(batch, keys)
+            rest = [c for c in rows.columns if c not in keys and c != feed.time]
+            order = ", ".join(f"`{c}` ASC NULLS LAST" for c in [feed.time, *rest])
+            first = first_per_key(only_new(rows, new_keys, keys), keys, order)
+            # Kept by the day of arrival: one day per batch, however old its records are.
+            arrived = first.withColumn("event_date", F.current_date())
+            write_batch(arrived, root, "first_arrivals", batch_id, partition_by=["event_date"], schema=_arrivals(rows.schema))
+        finally:
+            batch.unpersist()
 
     return (
-        records.writeStream.foreachBatch(process)
+        with_new_keys(records, records, keys).writeStream.foreachBatch(process)
         .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
-def _first_arrivals(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame | None:
-    fields = T.StructType([*schema.fields, T.StructField("key_bucket", T.IntegerType()), T.StructField("batch_id", T.LongType())])
-    try:
-        return spark.read.schema(fields).parquet(f"{root}/first_arrivals")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def _arrivals(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("event_date", T.DateType()), T.StructField("batch_id", T.LongType())])
 
 
 def first_arrivals(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     """The rows that ``stream_dedup`` has stored."""
-    found = _first_arrivals(spark, root, schema)
-    return spark.createDataFrame([], schema) if found is None else found.drop("key_bucket", "batch_id")
+    stored = open_table(spark, root, "first_arrivals", missing_is_empty=True, schema=_arrivals(schema))
+    return stored.drop("event_date", "batch_id")
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict) -> StreamingQuery:
