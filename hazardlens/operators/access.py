@@ -113,9 +113,11 @@ def _narrowed(rows: DataFrame, columns: Sequence[str], offset: int, limit: int,
         if offset + limit <= near_rows:
             break
         sampled = rows.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(SPLITTERS).collect()
+        if not sampled:
+            return rows, 0
         behind = [_behind(columns, row) for row in sampled]
         # How many rows come before the end of each sampled row's equals.
-        upto = rows.agg(*[F.count_if(~b).alias(f"n{i}") for i, b in enumerate(behind)]).first() if behind else []
+        upto = rows.agg(*[F.count_if(~b).alias(f"n{i}") for i, b in enumerate(behind)]).first()
         first = max((i for i in range(len(behind)) if upto[i] <= offset), key=lambda i: upto[i], default=None)
         last = min((i for i in range(len(behind)) if upto[i] >= offset + limit), key=lambda i: upto[i], default=None)
         if first is None and (last is None or upto[last] == max(upto)):

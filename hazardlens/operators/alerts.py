@@ -153,18 +153,15 @@ def candidates(df: Table, rule: AlertRule, as_of: AsOf = None, lookback_hours: i
 
 
 def suppress_repeats(
-    rows: DataFrame, rule: AlertRule, alerts: Table, as_of: AsOf = None, cooldown_hours: int | None = None,
-    besides_batch: int | None = None,
+    rows: DataFrame, rule: AlertRule, alerts: Table, as_of: AsOf = None, cooldown_hours: int | None = None
 ) -> DataFrame:
-    """Drop rows whose record already raised this alert within the cool-down, in another batch.
+    """Drop rows whose record already raised this alert within the cool-down.
 
     An anti join on the alert's record key; alerts without one suppress nothing. Of a stored
     alert table only the files of alerts that still cool are opened, however many are stored.
     """
     hours = rule.cooldown_hours if cooldown_hours is None else cooldown_hours
     cooling = recent(alerts, "created_at", as_of, hours=hours).filter(F.col("alert_type") == rule.alert_type)
-    if besides_batch is not None:
-        cooling = cooling.filter(F.col("batch_id") != besides_batch)
     known = cooling.select(F.col("record_key").alias("_key"))
     keyed = rows.withColumn("_key", rule.record_key())
     return keyed.join(known.filter(F.col("_key").isNotNull()), "_key", "left_anti").drop("_key")
@@ -196,12 +193,11 @@ def raise_alerts(
     as_of: AsOf = None,
     lookback_hours: int | None = None,
     cooldown_hours: int | None = None,
-    besides_batch: int | None = None,
 ) -> DataFrame:
-    """New alerts of one rule; alerts of ``besides_batch``, an earlier attempt, suppress nothing."""
+    """New alerts of one rule."""
     rows = candidates(df, rule, as_of, lookback_hours)
     if alerts is not None:
-        rows = suppress_repeats(rows, rule, alerts, as_of, cooldown_hours, besides_batch)
+        rows = suppress_repeats(rows, rule, alerts, as_of, cooldown_hours)
     return alert_rows(rows, rule, as_of)
 
 

@@ -20,14 +20,15 @@ from hazardlens.tablelog import NO_DAY, Log
 def write_batch(
     df: DataFrame, root: str, table: str, batch_id: int,
     source: str | None = None, partition_by: Sequence[str] = (), dated_by: str | None = None,
-    schema: T.StructType | None = None,
+    schema: T.StructType | None = None, writer: str = "",
 ) -> None:
     """Replace what one batch holds in a table, in one step that readers see whole or not at all.
 
     A table that several streams share has a log for each ``source``, so that their commits do not
     meet. Rows are kept by their ``event_date`` if that is given in ``partition_by`` or follows from
     the time ``dated_by``: a look-back reads the files of its days only. Writing the same batch again
-    replaces its own earlier attempt and nothing else. Tables of ``REDUCED`` keep one row per key.
+    replaces its own earlier attempt and nothing else; ``writer`` tells apart queries that number
+    their batches each on its own. Tables of ``REDUCED`` keep one row per key.
     """
     folder = f"{root}/{table}" + (f"/source={source}" if source else "")
     rows = df.drop("batch_id", "source") if source else df.drop("batch_id")
@@ -35,20 +36,24 @@ def write_batch(
         rows = rows.withColumn("event_date", F.to_date(dated_by))
     dated = bool(dated_by) or "event_date" in partition_by
     log = Log(df.sparkSession, folder, f"{root}/{table}")
-    log.replace_batch(rows, schema or TABLES[table], dated, batch_id, REDUCED.get(table))
+    log.replace_batch(rows, schema or TABLES[table], dated, batch_id, writer, REDUCED.get(table))
 
 
 def compact(spark: SparkSession, root: str, table: str, before: dt.date | None = None, at: int = 2) -> None:
-    """Fold the small files of closed days, or of all days, into few; one step per day and level.
+    """Fold the small files of closed days, or of all days, into few; one step per day.
 
-    The newest batch of a log is left as it is, for it may be replayed.
+    The newest batch of each writer is left as it is, for it may be replayed.
     """
     stored = open_table(spark, root, table)
     for _, log, head in stored.logs:
         days = [d for d in head["days"] if before is None or d < str(before)]
-        newest = max((d["last_batch"] for d in head["days"].values()), default=0)
-        dated = NO_DAY not in head["days"]
-        log.fold(stored.schema_of_table, dated, newest, days, REDUCED.get(table), at)
+        newest: dict[str, int] = {}
+        for f in log.files(head):
+            newest[f.writer] = max(newest.get(f.writer, f.last_batch), f.last_batch)
+        log.fold(
+            stored.schema_of_table, NO_DAY not in head["days"], lambda f, newest=newest: f.last_batch >= newest[f.writer],
+            days, REDUCED.get(table), at, together=True,
+        )
 
 
 def latest_per(key: str, time: str) -> Callable[[DataFrame], DataFrame]:

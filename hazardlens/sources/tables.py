@@ -30,8 +30,11 @@ class StoredTable:
     hold such rows are opened. Counts and newest instants come from the logs alone.
     """
 
-    def __init__(self, spark: SparkSession, base: str, schema: T.StructType, logs: list[tuple[str, Log, dict]]) -> None:
-        self.spark, self.base, self.schema_of_table, self.logs = spark, base, schema, logs
+    def __init__(
+        self, spark: SparkSession, base: str, schema: T.StructType, logs: list[tuple[str, Log, dict]],
+        left_out: Callable[[DataFile], bool] | None = None,
+    ) -> None:
+        self.spark, self.base, self.schema_of_table, self.logs, self.left_out = spark, base, schema, logs, left_out
 
     def __getattr__(self, name: str):
         if name.startswith("__"):
@@ -45,7 +48,8 @@ class StoredTable:
     def _files(self, day: Callable[[dict], bool], file: Callable[[DataFile], bool]) -> list[tuple[Log, DataFile]]:
         return [
             (log, f) for _, log, head in self.logs
-            for f in log.files(head, [d for d, summary in head["days"].items() if day(summary)]) if file(f)
+            for f in log.files(head, [d for d, summary in head["days"].items() if day(summary)])
+            if file(f) and not (self.left_out and self.left_out(f))
         ]
 
     def _read(self, day: Callable[[dict], bool], file: Callable[[DataFile], bool]) -> DataFrame:
@@ -54,15 +58,23 @@ class StoredTable:
 
     def of_source(self, source: str) -> StoredTable:
         """The part that one source's stream has written."""
-        return StoredTable(self.spark, self.base, self.schema_of_table, [own for own in self.logs if own[0] == source])
+        own = [own for own in self.logs if own[0] == source]
+        return StoredTable(self.spark, self.base, self.schema_of_table, own, self.left_out)
 
-    def of_days(self, days: Sequence[dt.date]) -> DataFrame:
+    def besides(self, writer: str, batch_id: int) -> StoredTable:
+        """The rows without those of an earlier attempt at a writer's newest batch. Counts and
+        newest instants still include it."""
+        own = lambda f: f.writer == writer and f.first_batch == f.last_batch == batch_id
+        return StoredTable(self.spark, self.base, self.schema_of_table, self.logs, own)
+
+    def of_days(self, days: Sequence[dt.date | str]) -> DataFrame:
         """The rows of some event days."""
         names = {str(day) for day in days}
-        paths = [
-            f"{log.folder}/{f.path}" for _, log, head in self.logs for f in log.files(head, [d for d in head["days"] if d in names])
+        found = [
+            (log, f) for _, log, head in self.logs for f in log.files(head, [d for d in head["days"] if d in names])
+            if not (self.left_out and self.left_out(f))
         ]
-        return read_files(self.spark, self.base, paths, self.schema_of_table)
+        return read_files(self.spark, self.base, [f"{log.folder}/{f.path}" for log, f in found], self.schema_of_table)
 
     def _number(self, column: str, moment: dt.date | int) -> int:
         """A bound of a column as the logs have its values."""

@@ -23,25 +23,25 @@ from hazardlens.schemas import TABLES
 from hazardlens.sinks.tables import REDUCED, latest_per, write_batch
 from hazardlens.sources.tables import open_table
 from hazardlens.sources.wire import CORRUPT, decode
-from hazardlens.streaming.live import only_new, split_new_keys, with_new_keys
+from hazardlens.streaming.live import only_new, query_of, split_new_keys, with_new_keys
 
 BatchFunction = Callable[[DataFrame, int], None]
 
 
-def _not_stored_yet(rows: DataFrame, feed: Feed, root: str, batch_id: int) -> DataFrame:
+def _not_stored_yet(rows: DataFrame, feed: Feed, root: str, writer: str, batch_id: int) -> DataFrame:
     """Rows new to the processed table, whatever other batches have written.
 
     The batch's own rows are left out, so a replay decides as the first attempt did. Where the
     event date follows from the key, only the dates of this batch are read; otherwise (quakes, in
     a batch whose stream does not mark new keys) the key column of the whole table is.
     """
-    stored = open_table(rows.sparkSession, root, f"{feed.name}_processed", missing_is_empty=True)
+    stored = open_table(rows.sparkSession, root, f"{feed.name}_processed", missing_is_empty=True).besides(writer, batch_id)
     if feed.time in feed.key:
         days = [r.event_date for r in rows.select("event_date").distinct().collect()]
         known = stored.of_days(days)
     else:
         known = stored.rows
-    return skip_existing(rows, known.filter(F.col("batch_id") != batch_id), feed.key)
+    return skip_existing(rows, known, feed.key)
 
 
 def _together(*jobs: Callable[[], None]) -> None:
@@ -67,23 +67,23 @@ def feed_writer(
     """
     stamp = F.current_timestamp() if processed_at is None else processed_at
 
-    def log_ingestion(spark: SparkSession, batch_id: int, records: int, started: float, error: str | None) -> None:
+    def log_ingestion(spark: SparkSession, writer: str, batch_id: int, records: int, started: float, error: str | None) -> None:
         """What became of a batch; a replay replaces the entry of the failed attempt."""
         status = "success" if error is None else "error"
         row = [(status, records, (time.time() - started) * 1000, error)]
         schema = "status string, records_count long, latency_ms double, error_message string"
         entry = spark.createDataFrame(row, schema).withColumn("created_at", stamp)
-        write_batch(entry, root, "ingestion_logs", batch_id, source=INGESTION_NAME[feed.name], dated_by="created_at")
+        write_batch(entry, root, "ingestion_logs", batch_id, source=INGESTION_NAME[feed.name], dated_by="created_at", writer=writer)
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        started = time.time()
+        started, writer = time.time(), query_of(batch)
         try:
-            store_batch(batch, batch_id, started)
+            store_batch(batch, writer, batch_id, started)
         except Exception as error:
-            log_ingestion(batch.sparkSession, batch_id, 0, started, str(error)[:500])
+            log_ingestion(batch.sparkSession, writer, batch_id, 0, started, str(error)[:500])
             raise
 
-    def store_batch(batch: DataFrame, batch_id: int, started: float) -> None:
+    def store_batch(batch: DataFrame, writer: str, batch_id: int, started: float) -> None:
         spark = batch.sparkSession
         marked = batch.persist(StorageLevel.MEMORY_AND_DISK)
         batch, new_keys = split_new_keys(marked, feed.key)
@@ -94,10 +94,10 @@ def feed_writer(
             writing = time.time()
             raw_columns = [f.name for f in TABLES[f"{feed.name}_raw"] if f.name in flagged.columns]
             raw = feed.typed(batch).select(*raw_columns).withColumn("ingested_at", stamp)
-            write_batch(raw, root, f"{feed.name}_raw", batch_id, dated_by="ingested_at")
+            write_batch(raw, root, f"{feed.name}_raw", batch_id, dated_by="ingested_at", writer=writer)
             if CORRUPT in flagged.columns:
                 bad = flagged.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("record"))
-                write_batch(bad, root, "quarantine", batch_id, source=feed.name)
+                write_batch(bad, root, "quarantine", batch_id, source=feed.name, writer=writer)
             write_ms["raw"] = (time.time() - writing) * 1000
 
         def write_processed() -> None:
@@ -106,12 +106,12 @@ def feed_writer(
             fresh = dated if new_keys is None else only_new(dated, new_keys, feed.key)
             # The first batch of a stream also meets keys that the table got before.
             if new_keys is None or batch_id == 0:
-                fresh = _not_stored_yet(fresh, feed, root, batch_id)
+                fresh = _not_stored_yet(fresh, feed, root, writer, batch_id)
             fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 writing = time.time()
                 processed = fresh.withColumn("processed_at", stamp)
-                write_batch(processed, root, f"{feed.name}_processed", batch_id, partition_by=["event_date"])
+                write_batch(processed, root, f"{feed.name}_processed", batch_id, partition_by=["event_date"], writer=writer)
                 write_ms["processed"] = (time.time() - writing) * 1000
                 enriched = fresh.drop("event_date")
                 jobs = [lambda: write_anomalies(enriched)]
@@ -119,7 +119,7 @@ def feed_writer(
                     jobs.append(lambda: write_alerts(enriched))
                 if f"{feed.name}_latest" in REDUCED:
                     newest = latest_per("location_name", feed.time)(enriched)
-                    jobs.append(lambda: write_batch(newest, root, f"{feed.name}_latest", batch_id))
+                    jobs.append(lambda: write_batch(newest, root, f"{feed.name}_latest", batch_id, writer=writer))
                 _together(*jobs)
             finally:
                 fresh.unpersist()
@@ -127,16 +127,16 @@ def feed_writer(
 
         def write_anomalies(enriched: DataFrame) -> None:
             anomalies = anomalies_of(feed.name, enriched).withColumn("detected_at", stamp)
-            write_batch(anomalies, root, "anomaly_events", batch_id, source=feed.name, dated_by="detected_at")
+            write_batch(anomalies, root, "anomaly_events", batch_id, source=feed.name, dated_by="detected_at", writer=writer)
 
         def write_alerts(enriched: DataFrame) -> None:
             stored = open_table(spark, root, "alerts", missing_is_empty=True).of_source(feed.name)
-            raised = alerting.raise_alerts(enriched, alert_rule, stored, as_of, lookback_hours, besides_batch=batch_id)
-            write_batch(raised, root, "alerts", batch_id, source=feed.name, dated_by="created_at")
+            raised = alerting.raise_alerts(enriched, alert_rule, stored.besides(writer, batch_id), as_of, lookback_hours)
+            write_batch(raised, root, "alerts", batch_id, source=feed.name, dated_by="created_at", writer=writer)
 
         def write_quality() -> None:
             metrics = spark.createDataFrame([counts], counts.__fields__).withColumn("created_at", stamp)
-            write_batch(metrics, root, "data_quality_metrics", batch_id, source=feed.name, dated_by="created_at")
+            write_batch(metrics, root, "data_quality_metrics", batch_id, source=feed.name, dated_by="created_at", writer=writer)
 
         def write_throughput() -> None:
             row = [(feed.name, batch_id, counts.valid_records, (time.time() - started) * 1000, sum(write_ms.values()))]
@@ -147,7 +147,7 @@ def feed_writer(
             throughput = pipeline_throughput(spark.createDataFrame(row, schema)).withColumns(
                 {"kafka_lag_ms": F.lit(None).cast("double"), "created_at": stamp}
             )
-            write_batch(throughput, root, "pipeline_metrics", batch_id, source=feed.name, dated_by="created_at")
+            write_batch(throughput, root, "pipeline_metrics", batch_id, source=feed.name, dated_by="created_at", writer=writer)
 
         try:
             counts = quality_funnel(flagged.withColumn("batch_id", F.lit(batch_id)), feed).first()
@@ -156,7 +156,7 @@ def feed_writer(
             _together(write_raw, write_processed)
             _together(
                 write_quality, write_throughput,
-                lambda: log_ingestion(spark, batch_id, counts.total_records, started, None),
+                lambda: log_ingestion(spark, writer, batch_id, counts.total_records, started, None),
             )
         finally:
             marked.unpersist()

@@ -21,6 +21,11 @@ from hazardlens.sinks.tables import reduced, write_batch
 from hazardlens.sources.tables import open_table
 
 
+def query_of(batch: DataFrame) -> str:
+    """Identity of the query whose micro-batch this is; it stays with the checkpoint."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
 def events_per_hour(events: DataFrame) -> DataFrame:
     """Events per source and hour of a stream with columns ``source`` and ``ts``."""
     return (
@@ -35,7 +40,7 @@ def stream_events_per_hour(events: DataFrame, root: str, checkpoint: str, trigge
     and a closed hour costs nothing. A replayed batch replaces its counts.
     """
     def process(batch: DataFrame, batch_id: int) -> None:
-        write_batch(events_per_hour(batch), root, "events_per_hour", batch_id)
+        write_batch(events_per_hour(batch), root, "events_per_hour", batch_id, writer=query_of(batch))
 
     return (
         events.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -100,7 +105,7 @@ def stream_dedup(records: DataFrame, feed: Feed, root: str, checkpoint: str, tri
             first = first_per_key(only_new(rows, new_keys, keys), keys, order)
             # Kept by the day of arrival: one day per batch, however old its records are.
             arrived = first.withColumn("event_date", F.current_date())
-            write_batch(arrived, root, "first_arrivals", batch_id, partition_by=["event_date"], schema=_arrivals(rows.schema))
+            write_batch(arrived, root, "first_arrivals", batch_id, partition_by=["event_date"], schema=_arrivals(rows.schema), writer=query_of(batch))
         finally:
             batch.unpersist()
 
