@@ -1,21 +1,28 @@
 """Line deduplication by winnowing over line hashes, in DataFrame functions only.
 
 1. A document's lines are hashed after trimming; blank lines take no part and stay.
-2. A gram is a line with the following ones until they hold at least ``NOISE`` (25) words. Of
-   the grams that start within 25 words, the smallest hash is selected as a fingerprint. So
-   every run of lines that two documents share and that holds 50 words or more has a
-   fingerprint in common, and shared runs below 25 words never have one.
-3. A fingerprint's occurrences are joined with its first occurrence, by document and position.
-   A hot fingerprint costs one row per occurrence, never a pair of occurrences.
-4. Each joined pair fixes an alignment of two documents. Their lines are compared along it, in
-   both directions from the fingerprint, and maximal runs of equal lines are formed.
-5. Runs of at least 25 words are deleted from the later place. A line is only deleted because
-   an equal one stands earlier, so the first copy of a line always stays.
+2. A gram is a line with the following ones until they hold at least ``noise`` (25) words. Of
+   the grams that start within as many words, the smallest hash is selected as a fingerprint. So
+   every run of lines that two places share and that holds twice ``noise`` words has a
+   fingerprint in common.
+3. Fingerprints are joined by hash: documents that hold one which occurs in two places go on, all
+   others have nothing to delete.
+4. Matches are extended both ways, line by line: a line belongs to a repeated run if the gram that
+   begins at it, or the one that ends at it, also stands at an earlier place. Each step may go on
+   with another earlier place, so a run that was first seen in pieces, here a part and there the
+   whole, is followed to its end. That is one join of grams with their first places: a hot gram
+   costs one row per occurrence, never a pair of occurrences.
+5. Overlapping and adjoining grams are united to runs, and these are deleted.
+
+What is deleted stands in a run of at least ``noise`` words that an earlier place holds as well, so
+the first copy of a line always stays. Every shared run of twice ``noise`` words is found, whatever
+other documents hold of it; a shorter one is found where its documents share any fingerprint.
 
 Order is ``doc_id`` (null first), then content; within a document it is position. Defined
 results: a null text stays null, an empty one empty; rows that repeat ``doc_id`` and text are
 one document and all come out alike; an empty table stays empty. Documents may repeat their
-own earlier lines. Only ``doc_id`` and ``text`` are used; other columns pass through.
+own earlier lines. Very long texts, and long stretches of one line, cost in proportion to their
+lines. Only ``doc_id`` and ``text`` are used; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -56,15 +63,18 @@ def line_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(lines: DataFrame) -> DataFrame:
+def _document(order: str) -> Window:
+    return Window.partitionBy("doc_id", "doc_key").orderBy(order)
+
+
+def fingerprints(lines: DataFrame, noise: int = NOISE) -> DataFrame:
     """``print, doc_id, doc_key, n``: the selected grams."""
-    own = Window.partitionBy("doc_id", "doc_key")
-    near = own.orderBy("before").rangeBetween(0, NOISE - 1)
+    near = _document("before").rangeBetween(0, noise - 1)
     grams = lines.select(
         "doc_id", "doc_key", "n", "before",
         F.xxhash64(F.collect_list("line").over(near)).alias("gram"),
         F.sum("words").over(near).alias("held"),
-    ).filter(F.col("held") >= NOISE)
+    ).filter(F.col("held") >= noise)
     least = F.min(F.struct("gram", "n")).over(near)
     return (
         grams.select("doc_id", "doc_key", least.alias("least"))
@@ -72,42 +82,50 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     )
 
 
-def repeated_runs(lines: DataFrame, folder: str) -> DataFrame:
-    """``doc_id, doc_key, low, high``: runs of positions in ``lines`` to delete."""
-    prints = store(fingerprints(lines), f"{folder}/fingerprints")
-    place = F.struct("doc_id", "doc_key", "n")
-    first = (
-        prints.groupBy("print").agg(F.min(place).alias("first"), F.count("*").alias("times"))
-        .filter("times > 1").drop("times")
+def grams_both_ways(lines: DataFrame, noise: int = NOISE) -> DataFrame:
+    """``gram, doc_id, doc_key, n, low, high``: the gram that begins at each line and the one that
+    ends at it, with the places (``n``, ``pos``) of its first and last line."""
+    ahead, back = _document("before").rangeBetween(0, noise - 1), _document("upto").rangeBetween(-(noise - 1), 0)
+    place = F.struct("n", "pos")
+
+    def gram(kind: int, frame: Window) -> Column:
+        return F.struct(
+            F.xxhash64(F.lit(kind), F.collect_list("line").over(frame)).alias("gram"), F.sum("words").over(frame).alias("held"),
+            F.min(place).over(frame).alias("low"), F.max(place).over(frame).alias("high"),
+        )
+
+    both = lines.withColumn("upto", F.col("before") + F.col("words")).select(
+        "doc_id", "doc_key", "n", gram(0, ahead).alias("ahead"), gram(1, back).alias("back")
     )
-    alignments = store(
-        prints.join(first, "print").filter(F.col("first") < place)
-        .select(
-            "doc_id", "doc_key", F.col("first.doc_id").alias("from_id"), F.col("first.doc_key").alias("from_key"),
-            (F.col("n") - F.col("first.n")).alias("shift"),
-        ).distinct(),
-        f"{folder}/alignments",
+    return both.select("doc_id", "doc_key", "n", F.inline(F.array("ahead", "back"))).filter(F.col("held") >= noise).drop("held")
+
+
+def repeated_runs(lines: DataFrame, folder: str, noise: int = NOISE) -> DataFrame:
+    """``doc_id, doc_key, low, high``: maximal runs of positions in ``lines`` to delete."""
+    prints = store(fingerprints(lines, noise), f"{folder}/fingerprints")
+    shared = prints.groupBy("print").agg(F.count("*").alias("times")).filter("times > 1").select("print")
+    matched = store(
+        prints.join(shared, "print", "left_semi").select(F.col("doc_id").alias("id"), F.col("doc_key").alias("key")).distinct(),
+        f"{folder}/matched",
     )
-    here, there = lines.alias("h"), lines.alias("t")
-    aligned = alignments.alias("a").join(
-        here, F.col("a.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("a.doc_key") == F.col("h.doc_key"))
-    ).select("a.*", "h.n", "h.pos", "h.line", "h.words").alias("x").join(
-        there,
-        F.col("x.from_id").eqNullSafe(F.col("t.doc_id")) & (F.col("x.from_key") == F.col("t.doc_key"))
-        & (F.col("x.n") - F.col("x.shift") == F.col("t.n")) & (F.col("x.line") == F.col("t.line")),
-    ).select("x.*")
-    alignment = ["doc_id", "doc_key", "from_id", "from_key", "shift"]
-    order = Window.partitionBy(*alignment).orderBy("n")
+    concerned = lines.join(
+        matched.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("doc_key") == F.col("key")), "left_semi"
+    )
+    grams = store(grams_both_ways(concerned, noise), f"{folder}/grams")
+    place = F.struct("doc_id", "doc_key", "n")
+    first = grams.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    later = grams.join(first, "gram").filter(F.col("first") < place).select("doc_id", "doc_key", "low", "high").distinct()
+    order = Window.partitionBy("doc_id", "doc_key").orderBy("low", "high")
+    reached = F.max("high.n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reached.isNull() | (F.col("low.n") > reached + 1), 1).otherwise(0)
     return (
-        aligned.withColumn("run", F.col("n") - F.row_number().over(order))
-        .groupBy(*alignment, "run")
-        .agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.sum("words").alias("held"))
-        .filter(F.col("held") >= NOISE)
-        .select("doc_id", "doc_key", "low", "high").distinct()
+        later.withColumn("begins", begins)
+        .withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("doc_id", "doc_key", "run").agg(F.min("low.pos").alias("low"), F.max("high.pos").alias("high")).drop("run")
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, noise: int = NOISE) -> DataFrame:
     """``docs`` with ``text`` less its repeated runs, and ``removed_lines``, ``removed_runs``.
 
     Blank lines inside a deleted run go with it. Columns of these two names are replaced.
@@ -115,26 +133,27 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     folder = scratch(docs.sparkSession, "line-dedup")
     lines = store(line_table(docs.select("doc_id", "text")), f"{folder}/lines")
     runs = store(
-        repeated_runs(lines, folder).groupBy("doc_id", "doc_key")
-        .agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("__runs"))
-        .select(F.col("doc_id").alias("__id"), F.col("doc_key").alias("__key"), "__runs"),
+        repeated_runs(lines, folder, noise).groupBy("doc_id", "doc_key")
+        .agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs")),
         f"{folder}/runs",
     )
-    kept = [c for c in docs.columns if c.lower() not in ("removed_lines", "removed_runs")]
+    # Columns that only pass through travel in one structure, so no name of theirs can clash.
+    others = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "removed_lines", "removed_runs")]
+    given = docs.select(F.struct("doc_id", "text", *[F.col(f"`{c}`") for c in others]).alias("own"))
     # How many documents lose lines has no bound, so both sides are dealt by document at any size.
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept], text_key().alias("__text_key")).join(
-        runs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left"
-    )
-    split = F.split("text", "\n", -1)
-    stays = F.filter(
-        split, lambda line, at: ~F.exists("__runs", lambda r: (r["low"] <= at) & (at <= r["high"]))
-    )
-    cut = F.col("__runs").isNotNull()
-    return joined.withColumn("__left", F.when(cut, stays)).select(
-        *[F.when(cut, F.array_join("__left", "\n")).otherwise(F.col("text")).alias(c) if c == "text" else F.col(f"`{c}`")
-          for c in kept],
-        F.when(cut, F.size(split) - F.size("__left")).otherwise(0).cast("long").alias("removed_lines"),
-        F.transform(F.coalesce("__runs", F.array().cast("array<struct<low:int,high:int>>")),
+    joined = given.join(
+        runs.hint("merge"),
+        F.col("own.doc_id").eqNullSafe(F.col("doc_id")) & (text_key("own.text") == F.col("doc_key")), "left",
+    ).select("own", "runs", F.when(F.col("runs").isNotNull(), F.split("own.text", "\n", -1)).alias("lines"))
+    removed = F.flatten(F.transform("runs", lambda r: F.sequence(r["low"], r["high"])))
+    cut = joined.withColumn("kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), removed))
+    is_cut = F.col("runs").isNotNull()
+    text = F.when(is_cut, F.array_join(F.transform("kept", lambda at: F.get("lines", at)), "\n")).otherwise(F.col("own.text"))
+    kept = [c for c in docs.columns if c.lower() not in ("removed_lines", "removed_runs")]
+    return cut.select(
+        *[text.alias(c) if c.lower() == "text" else F.col(f"own.`{c}`").alias(c) for c in kept],
+        F.when(is_cut, F.size("lines") - F.size("kept")).otherwise(0).cast("long").alias("removed_lines"),
+        F.transform(F.coalesce("runs", F.array().cast("array<struct<low:int,high:int>>")),
                     lambda r: F.concat_ws("-", r["low"], r["high"])).alias("removed_runs"),
     )
 

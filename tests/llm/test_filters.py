@@ -346,3 +346,78 @@ def test_awkward_lines(awkward, no_documents):
     by_id = {r.doc_id: r for r in found}
     assert by_id[12].text == "and one more line" and by_id[2].text == "" and by_id[4].text is None
     assert linededup.dedup_lines(no_documents).collect() == []
+
+
+def repeated_lines(texts, least):
+    """Lines, as (document, number), in runs of ``least`` words that an earlier place holds too."""
+    docs = [[x for x in lines_of(t) if x] for t in texts]
+    found = set()
+    for later, own in enumerate(docs):
+        for earlier in range(later + 1):
+            there = docs[earlier]
+            for shift in range(1 - len(there), len(own)):
+                run = []
+                for n in range(max(0, shift), min(len(own), len(there) + shift) + 1):
+                    same = n < len(own) and n - shift < len(there) and own[n] == there[n - shift]
+                    if same and (earlier < later or shift > 0):
+                        run.append(n)
+                        continue
+                    if sum(len(own[m].split()) for m in run) >= least:
+                        found |= {(later, m) for m in run}
+                    run = []
+    return docs, found
+
+
+def deleted_lines(spark, texts, noise):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in linededup.dedup_lines(rows, noise).collect()}
+    gone = set()
+    for doc, text in enumerate(texts):
+        places = {at: n for n, at in enumerate(at for at, x in enumerate(lines_of(text)) if x)}
+        for run in found[doc].removed_runs:
+            low, high = map(int, run.split("-"))
+            gone |= {(doc, places[at]) for at in range(low, high + 1) if at in places}
+    return gone
+
+
+def check_runs(spark, texts, noise):
+    _, always = repeated_lines(texts, 2 * noise)
+    _, ever = repeated_lines(texts, noise)
+    gone = deleted_lines(spark, texts, noise)
+    assert always <= gone <= ever
+    return always
+
+
+def test_all_pairs_of_documents(spark):
+    """Random documents of shared passages, cut and mixed, against every alignment of every pair."""
+    random = np.random.RandomState(4)
+    pool = [[f"p{p}l{n} " + " ".join(["w"] * random.randint(0, 9)) for n in range(random.randint(3, 12))] for p in range(8)]
+    texts = []
+    for _ in range(70):
+        lines = []
+        for _ in range(random.randint(1, 6)):
+            passage = pool[random.randint(len(pool))]
+            begin = random.randint(len(passage))
+            lines += passage[begin : begin + random.randint(1, 12)]
+            lines += [f"own {random.randint(10**9)}"] * random.randint(0, 2) + [""] * random.randint(0, 2)
+        texts.append("\n".join(lines))
+    assert len(check_runs(spark, texts, 10)) > 300
+
+
+def test_a_run_first_seen_in_pieces_is_followed_to_its_end(spark):
+    """Sixty times: one holds A, the next A and B, one A again, the last A and B."""
+    line = lambda name, n: f"{name} line {n} " + " ".join(f"{name}{n}{k}" for k in range(7))
+    texts = []
+    for t in range(60):
+        a, b = [line(f"a{t}", n) for n in range(6)], [line(f"b{t}", 0)]
+        texts += ["\n".join([*a, f"one {t}"]), "\n".join([*a, *b, f"two {t}"]), "\n".join([f"three {t}", *a]), "\n".join([*a, *b, f"four {t}"])]
+    always = check_runs(spark, texts, 25)
+    assert {(4 * t + 3, 6) for t in range(60)} <= always
+
+
+def test_long_stretches_of_one_line(spark):
+    """Fifty thousand equal lines cost in proportion to their number."""
+    rows = [(1, "\n".join(["same old line"] * 50_000)), (2, "\n".join(f"line {i % 1000} of many" for i in range(20_000)))]
+    found = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].removed_lines == 49_999 and found[1].text == "same old line"
+    assert found[2].removed_lines == 19_000 and found[2].text == "\n".join(f"line {i} of many" for i in range(1000))
