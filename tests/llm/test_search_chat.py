@@ -154,15 +154,21 @@ def test_pipeline_stages(spark, documents, sf_dir, tmp_path):
     assert docs.count() == corpus_pipeline.run(spark, sf_dir).count()
 
 
+#: Columns of the caller's that share a name, in some case, with one that a stage uses.
+FOREIGN = ["removed_lines", "removed_runs", "Score", "LANG_PRED", "__text_key", "__id", "__key", "__runs", "others", "own", "lines", "kept", "runs"]
+
+
 def test_stages_take_awkward_documents(spark, awkward, no_documents, sf_dir, tmp_path):
     for name, docs in (("awkward", awkward), ("none", no_documents)):
-        docs = docs.withColumns({"lang_pred": F.lit("p"), "__runs2": F.lit(1)})
+        docs = docs.drop("score").withColumns({c: F.lit(f"my {c}") for c in FOREIGN})
         for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
             columns = docs.columns
             stage(spark, docs, sf_dir).write.parquet(str(tmp_path / f"{name}{number}"))
             docs = spark.read.parquet(str(tmp_path / f"{name}{number}"))
             if number < len(corpus_pipeline.STAGES) - 1:
                 assert docs.columns == columns
+                kept = docs.select(*[F.col(f"`{c}`") for c in FOREIGN]).distinct().collect()
+                assert [tuple(r) for r in kept] == ([tuple(f"my {c}" for c in FOREIGN)] if name == "awkward" else [])
         ids = [r.doc_id for r in docs.collect()]
         if name == "none":
             assert ids == []
