@@ -6,10 +6,14 @@ the tokenizer has:
 
 - before a single blank (space or line feed) that stands between two visible characters,
 - after a line feed that stands between two visible characters,
-- between a letter and a full stop or comma.
-
-Visible characters are those of printable ASCII and U+00C0 to U+027F; everything else just stays
-inside a longer chunk. The texts of a slice are cut as one byte array in numpy.
+- between a letter and a full stop or comma,
+- on either side of Chinese or Japanese punctuation, where it meets a letter of these scripts.
+
+Visible characters are those of printable ASCII and all others from U+00C0 but for blocks that
+hold, or once held, blanks or marks without width (U+1680 to U+16BF, U+1800 to U+183F, U+2000 to
+U+207F, U+3000 to U+303F, private use, and U+FE00 onwards except full-width forms). So texts of any
+script that writes blanks between words are cut into words. Everything else just stays inside a
+longer chunk. The texts of a slice are cut as one byte array in numpy.
 """
 
 from __future__ import annotations
@@ -34,6 +38,45 @@ _ASCII_LETTER = _table((0x41, 0x5A), (0x61, 0x7A))
 _LEAD = _table((0xC3, 0xC9))
 _TAIL = _table((0x80, 0xBF))
 _STOP = _table((0x2C, 0x2C), (0x2E, 0x2E))
+#: Last bytes of full-width ! , : ; ? behind EF BC.
+_WIDE_STOP = _table((0x81, 0x81), (0x8C, 0x8C), (0x9A, 0x9B), (0x9F, 0x9F))
+
+
+def _shifted(flags: np.ndarray, by: int) -> np.ndarray:
+    """Flags of positions that follow flagged ones at a distance."""
+    moved = np.zeros(len(flags), bool)
+    moved[by:] = flags[: len(flags) - by]
+    return moved
+
+
+class _Characters:
+    """Where characters of some kinds begin and end in UTF-8 bytes."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        first, second, third = data, np.append(data[1:], 0)[: len(data)], np.append(data[2:], [0, 0])[: len(data)]
+        two = (first >= 0xC3) & (first <= 0xDF)
+        three = (
+            (first == 0xE0) | ((first == 0xE1) & (second != 0x9A) & (second != 0xA0))
+            | ((first == 0xE2) & (second != 0x80) & (second != 0x81)) | ((first == 0xE3) & (second != 0x80))
+            | ((first >= 0xE4) & (first <= 0xED)) | ((first == 0xEF) & ((second == 0xBC) | (second == 0xBD)))
+        )
+        four = first == 0xF0
+        self.begins_visible = _VISIBLE[data] | two | three | four
+        self.ends_visible = _VISIBLE[data] | _shifted(two, 1) | _shifted(three, 2) | _shifted(four, 3)
+        # U+0410 to U+044F.
+        self.ends_cyrillic = _shifted(((first == 0xD0) & (second >= 0x90)) | ((first == 0xD1) & (second <= 0x8F)), 1)
+        self.begins_east = (
+            ((first == 0xE4) & (second >= 0xB8)) | ((first >= 0xE5) & (first <= 0xE8)) | ((first == 0xE9) & (second <= 0xBE))
+            | ((first == 0xE3) & (second == 0x81) & (third >= 0x81)) | ((first == 0xE3) & (second == 0x83) & (third <= 0xBA))
+        )
+        self.begins_east_stop = (
+            ((first == 0xE3) & (second == 0x80) & ((third == 0x81) | (third == 0x82)))
+            | ((first == 0xEF) & (second == 0xBC) & _WIDE_STOP[third])
+        )
+
+    def east_cuts(self) -> np.ndarray:
+        """Places between a letter and punctuation of Chinese or Japanese, either way round."""
+        return (self.begins_east_stop & _shifted(self.begins_east, 3)) | (self.begins_east & _shifted(self.begins_east_stop, 3))
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,14 +90,13 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     letter_tail = two.copy()
     sign = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
     letter_tail[1:] &= ~(sign | ((data[:-1] == 0xC4) & (data[1:] == 0xB0)))
-    ends_visible = _VISIBLE[data] | two
-    begins_visible = _VISIBLE[data] | _LEAD[data]
-    ends_letter = _ASCII_LETTER[data] | letter_tail
+    known = _Characters(data)
+    ends_letter = _ASCII_LETTER[data] | letter_tail | known.ends_cyrillic
     feed = data == 0x0A
     blank = feed | (data == 0x20)
     between = np.zeros(n, bool)
-    between[1:-1] = blank[1:-1] & ends_visible[:-2] & begins_visible[2:]
-    cut = between.copy()
+    between[1:-1] = blank[1:-1] & known.ends_visible[:-2] & known.begins_visible[2:]
+    cut = between | known.east_cuts()
     cut[1:] |= between[:-1] & feed[:-1]
     cut[1:] |= _STOP[data[1:]] & ends_letter[:-1]
     filled = offsets[:-1] < offsets[1:]

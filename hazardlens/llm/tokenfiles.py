@@ -43,9 +43,9 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
-#: Text bytes encoded at once, and encoded words a task remembers.
+#: Text bytes encoded at once, and bytes of encoded words that a task remembers.
 SLICE = 8_000_000
-REMEMBERED = 1_000_000
+REMEMBERED = 128 << 20
 
 
 def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
@@ -143,14 +143,18 @@ def read_blocks(file, footer: dict) -> Iterator[np.ndarray]:
 class RememberingEncoder:
     """Encodes texts with the library, each word once while it is remembered.
 
-    The least recent half of the words is forgotten when there are too many.
+    The least recent half of the words is forgotten when they hold too many bytes.
     """
 
+    #: Bytes that a remembered word takes beside its own and those of its ids.
+    EACH = 200
+
     def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.encoder = chunk_encoder(vocabulary)
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         found = [self.recent.get(w) for w in words]
@@ -162,10 +166,13 @@ class RememberingEncoder:
                 unknown.append(i)
         for i, ids in zip(unknown, self.encoder.encode([words[i] for i in unknown])):
             found[i] = ids
-        if len(self.recent) + len(missing) > REMEMBERED // 2:
-            self.older, self.recent = self.recent, {}
         for i in missing:
-            self.recent[words[i]] = found[i]
+            size = len(words[i]) + len(found[i]) + self.EACH
+            if self.held + size > REMEMBERED // 2:
+                self.older, self.recent, self.held = self.recent, {}, 0
+            if size <= REMEMBERED // 2:
+                self.recent[words[i]] = found[i]
+                self.held += size
         return found
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hazardlens.llm import bpe, tokenfiles
-from hazardlens.llm.chunks import chunk_encoder, chunk_starts, tokenizer_json
+from hazardlens.llm.chunks import chunk_dictionary, chunk_encoder, chunk_starts, tokenizer_json
 from hazardlens.llm.common import slices
 
 BYTES = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -37,6 +37,52 @@ def test_chunks_are_encoded_independently(texts):
                 assert [i for c in chunks[a:b] for i in ids(tokenizer, c)] == ids(tokenizer, text)
 
 
+#: Letters, digits, marks, punctuation, blanks and characters without width of many scripts.
+MANY = st.text(alphabet="aZ1 \n.,жЯё́ΣςΑέ، ًعרָש कि।ा १한글 中文。，！あガ゙、ー᠎ \u2003\u200b\u200d\u3000\ufeff\u00a0\u1680🙂𝔸é", max_size=40)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(MANY, min_size=1, max_size=4))
+def test_chunks_of_all_scripts_are_encoded_independently(texts):
+    test_chunks_are_encoded_independently.hypothesis.inner_test(texts)
+
+
+#: Sentences in five scripts, and how many words a sentence has.
+SCRIPTS = {
+    "cyrillic": ("Быстрая рыжая лиса прыгает через ленивую собаку у старой реки.", 10),
+    "greek": ("Η γρήγορη αλεπού πηδάει πάνω από τον τεμπέλη σκύλο στο ποτάμι.", 11),
+    "arabic": ("الثعلب البني السريع يقفز فوق الكلب الكسول قرب النهر", 9),
+    "hindi": ("तेज़ भूरी लोमड़ी आलसी कुत्ते के ऊपर से कूदती है", 10),
+    "chinese": ("敏捷的狐狸跳过懒狗，河水很清。天气也好，鸟在唱歌。", 4),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_texts_of_every_script_become_words(script):
+    """The distinct pieces are those of one sentence, however often it stands in the texts."""
+    sentence, words = SCRIPTS[script]
+    text = " ".join([sentence] * 200)
+    for _, _, data, offsets in slices(pa.array([text, sentence], pa.string())):
+        distinct, codes, first = chunk_dictionary(data, offsets)
+        assert words <= len(distinct) <= 2 * words + 6 and first[1] >= 200 * words
+        found = [b"".join(distinct.to_pylist()[c] for c in codes[a:b]).decode() for a, b in zip(first[:-1], first[1:])]
+        assert found == [text, sentence]
+        for tokenizer in (BYTES, WORDS):
+            each = [ids(tokenizer, w.decode()) for w in distinct.to_pylist()]
+            assert [i for c in codes[: first[1]] for i in each[c]] == ids(tokenizer, text)
+
+
+def test_remembered_words_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 40_000)
+    encoder = tokenfiles.RememberingEncoder(tokenizer_json(public_tokenizers.path("word_bpe_49k.json")))
+    for n in range(60):
+        text = " ".join([f"w{n}x{i}" for i in range(40)] + ["y" * 30_000])
+        for _, _, data, offsets in slices(pa.array([text], pa.string())):
+            found, counts = encoder.encode(data, offsets)
+            assert np.asarray(found).view("<u4").tolist() == ids(WORDS, text) and counts.tolist() == [len(ids(WORDS, text))]
+    assert sum(len(w) + len(i) for part in (encoder.recent, encoder.older) for w, i in part.items()) <= 40_000
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="abzAé×İşßœ n\u0131", min_size=1, max_size=6), max_size=30))
 def test_words_encoded_together_equal_words_alone(words):
