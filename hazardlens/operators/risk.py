@@ -20,13 +20,26 @@ def monitored_regions(spark: SparkSession) -> DataFrame:
     return small_table(spark, C.MONITORED_LOCATIONS, "region_name, region_lat, region_lon")
 
 
-def region_cells(regions: DataFrame, radius_km: float, cell_degrees: float = 1.0) -> DataFrame:
+#: Sides of grid cells in degrees; all divide the circle of longitudes.
+CELL_SIDES = (1.0, 2.0, 3.0, 5.0, 10.0, 15.0, 30.0, 45.0, 90.0)
+#: Most cells that a radius spans. A circle's box has at most ``2 * SPAN + 1`` rows of cells, so a
+#: region lists no more cells for a radius of thousands of km than for one of hundreds.
+SPAN = 8
+
+
+def cell_side(radius_km: float) -> float:
+    """The smallest side of which a radius spans at most ``SPAN``."""
+    return next((side for side in CELL_SIDES if radius_km / _KM_PER_DEGREE <= SPAN * side), CELL_SIDES[-1])
+
+
+def region_cells(regions: DataFrame, radius_km: float, cell_degrees: float | None = None) -> DataFrame:
     """Regions exploded into the grid cells their search circle can touch.
 
     The circle's bounding box spans ``dlat`` degrees each way and, measured at the
     latitude nearest a pole, ``dlon``; once the box reaches a pole every column of
     the grid belongs to it. Columns wrap at the antimeridian.
     """
+    cell_degrees = cell_degrees or cell_side(radius_km)
     columns = int(360 / cell_degrees)
     dlat = radius_km / _KM_PER_DEGREE
     farthest = f"abs(region_lat) + {dlat!r}D"
@@ -51,9 +64,10 @@ def region_cells(regions: DataFrame, radius_km: float, cell_degrees: float = 1.0
 
 
 def near_regions(
-    events: DataFrame, cells: DataFrame, radius_km: float, cell_degrees: float = 1.0
+    events: DataFrame, cells: DataFrame, radius_km: float, cell_degrees: float | None = None
 ) -> DataFrame:
     """Events of a cell paired with the regions of that cell, kept if close enough."""
+    cell_degrees = cell_degrees or cell_side(radius_km)
     located = events.filter(geo.in_range()).withColumns(
         {
             "cell_y": geo.cell_y("latitude", cell_degrees),
@@ -73,7 +87,7 @@ def within_radius(
     events: DataFrame,
     regions: DataFrame,
     radius_km: float = C.RISK_RADIUS_KM,
-    cell_degrees: float = 1.0,
+    cell_degrees: float | None = None,
 ) -> DataFrame:
     """Events paired with every region whose centre is at most ``radius_km`` away.
 

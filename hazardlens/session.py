@@ -55,15 +55,16 @@ _made: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach, below ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only for a ``local`` master without that setting, where driver
-    and executors are the same machine. The folder is removed when the process ends, or before by
+    A session with a ``local`` master that has no such setting gets one, as driver and executors
+    are the same machine. The folder is removed when the process ends, or before by
     ``remove_shared_dirs``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = os.path.join(tempfile.gettempdir(), "hazardlens")
+        spark.conf.set("spark.checkpoint.dir", base)
     folder = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
     _made.append((spark, folder))
     return folder
