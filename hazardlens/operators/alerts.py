@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.operators.access import Page, paginate
-from hazardlens.operators.common import AsOf, moment, newest, recent, union_all
+from hazardlens.operators.common import EXACT_JSON, AsOf, moment, newest, recent, union_all
 from hazardlens.sources.tables import Table
 
 
@@ -178,7 +178,7 @@ def alert_rows(rows: DataFrame, rule: AlertRule, as_of: AsOf = None) -> DataFram
         "latitude",
         "longitude",
         rule.region().alias("region_name"),
-        F.to_json(metadata).alias("metadata"),
+        F.to_json(metadata, EXACT_JSON).alias("metadata"),
         rule.record_key().alias("record_key"),
         F.lit(True).alias("is_active"),
         moment(as_of).cast("timestamp").alias("created_at"),

@@ -99,6 +99,10 @@ def positioned(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
 
 
+#: JSON texts keep the microseconds of an instant.
+EXACT_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def rounded(number: str, digits: int) -> Column:
     """A number rounded through a decimal, halves away from zero.
 

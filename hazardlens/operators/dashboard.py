@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.constants import RISK_LEVELS, SOURCES
 from hazardlens.operators.common import (
-    AsOf, count_by, first_per_key, moment, newest, newest_sql, positioned, recent, union_all,
+    EXACT_JSON, AsOf, count_by, first_per_key, moment, newest, newest_sql, positioned, recent, union_all,
 )
 from hazardlens.sources.tables import StoredTable, Table, counted
 
@@ -199,8 +199,7 @@ def markers_air_quality(air: Table, since: dt.date | None = None) -> DataFrame:
 
 
 def _entries(section: str, df: DataFrame) -> DataFrame:
-    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
-    return df.select(F.lit(section).alias("section"), F.to_json(F.struct("*"), exact).alias("payload"))
+    return df.select(F.lit(section).alias("section"), F.to_json(F.struct("*"), EXACT_JSON).alias("payload"))
 
 
 def analytics_snapshot(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,40 +10,38 @@ from pyspark.sql import functions as F
 
 from hazardlens import constants as C
 from hazardlens.operators.common import AsOf, moment, recent, union_all
+from hazardlens.sources.tables import StoredTable, Table
 
 SERIES = ["metric", "source", "location_name"]
 
 
-def _hourly_mean(df: DataFrame, measure: str, as_of: AsOf, days: int) -> DataFrame:
-    return (
-        recent(df, "observed_at", as_of, days=days)
-        .groupBy("location_name", F.date_trunc("hour", "observed_at").alias("ds"))
-        .agg(F.avg(measure).alias("y"))
-    )
+# Days that each series looks back.
+HOURLY_DAYS, DAILY_DAYS = 30, 60
 
 
-def series_aqi_hourly(air: DataFrame, as_of: AsOf = None) -> DataFrame:
-    return _hourly_mean(air, "us_aqi", as_of, 30)
+def _hourly_means(rows: DataFrame, measure: str) -> DataFrame:
+    hour = F.date_trunc("hour", "observed_at").alias("ds")
+    return rows.groupBy("location_name", hour).agg(F.avg(measure).alias("y"))
 
 
-def series_temperature_hourly(weather: DataFrame, as_of: AsOf = None) -> DataFrame:
-    return _hourly_mean(weather, "temperature_c", as_of, 30)
+def _counts(rows: DataFrame, time: Column) -> DataFrame:
+    return rows.groupBy(time.alias("ds")).agg(F.count("*").alias("y"))
 
 
-def series_fire_daily(fires: DataFrame, as_of: AsOf = None) -> DataFrame:
-    return (
-        recent(fires, "acq_date", as_of, days=60)
-        .groupBy(F.col("acq_date").cast("timestamp").alias("ds"))
-        .agg(F.count("*").alias("y"))
-    )
+def series_aqi_hourly(air: Table, as_of: AsOf = None) -> DataFrame:
+    return _hourly_means(recent(air, "observed_at", as_of, days=HOURLY_DAYS), "us_aqi")
 
 
-def series_quake_hourly(quakes: DataFrame, as_of: AsOf = None) -> DataFrame:
-    return (
-        recent(quakes, "event_time", as_of, days=30)
-        .groupBy(F.date_trunc("hour", "event_time").alias("ds"))
-        .agg(F.count("*").alias("y"))
-    )
+def series_temperature_hourly(weather: Table, as_of: AsOf = None) -> DataFrame:
+    return _hourly_means(recent(weather, "observed_at", as_of, days=HOURLY_DAYS), "temperature_c")
+
+
+def series_fire_daily(fires: Table, as_of: AsOf = None) -> DataFrame:
+    return _counts(recent(fires, "acq_date", as_of, days=DAILY_DAYS), F.col("acq_date").cast("timestamp"))
+
+
+def series_quake_hourly(quakes: Table, as_of: AsOf = None) -> DataFrame:
+    return _counts(recent(quakes, "event_time", as_of, days=HOURLY_DAYS), F.date_trunc("hour", "event_time"))
 
 
 def series_clean(series: DataFrame) -> DataFrame:
@@ -61,7 +60,7 @@ def _tagged(series: DataFrame, metric: str, source: str) -> DataFrame:
     )
 
 
-def all_series(processed: dict[str, DataFrame], as_of: AsOf = None) -> DataFrame:
+def all_series(processed: dict[str, Table], as_of: AsOf = None) -> DataFrame:
     """Every forecast series in one long table."""
     return union_all(
         [
@@ -73,6 +72,38 @@ def all_series(processed: dict[str, DataFrame], as_of: AsOf = None) -> DataFrame
     )
 
 
+def changed_series(processed: dict[str, StoredTable], since: dt.datetime | None) -> DataFrame:
+    """Every point of the days whose rows were written from ``since`` on, late ones included.
+
+    Of the stored tables only the files of these days are opened, and those that were written
+    since. Without ``since`` it is every point there is.
+    """
+    def rows(name: str) -> DataFrame:
+        table = processed[name]
+        if since is None:
+            return table.rows
+        written = table.not_before("processed_at", since).filter(F.col("processed_at") >= F.lit(since))
+        return table.of_days([r.event_date for r in written.select("event_date").distinct().collect()])
+
+    quakes, fires = rows("earthquakes"), rows("wildfires")
+    return union_all(
+        [
+            _tagged(_hourly_means(rows("air_quality"), "us_aqi"), "us_aqi", "air_quality"),
+            _tagged(_hourly_means(rows("weather"), "temperature_c"), "temperature_c", "weather"),
+            _tagged(_counts(fires, F.col("acq_date").cast("timestamp")), "fire_count", "wildfires"),
+            _tagged(_counts(quakes, F.date_trunc("hour", "event_time")), "event_count", "earthquakes"),
+        ]
+    )
+
+
+def kept_series(points: Table, as_of: AsOf = None) -> DataFrame:
+    """The series that ``all_series`` gives, from the points that are kept of them."""
+    daily = F.col("metric") == "fire_count"
+    start = moment(as_of) - F.make_dt_interval(F.when(daily, DAILY_DAYS).otherwise(HOURLY_DAYS))
+    first = F.when(daily, F.to_date(start).cast("timestamp")).otherwise(start)
+    return recent(points, "ds", as_of, days=DAILY_DAYS + 1).filter(F.col("ds") >= first).select(*SERIES, "ds", "y")
+
+
 def series_long_enough(series: DataFrame, keys: Sequence[str] = SERIES, minimum: int = C.FORECAST_MIN_POINTS) -> DataFrame:
     """Points of the series that have at least ``minimum`` points."""
     long = series.groupBy(*keys).agg(F.count("*").alias("_points")).filter(F.col("_points") >= minimum)

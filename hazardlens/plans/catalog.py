@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardlens.constants import INGESTION_SOURCES
 from hazardlens.functions import geo, rules
@@ -269,10 +270,29 @@ for _name, _feed in FEEDS.items():
 
 # --- anomalies --------------------------------------------------------------
 
-add("anomaly_quake", lambda i: anomalies.anomalies_of("earthquakes", i.quakes).drop("raw_data"))
-add("anomaly_weather", lambda i: anomalies.anomalies_of("weather", i.weather).drop("raw_data"))
-add("anomaly_air_quality", lambda i: anomalies.anomalies_of("air_quality", i.air).drop("raw_data"))
-add("anomaly_wildfire", lambda i: anomalies.anomalies_of("wildfires", i.fires).drop("raw_data", "description"))
+def _anomalies(i: Inputs, name: str) -> DataFrame:
+    """A feed's anomalies, with the columns read back from the JSON of the row that raised each."""
+    rows = i.one(name)
+    found = anomalies.anomalies_of(name, rows).withColumn("raw", F.from_json("raw_data", rows.schema))
+    raw = [F.col(f"raw.{c}").alias(f"raw_{c}") for c in FEEDS[name].output]
+    return found.select(*[c for c in found.columns if c not in ("raw", "raw_data")], *raw)
+
+
+add("anomaly_quake", lambda i: _anomalies(i, "earthquakes"))
+add("anomaly_weather", lambda i: _anomalies(i, "weather"))
+add("anomaly_air_quality", lambda i: _anomalies(i, "air_quality"))
+
+
+@query
+def anomaly_wildfire(i: Inputs) -> DataFrame:
+    """The coordinates in the text are compared as numbers, for engines write them differently."""
+    number = lambda name: F.regexp_extract("description", f"{name}=([^,]+)", 1).cast("double")
+    return _anomalies(i, "wildfires").withColumns({
+        "described": F.regexp_replace("description", "lat=.*", ""),
+        "described_latitude": number("lat"), "described_longitude": number("lon"),
+    }).drop("description")
+
+
 add("anomaly_events", lambda i: anomalies.anomaly_events(i.processed).drop("raw_data", "description"))
 
 
@@ -419,13 +439,18 @@ add(
 
 # --- alerts -----------------------------------------------------------------
 
+def _alerts_of_rule(i: Inputs, rule: alerts.AlertRule) -> DataFrame:
+    """New alerts of a rule, with the columns read back from their metadata."""
+    rows = i.store(rule.source)
+    raised = alerts.raise_alerts(rows, rule, i.alerts_of(rule.alert_type), AS_OF, LOOKBACK_HOURS)
+    fields = T.StructType([T.StructField(rule.key, T.StringType()), *(rows.schema[c] for c in rule.details if c != rule.key)])
+    details = [F.col(f"meta.{c}").alias(f"meta_{c}") for c in rule.details]
+    read = raised.withColumn("meta", F.from_json("metadata", fields))
+    return read.select(*[c for c in raised.columns if c != "metadata"], *details, F.col(f"meta.{rule.key}").alias("meta_key"))
+
+
 for _type, _rule in alerts.RULES.items():
-    add(
-        f"alert_{_type}",
-        lambda i, r=_rule: alerts.raise_alerts(
-            i.store(r.source), r, i.alerts_of(r.alert_type), AS_OF, LOOKBACK_HOURS
-        ).drop("metadata", "resolved_at"),
-    )
+    add(f"alert_{_type}", lambda i, r=_rule: _alerts_of_rule(i, r))
 
 
 @query

@@ -6,6 +6,8 @@ tables, earlier risk and alert runs) are common table expressions.
 
 from __future__ import annotations
 
+from hazardlens.operators.alerts import RULES
+from hazardlens.operators.feeds import FEEDS
 from hazardlens.plans.feeds import FEED_SQL
 
 AS_OF = "timestamp '2024-01-31 00:00:00'"
@@ -256,7 +258,7 @@ _ALERTS = {
 }
 
 
-def alert_run(alert_type: str, t: str, upto: bool, log: str | None) -> str:
+def alert_run(alert_type: str, t: str, upto: bool, log: str | None, more: str = "") -> str:
     r = _ALERTS[alert_type]
     known = f" and {r['clock']} < {t}" if upto else ""
     quiet = ""
@@ -268,7 +270,7 @@ def alert_run(alert_type: str, t: str, upto: bool, log: str | None) -> str:
     return f"""select '{alert_type}' as alert_type, '{r['source']}' as source,
   case when {r['critical']} then 'Critical' else 'High' end as severity, {r['title']} as title,
   {r['description']} as description, latitude, longitude, {r['region']} as region_name, true as is_active,
-  {t} as created_at, {r['key']} as record_key
+  {t} as created_at, {r['key']} as record_key{more}
 from {r['table']} where {r['where']} and {r['recent'].format(t=t)}{known}{quiet}"""
 
 
@@ -390,6 +392,14 @@ SOURCES = ["earthquakes", "wildfires", "weather", "air_quality"]
 CELLS = ", ".join(f"count(case when source = '{s}' then 1 end) as {s}" for s in SOURCES)
 FEED_ROWS = "location_name, observed_at, temperature_c, humidity_pct, wind_speed_kmh, precipitation_mm, weather_code"
 
+
+
+def _with_raw(source: str) -> str:
+    """A feed's anomalies with every column of the row that raised them."""
+    before, _, behind = ANOMALY[source].rpartition(f"from {source}")
+    return before.rstrip() + "".join(f", {c} as raw_{c}" for c in FEEDS[source].output) + f" from {source}{behind}"
+
+
 BODIES: dict[str, str] = {
     "decode_json": """select case when h % 11 <> 0 then location_name end as location_name,
   case when h % 11 <> 0 then latitude end as latitude, case when h % 11 <> 0 then longitude end as longitude,
@@ -454,10 +464,11 @@ where not exists (select 1 from wildfires t where t.acq_date < date '2024-01-20'
     "enrich_weather": "select * from weather",
     "enrich_air_quality": "select * from air_quality",
     "enrich_wildfires": f"select {FIRE_COLUMNS} from wildfires",
-    "anomaly_quake": ANOMALY["earthquakes"],
-    "anomaly_weather": ANOMALY["weather"],
-    "anomaly_air_quality": ANOMALY["air_quality"],
-    "anomaly_wildfire": f"select * exclude (description) from ({ANOMALY['wildfires']})",
+    "anomaly_quake": _with_raw("earthquakes"),
+    "anomaly_weather": _with_raw("weather"),
+    "anomaly_air_quality": _with_raw("air_quality"),
+    "anomaly_wildfire": f"""select * exclude (description), 'Extreme wildfire FRP=' || cast(raw_frp as varchar) || ' at ' as described,
+  latitude as described_latitude, longitude as described_longitude from ({_with_raw("wildfires")})""",
     "anomaly_events": "select * exclude (description) from anomalies",
     "quality_funnel": f"""select {FUNNEL_COLUMNS.format(by=', batch_id')}
 from (select event_id, cast(extract(day from event_time) as bigint) as batch_id, significance % 17 <> 0 as ok,
@@ -658,7 +669,11 @@ union all select 'markers.weather', location_name, storm_severity, observed_at,
 union all select 'markers.air_quality', location_name, aqi_category, observed_at, cast(us_aqi as double)
   from ({BODIES['markers_air_quality']})"""
 for _alert in _ALERTS:
-    BODIES[f"alert_{_alert}"] = f"select {ALERT_COLUMNS} from alerts_new where alert_type = '{_alert}'"
+    BODIES[f"alert_{_alert}"] = alert_run(
+        _alert, AS_OF, False, "alerts",
+        "".join(f", {c} as meta_{c}" for c in RULES[_alert].details)
+        + f", {_ALERTS[_alert]['key']} as meta_key, cast(null as timestamp) as resolved_at",
+    )
 
 
 def oracle_sql() -> dict[str, str]:

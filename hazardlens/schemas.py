@@ -103,6 +103,9 @@ TABLES = {
         f"{_WEATHER}, heat_index double, rain_severity string, wind_severity string, storm_severity string, batch_id bigint"
     ),
     "air_quality_latest": columns(f"{_AIR}, aqi_category string, batch_id bigint"),
+    "series_points": columns(
+        "metric string, source string, location_name string, ds timestamp, y double, event_date date, batch_id bigint"
+    ),
     "events_per_hour": columns("source string, hour timestamp, count bigint, batch_id bigint"),
     "alerts": columns(
         "alert_type string, source string, severity string, title string, description string, latitude double, longitude double,"

@@ -69,6 +69,10 @@ def _added_up(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source", "hour").agg(F.sum("count").alias("count"), F.max("batch_id").alias("batch_id"))
 
 
+def _last_written(rows: DataFrame) -> DataFrame:
+    return first_per_key(rows, ["metric", "source", "location_name", "ds"], newest_sql(["batch_id", "y"]))
+
+
 #: Tables whose small files are reduced to one row per key when they are folded. A reader reduces
 #: what is there once more, as unfolded files may repeat a key.
 REDUCED: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -76,6 +80,7 @@ REDUCED: dict[str, Callable[[DataFrame], DataFrame]] = {
     "air_quality_latest": latest_per("location_name", "observed_at"),
     "risk_latest": latest_per("region_name", "computed_at"),
     "events_per_hour": _added_up,
+    "series_points": _last_written,
 }
 
 
@@ -113,6 +118,16 @@ def replace_forecasts(forecasts: DataFrame, root: str, max_records_per_file: int
     )
 
 
+def append_series(points: DataFrame, root: str, run_id: int) -> None:
+    """Keep the points of a cycle; those of an earlier cycle for the same instants give way to them."""
+    write_batch(points, root, "series_points", run_id, dated_by="ds")
+
+
+def series_points(spark: SparkSession, root: str, since: dt.datetime) -> DataFrame:
+    """The points that are kept, of the days from ``since`` on."""
+    return _last_written(open_table(spark, root, "series_points").not_before("ds", since))
+
+
 def append_snapshot(snapshot: DataFrame, root: str, run_id: int) -> None:
     """Add a snapshot; the same run again replaces its own."""
     write_batch(snapshot, root, "analytics_snapshots", run_id, dated_by="created_at")

@@ -16,7 +16,7 @@ from hazardlens.tablelog import DataFile, Log, read_files, since_epoch
 
 #: Columns whose day is the ``event_date`` that stored tables are kept by: the event's own time in the
 #: processed tables, the time of writing in alerts, anomalies, scores, metrics and logs.
-DATED_BY = {"event_time", "observed_at", "acq_date", "created_at", "computed_at", "detected_at"}
+DATED_BY = {"event_time", "observed_at", "acq_date", "created_at", "computed_at", "detected_at", "ds"}
 
 #: Tables without a commit log: whole folders of theirs are replaced.
 PLAIN = {"forecasts"}

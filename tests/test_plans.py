@@ -46,7 +46,7 @@ def test_scan_reads_needed_columns_and_pushes_filters(spark, sf_dir):
 
 
 def test_lookback_prunes_folders(spark, sf_dir):
-    stored = Inputs(spark, sf_dir).store("weather")
+    stored = Inputs(spark, sf_dir).store("weather").rows
     plan = plan_of(hazards.weather_storm_dist(stored, AS_OF))
     assert re.search(r"PartitionFilters: \[[^]]*event_date#\d+ >= 2024-01-24", plan)
     plan = plan_of(hazards.weather_storm_dist(stored))
@@ -80,7 +80,7 @@ def test_lookbacks_on_logs_prune_folders(spark, tmp_path, table, rows):
 
 def test_a_first_day_prunes_the_search_for_the_newest(spark, sf_dir):
     inputs = Inputs(spark, sf_dir)
-    stored, day = inputs.store("weather"), AS_OF.date() - dt.timedelta(days=3)
+    stored, day = inputs.store("weather").rows, AS_OF.date() - dt.timedelta(days=3)
     for frame in (risk.weather_score(stored, inputs.regions, day), dashboard.markers_weather(stored, day)):
         assert re.search(r"PartitionFilters: \[[^]]*event_date#\d+ >= 2024-01-28", plan_of(frame))
 

@@ -276,3 +276,39 @@ def test_quakes_are_stored_once_over_failures_and_new_checkpoints(spark, tmp_pat
     land(folder, 3, [quake(2), quake(6)])
     start("another")
     assert ids() == ["q1", "q2", "q3", "q4", "q5", "q6"]
+
+
+def test_a_forecast_cycle_reads_the_days_that_changed(spark, tmp_path, sf_dir):
+    """Two cycles, the second with late rows: the same series as from the whole history."""
+    from hazardlens.operators import forecast
+
+    root, as_of = str(tmp_path), feeds.AS_OF
+    events = feeds.read_events(spark, sf_dir)
+    early, late = dt.datetime(2024, 2, 1), dt.datetime(2024, 2, 2)
+    times = {name: feed.time for name, feed in etl.FEEDS.items()}
+    rows = {name: feeds.processed_feed(spark, events, name).drop("processed_at") for name in times}
+
+    def store(name, batch, frame, at):
+        stamped = frame.withColumns({"processed_at": F.lit(at), "event_date": F.to_date(times[name])})
+        sinks.write_batch(stamped, root, f"{name}_processed", batch, partition_by=["event_date"])
+
+    # The last days come with the second cycle, and a fifth of a day of two weeks before.
+    newer = {n: (F.col(t) >= "2024-01-28") | ((F.to_date(t) == "2024-01-14") & (F.abs(F.hash("latitude", "longitude", t)) % 5 == 0)) for n, t in times.items()}
+    for name in times:
+        store(name, 0, rows[name].filter(~newer[name]), early)
+    tables = {name: open_table(spark, root, f"{name}_processed") for name in times}
+    sinks.append_series(forecast.changed_series(tables, None), root, 0)
+    for name in times:
+        store(name, 1, rows[name].filter(newer[name]), late)
+    wanted = forecast.all_series(rows, as_of)
+    wanted = sorted((r.metric, r.location_name or "", r.ds, round(r.y, 9)) for r in wanted.collect())
+    # Days without anything new are damaged.
+    for path in glob.glob(f"{root}/*_processed/commit=*/event_date=*/*.parquet"):
+        if os.path.basename(os.path.dirname(path))[11:] not in ("2024-01-14", "2024-01-28", "2024-01-29", "2024-01-30", "2024-01-31"):
+            with open(path, "wb") as out:
+                out.write(b"broken")
+    tables = {name: open_table(spark, root, f"{name}_processed") for name in times}
+    sinks.append_series(forecast.changed_series(tables, late), root, 1)
+    kept = forecast.kept_series(sinks.series_points(spark, root, as_of - dt.timedelta(days=62)), as_of)
+    assert sorted((r.metric, r.location_name or "", r.ds, round(r.y, 9)) for r in kept.collect()) == wanted
+    assert len(wanted) > 500
