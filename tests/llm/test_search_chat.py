@@ -178,7 +178,7 @@ def test_stages_take_awkward_documents(spark, awkward, no_documents, sf_dir, tmp
             assert json.dumps(sorted(i for i in ids if i is not None))
 
 
-@pytest.mark.parametrize("module", ["ann", "bpe", "chat", "decontam", "langid", "linededup", "neardup", "secrets", "tokenfiles", "urlfilter"])
+@pytest.mark.parametrize("module", ["ann", "bpe", "chat", "decontam", "langid", "linededup", "neardup", "secrets", "tokenfiles", "urlfilter", "hardneg", "knnjoin", "repair", "vectors"])
 def test_nothing_pins_data_to_one_machine(module):
     source = open(f"{corpus_pipeline.__file__.rsplit('/', 1)[0]}/hazardlens/llm/{module}.py").read()
     for word in ("localCheckpoint", "tempfile", "crossJoin", "/tmp"):
