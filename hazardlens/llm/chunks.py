@@ -6,14 +6,16 @@ the tokenizer has:
 
 - before a single blank (space or line feed) that stands between two visible characters,
 - after a line feed that stands between two visible characters,
-- between a letter and a full stop or comma,
+- between a letter and a punctuation mark of ASCII behind it; not an apostrophe, which begins the
+  splits of contractions, nor a vertical bar, which stands behind letters in special tokens,
 - on either side of Chinese or Japanese punctuation, where it meets a letter of these scripts.
 
 Visible characters are those of printable ASCII and all others from U+00C0 but for blocks that
 hold, or once held, blanks or marks without width (U+1680 to U+16BF, U+1800 to U+183F, U+2000 to
 U+207F, U+3000 to U+303F, private use, and U+FE00 onwards except full-width forms). So texts of any
 script that writes blanks between words are cut into words. Everything else just stays inside a
-longer chunk. The texts of a slice are cut as one byte array in numpy.
+longer chunk. The texts of a slice are cut as one byte array in numpy, block by block, so that a
+block's flags stay in the processor's cache; blocks of ASCII alone are looked at for nothing else.
 """
 
 from __future__ import annotations
@@ -33,72 +35,91 @@ def _table(*ranges: tuple[int, int]) -> np.ndarray:
     return table
 
 
-_VISIBLE = _table((0x21, 0x7E))
-_ASCII_LETTER = _table((0x41, 0x5A), (0x61, 0x7A))
-_LEAD = _table((0xC3, 0xC9))
-_TAIL = _table((0x80, 0xBF))
-_STOP = _table((0x2C, 0x2C), (0x2E, 0x2E))
 #: Last bytes of full-width ! , : ; ? behind EF BC.
 _WIDE_STOP = _table((0x81, 0x81), (0x8C, 0x8C), (0x9A, 0x9B), (0x9F, 0x9F))
 
+#: Bytes looked at together, and bytes on either side that can decide about a cut (five at most).
+BLOCK = 1 << 16
+_AROUND = 8
 
-def _shifted(flags: np.ndarray, by: int) -> np.ndarray:
-    """Flags of positions that follow flagged ones at a distance."""
-    moved = np.zeros(len(flags), bool)
-    moved[by:] = flags[: len(flags) - by]
-    return moved
-
-
-class _Characters:
-    """Where characters of some kinds begin and end in UTF-8 bytes."""
-
-    def __init__(self, data: np.ndarray) -> None:
-        first, second, third = data, np.append(data[1:], 0)[: len(data)], np.append(data[2:], [0, 0])[: len(data)]
-        two = (first >= 0xC3) & (first <= 0xDF)
-        three = (
-            (first == 0xE0) | ((first == 0xE1) & (second != 0x9A) & (second != 0xA0))
-            | ((first == 0xE2) & (second != 0x80) & (second != 0x81)) | ((first == 0xE3) & (second != 0x80))
-            | ((first >= 0xE4) & (first <= 0xED)) | ((first == 0xEF) & ((second == 0xBC) | (second == 0xBD)))
-        )
-        four = first == 0xF0
-        self.begins_visible = _VISIBLE[data] | two | three | four
-        self.ends_visible = _VISIBLE[data] | _shifted(two, 1) | _shifted(three, 2) | _shifted(four, 3)
-        # U+0410 to U+044F.
-        self.ends_cyrillic = _shifted(((first == 0xD0) & (second >= 0x90)) | ((first == 0xD1) & (second <= 0x8F)), 1)
-        self.begins_east = (
-            ((first == 0xE4) & (second >= 0xB8)) | ((first >= 0xE5) & (first <= 0xE8)) | ((first == 0xE9) & (second <= 0xBE))
-            | ((first == 0xE3) & (second == 0x81) & (third >= 0x81)) | ((first == 0xE3) & (second == 0x83) & (third <= 0xBA))
-        )
-        self.begins_east_stop = (
-            ((first == 0xE3) & (second == 0x80) & ((third == 0x81) | (third == 0x82)))
-            | ((first == 0xEF) & (second == 0xBC) & _WIDE_STOP[third])
-        )
-
-    def east_cuts(self) -> np.ndarray:
-        """Places between a letter and punctuation of Chinese or Japanese, either way round."""
-        return (self.begins_east_stop & _shifted(self.begins_east, 3)) | (self.begins_east & _shifted(self.begins_east_stop, 3))
 
+def _within(data: np.ndarray, low: int, high: int) -> np.ndarray:
+    return data - np.uint8(low) <= np.uint8(high - low)
 
-def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte positions where chunks begin, with the end of the data, and each text's first chunk."""
+
+def _flagged(places: np.ndarray, n: int) -> np.ndarray:
+    """Flags of ``n`` positions, set at the places among them."""
+    flags = np.zeros(n, bool)
+    flags[places[places < n]] = True
+    return flags
+
+
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Flags of the bytes where visible characters beyond ASCII begin, where they end, and where
+    letters end, and of the cuts between a letter and punctuation of Chinese or Japanese."""
     n = len(data)
-    if not n:
-        return np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
-    two = np.zeros(n, bool)
-    two[1:] = _TAIL[data[1:]] & _LEAD[data[:-1]]
+    at = np.flatnonzero(data >= 0xC3)
+    first, padded = data[at], np.append(data, np.zeros(2, np.uint8))
+    second, third = padded[at + 1], padded[at + 2]
+    two = first <= 0xDF
+    three = (
+        (first == 0xE0) | ((first == 0xE1) & (second != 0x9A) & (second != 0xA0))
+        | ((first == 0xE2) & (second != 0x80) & (second != 0x81)) | ((first == 0xE3) & (second != 0x80))
+        | _within(first, 0xE4, 0xED) | ((first == 0xEF) & ((second == 0xBC) | (second == 0xBD)))
+    )
+    four = first == 0xF0
     # Multiplication and division signs are no letters; U+0130 is two characters in lower case.
-    letter_tail = two.copy()
-    sign = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
-    letter_tail[1:] &= ~(sign | ((data[:-1] == 0xC4) & (data[1:] == 0xB0)))
-    known = _Characters(data)
-    ends_letter = _ASCII_LETTER[data] | letter_tail | known.ends_cyrillic
+    sign = ((first == 0xC3) & ((second == 0x97) | (second == 0xB7))) | ((first == 0xC4) & (second == 0xB0))
+    latin = _within(first, 0xC3, 0xC9) & _within(second, 0x80, 0xBF) & ~sign
+    # U+0410 to U+044F.
+    cyrillic = ((first == 0xD0) & (second >= 0x90)) | ((first == 0xD1) & (second <= 0x8F))
+    east = (
+        ((first == 0xE4) & (second >= 0xB8)) | _within(first, 0xE5, 0xE8) | ((first == 0xE9) & (second <= 0xBE))
+        | ((first == 0xE3) & (second == 0x81) & (third >= 0x81)) | ((first == 0xE3) & (second == 0x83) & (third <= 0xBA))
+    )
+    east_stop = (
+        ((first == 0xE3) & (second == 0x80) & ((third == 0x81) | (third == 0x82)))
+        | ((first == 0xEF) & (second == 0xBC) & _WIDE_STOP[third])
+    )
+    ends = np.concatenate([at[two] + 1, at[three] + 2, at[four] + 3])
+    begins_east, begins_stop = at[east], at[east_stop]
+    cut = (
+        (_flagged(begins_stop, n) & _flagged(begins_east + 3, n)) | (_flagged(begins_east, n) & _flagged(begins_stop + 3, n))
+        if len(begins_stop) else np.zeros(n, bool)
+    )
+    return _flagged(at[two | three | four], n), _flagged(ends, n), _flagged(at[latin | cyrillic] + 1, n), cut
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Flags of the positions where a cut before a byte is certain."""
+    ends_letter = _within(data | np.uint8(0x20), 0x61, 0x7A)
+    begins_visible = ends_visible = visible = _within(data, 0x21, 0x7E)
+    # Punctuation of ASCII but apostrophe and vertical bar.
+    mark = visible & ~(ends_letter | _within(data, 0x30, 0x39)) & (data != 0x27) & (data != 0x7C)
+    if data.max() < 0x80:
+        cut = np.zeros(len(data), bool)
+    else:
+        begins, ends, letters, cut = _characters(data)
+        begins_visible, ends_visible, ends_letter = visible | begins, visible | ends, ends_letter | letters
     feed = data == 0x0A
     blank = feed | (data == 0x20)
-    between = np.zeros(n, bool)
-    between[1:-1] = blank[1:-1] & known.ends_visible[:-2] & known.begins_visible[2:]
-    cut = between | known.east_cuts()
+    between = np.zeros(len(data), bool)
+    between[1:-1] = blank[1:-1] & ends_visible[:-2] & begins_visible[2:]
+    cut |= between
     cut[1:] |= between[:-1] & feed[:-1]
-    cut[1:] |= _STOP[data[1:]] & ends_letter[:-1]
+    cut[1:] |= mark[1:] & ends_letter[:-1]
+    return cut
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte positions where chunks begin, with the end of the data, and each text's first chunk."""
+    n = len(data)
+    if not n:
+        return np.zeros(1, np.int64), np.zeros(len(offsets), np.int64)
+    cut = np.empty(n, bool)
+    for at in range(0, n, BLOCK):
+        low, after = max(at - _AROUND, 0), min(at + BLOCK, n)
+        cut[at:after] = _cuts(data[low : after + _AROUND])[at - low : after - low]
     filled = offsets[:-1] < offsets[1:]
     cut[offsets[:-1][filled]] = True
     starts = np.flatnonzero(cut)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hazardlens.llm import bpe, tokenfiles
+from hazardlens.llm import bpe, chunks, tokenfiles
 from hazardlens.llm.chunks import chunk_dictionary, chunk_encoder, chunk_starts, tokenizer_json
 from hazardlens.llm.common import slices
 
@@ -72,6 +72,40 @@ def test_texts_of_every_script_become_words(script):
             assert [i for c in codes[: first[1]] for i in each[c]] == ids(tokenizer, text)
 
 
+#: All punctuation of ASCII, with letters, digits, marks and blanks around it.
+PUNCTUATED = st.lists(
+    st.one_of(
+        st.sampled_from([chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum()]),
+        st.sampled_from(["a", "Zs", "é", "жд", "Σ", "7", "'s", "'Re", " ", "\n", "\u0338", "\u0301", "<|endoftext|>", "<|startoftext|>", "text|>"]),
+    ), max_size=24,
+).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(PUNCTUATED, min_size=1, max_size=4))
+def test_punctuated_chunks_are_encoded_independently(texts):
+    test_chunks_are_encoded_independently.hypothesis.inner_test(texts)
+
+
+def test_punctuation_behind_a_word_makes_no_new_words():
+    """A word is one piece whatever stands behind it, so that op7 and op8 encode it once."""
+    marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{}~"
+    text = "".join(f" river{m * 3} été{m} река{m}" for m in marks)
+    for _, _, data, offsets in slices(pa.array([text], pa.string())):
+        distinct, codes, _ = chunk_dictionary(data, offsets)
+        assert len(distinct) == 3 + 2 * len(marks) and len(codes) == 6 * len(marks)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(TEXT, MANY, PUNCTUATED), min_size=1, max_size=4), st.integers(1, 40))
+def test_cuts_do_not_depend_on_the_blocks(texts, block):
+    for _, _, data, offsets in slices(pa.array(texts, pa.string())):
+        whole = [a.tolist() for a in chunk_starts(data, offsets)]
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(chunks, "BLOCK", block)
+            assert [a.tolist() for a in chunk_starts(data, offsets)] == whole
+
+
 def test_remembered_words_are_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(tokenfiles, "REMEMBERED", 40_000)
     encoder = tokenfiles.RememberingEncoder(tokenizer_json(public_tokenizers.path("word_bpe_49k.json")))
